@@ -158,13 +158,14 @@ def _hash_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         return mix((c[ends] - c[starts]) * pw[starts] + (ends - starts).astype(np.uint64))
 
 
-def word_hashes(buf: np.ndarray, offs: np.ndarray, lower: bool = False, piece: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(buf: np.ndarray, offs: np.ndarray, lower: bool = False, piece: int = 1 << 19, space: np.ndarray = _SPACE, prefix: int = 0):
     """A 64-bit hash of each word ([^\\x20\\x09-\\x0D]+) of each text, and the n+1 word offsets of the texts.
 
-    Works on pieces of the buffer, so memory beyond the result doesn't grow with a text's length."""
+    space says of each byte if it ends words; with prefix, the hashes of the words' first so many bytes
+    come third. Works on pieces of the buffer, so memory beyond the result doesn't grow with a text's length."""
     if lower:
         buf = _LOWER[buf]
-    word = ~_SPACE[buf]
+    word = ~space[buf]
     first, last = word.copy(), word.copy()
     first[1:] &= ~word[:-1]
     last[:-1] &= ~word[1:]
@@ -174,13 +175,17 @@ def word_hashes(buf: np.ndarray, offs: np.ndarray, lower: bool = False, piece: i
     last[end] |= word[end]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     out = np.empty(len(starts), np.uint64)
+    heads = np.empty(len(starts) if prefix else 0, np.uint64)
     i = 0
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + piece, "right")))
         a, b = starts[i], ends[j - 1]
         out[i:j] = _hash_words(buf[a:b], starts[i:j] - a, ends[i:j] - a)
+        if prefix:
+            heads[i:j] = _hash_words(buf[a:b], starts[i:j] - a, np.minimum(ends[i:j], starts[i:j] + prefix) - a)
         i = j
-    return out, np.searchsorted(starts, offs)
+    at = np.searchsorted(starts, offs)
+    return (out, at, heads) if prefix else (out, at)
 
 
 def rolling(h: np.ndarray, width: int, base: int, piece: int = 1 << 18) -> np.ndarray:

@@ -1,8 +1,10 @@
 """Queries of this subpackage, and SQL for those that SQL can express."""
 
+from .jaccard import op6_jaccard
 from .substring import op10_substring
 
 QUERIES = {
+    "op6_jaccard": op6_jaccard,
     "op10_substring": op10_substring,
 }
 
