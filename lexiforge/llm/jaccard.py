@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _stream, buckets_for, connected_components, free_shuffles, materialize, mix, release, rolling, slabs, small_batches, text_buffer, word_hashes
+from .common import _stream, buckets_for, connected_components, free_shuffles, materialize, mix, plan_bytes, release, rolling, slabs, small_batches, text_buffer, word_hashes
 
 _BASE = 0xA0761D6478BD642F
 #: Sketch buckets (a power of two): 16 MB of int32 at most, whatever the corpus.
@@ -165,17 +165,6 @@ def _meet(batches):
         yield pa.RecordBatch.from_arrays([pa.array(pairs[a : a + 200_000, 0]), pa.array(pairs[a : a + 200_000, 1])], ["a", "b"])
 
 
-def _sets(width: int):
-    def run(batches):
-        for (block, cls), text in slabs(batches, ["block", "cls"]):
-            h, offs = shingle_sets(text, width)
-            own = pa.array(_set_ids(h, offs) == cls.to_numpy(zero_copy_only=False))  # not another row of the same doc_id
-            data = pa.array([h[i:j].tobytes() for i, j in zip(offs[:-1], offs[1:], strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([block.filter(own), cls.filter(own), data.filter(own)], ["block", "cls", "shingles"])
-
-    return run
-
-
 class CountTree:
     """An R-tree over points of group counts, packed in order of size; nodes keep the largest coordinates."""
 
@@ -244,13 +233,18 @@ def link_sets(sets: list[np.ndarray], percent: int, part: np.ndarray | None = No
     return out
 
 
-def _link_block(percent: int):
+def _link_block(width: int, percent: int):
     def run(tbl: pa.Table) -> pa.Table:
+        tbl = tbl.combine_chunks()
         cls, side = tbl.column("cls").to_numpy(), tbl.column("side").to_numpy()
-        sets = [np.frombuffer(x.as_buffer(), "<u8") for x in tbl.column("shingles")]
-        one = (side == side[0]).all()
-        comp = link_sets(sets, percent, None if one else side)
-        return pa.table({"a": cls, "b": cls[comp], "whole": tbl.column("whole")})
+        h, offs = shingle_sets(tbl.column("text"), width)
+        own = np.flatnonzero(_set_ids(h, offs) == cls)  # not another row of the same doc_id
+        sets = [h[offs[i] : offs[i + 1]] for i in own]
+        if not sets:
+            return tbl.select(["cls", "cls", "whole"]).rename_columns(["a", "b", "whole"])
+        cls, side = cls[own], side[own]
+        comp = link_sets(sets, percent, None if (side == side[0]).all() else side)
+        return pa.table({"a": cls, "b": cls[comp], "whole": tbl.column("whole").take(pa.array(own))})
 
     return run
 
@@ -265,6 +259,8 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     small_batches(spark)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     step = 1 << 14
+    while sketch > step and sketch * 256 > plan_bytes(docs) > 0:  # some dozens of shingles a bucket suffice
+        sketch //= 2
     sketch = max(step, sketch)
     told = materialize(docs.mapInArrow(_describe(width, sketch, step), "doc_id long, n long, cls long, counts binary"))
     rows = told.where("counts is null").select("doc_id", "n", "cls")
@@ -287,14 +283,11 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     size = some.groupBy("block").agg(F.sum(F.col("n") * 8).alias("bytes"), F.count("*").alias("classes"))
     size = size.select("block", F.greatest(F.ceil(F.col("bytes") / part_bytes), F.ceil(F.col("classes") / part_classes)).cast("int").alias("parts"))
     some = materialize(some.join(size, "block"))
-    texts = docs.join(some.select("block", "cls", "doc_id"), "doc_id").select("block", "cls", "text")
-    found = texts.mapInArrow(_sets(width), "block long, cls long, shingles binary")
-    parts = some.groupBy("block").agg(F.max("parts").alias("parts"))
-    found = found.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+    found = docs.join(some.select("block", "cls", "doc_id", "parts"), "doc_id").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
     # of a block in parts, a part meets itself and each other part once
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    dealt = found.select("block", "cls", "shingles", (F.col("parts") == 1).alias("whole"), F.col("part").alias("side"), other).select("*", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"))
-    links = dealt.groupBy("block", "x", "y").applyInArrow(_link_block(percent), "a long, b long, whole boolean")
+    dealt = found.select("block", "cls", "text", (F.col("parts") == 1).alias("whole"), F.col("part").alias("side"), other).select("*", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"))
+    links = dealt.groupBy("block", "x", "y").applyInArrow(_link_block(width, percent), "a long, b long, whole boolean")
     links = materialize(links.distinct())
     if links.where("not whole").limit(1).count():
         roots = connected_components(links.where("not whole and a != b")).select(F.col("id").alias("cls"), F.col("component").alias("root"))

@@ -1,10 +1,18 @@
 """Queries of this subpackage, and SQL for those that SQL can express."""
 
+from .bpe import op7_bpe
 from .jaccard import op6_jaccard
+from .packing import op4_pack
+from .pii import op1_pii
 from .substring import op10_substring
+from .toxicity import op5_toxicity
 
 QUERIES = {
+    "op1_pii": op1_pii,
+    "op4_pack": op4_pack,
+    "op5_toxicity": op5_toxicity,
     "op6_jaccard": op6_jaccard,
+    "op7_bpe": op7_bpe,
     "op10_substring": op10_substring,
 }
 
