@@ -33,9 +33,9 @@ def test_plan_places_every_rank_once():
 
 
 def test_two_replace_the_smallest():
-    rows = plan_packing({700: 1, 200: 1, 180: 1, 144: 1})
-    # greedy takes 700 + 200 and leaves 124; 180 + 144 fill the 324 exactly
-    assert {r[0] for r in rows if r[4] == 0} == {700, 180, 144}
+    rows = plan_packing({600: 1, 300: 1, 224: 1, 200: 1})
+    # greedy takes 600 + 300 and leaves 124; 224 + 200 fill the 424 exactly
+    assert {r[0] for r in rows if r[4] == 0} == {600, 224, 200}
 
 
 def test_query(spark, folder, empty, docs):
