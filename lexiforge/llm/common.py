@@ -6,6 +6,7 @@ import atexit
 import gc
 import hashlib
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -61,8 +62,11 @@ def release(*dfs: DataFrame) -> None:
 
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of finished steps."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(60_000)  # events hold the plans
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 @atexit.register
