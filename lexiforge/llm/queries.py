@@ -1,19 +1,26 @@
 """Queries of this subpackage, and SQL for those that SQL can express."""
 
 from .bpe import op7_bpe
+from .embeddings import op8_embed_dedup
+from .fingerprint import op9_fingerprint
 from .jaccard import op6_jaccard
 from .packing import op4_pack
 from .pii import op1_pii
 from .substring import op10_substring
 from .toxicity import op5_toxicity
+from .urls import SQL as URL_SQL
+from .urls import op3_url_filter
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op3_url_filter": op3_url_filter,
     "op4_pack": op4_pack,
     "op5_toxicity": op5_toxicity,
     "op6_jaccard": op6_jaccard,
     "op7_bpe": op7_bpe,
+    "op8_embed_dedup": op8_embed_dedup,
+    "op9_fingerprint": op9_fingerprint,
     "op10_substring": op10_substring,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op3_url_filter": URL_SQL}

@@ -72,7 +72,8 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, url: str = "url", default:
 def op3_url_filter(spark, sf_dir: str) -> DataFrame:
     """Verdict on every url of pages; what no rule of the list fits is allowed."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    rules = spark.createDataFrame(RULES, "action string, host string, path string")
+    entries = (F.struct(*(F.lit(v).alias(k) for k, v in zip(("action", "host", "path"), r, strict=True))) for r in RULES)
+    rules = spark.range(1).select(F.explode(F.array(*entries)).alias("r")).select("r.*")
     return url_verdicts(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
