@@ -162,11 +162,11 @@ def _hash_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         return mix((c[ends] - c[starts]) * pw[starts] + (ends - starts).astype(np.uint64))
 
 
-def word_hashes(buf: np.ndarray, offs: np.ndarray, lower: bool = False, piece: int = 1 << 19, space: np.ndarray = _SPACE, prefix: int = 0):
+def word_hashes(buf: np.ndarray, offs: np.ndarray, lower: bool = False, piece: int = 1 << 19, space: np.ndarray = _SPACE, prefix: int = 0, tails: bool = False):
     """A 64-bit hash of each word ([^\\x20\\x09-\\x0D]+) of each text, and the n+1 word offsets of the texts.
 
     space says of each byte if it ends words; with prefix, the hashes of the words' first so many bytes
-    come third. Works on pieces of the buffer, so memory beyond the result doesn't grow with a text's length."""
+    come third; with tails, the words' last two bytes (of a word of one byte 0 and it). Works on pieces of the buffer, so memory beyond the result doesn't grow with a text's length."""
     if lower:
         buf = _LOWER[buf]
     word = ~space[buf]
@@ -189,6 +189,9 @@ def word_hashes(buf: np.ndarray, offs: np.ndarray, lower: bool = False, piece: i
             heads[i:j] = _hash_words(buf[a:b], starts[i:j] - a, np.minimum(ends[i:j], starts[i:j] + prefix) - a)
         i = j
     at = np.searchsorted(starts, offs)
+    if tails:
+        two = buf[ends - 1] + np.where(ends - starts > 1, buf[np.maximum(ends - 2, 0)], 0) * np.int64(256)
+        return out, at, two
     return (out, at, heads) if prefix else (out, at)
 
 

@@ -4,6 +4,7 @@ from .bpe import op7_bpe
 from .embeddings import op8_embed_dedup
 from .fingerprint import op9_fingerprint
 from .jaccard import op6_jaccard
+from .lm import op2_lm_score
 from .packing import op4_pack
 from .pii import op1_pii
 from .substring import op10_substring
@@ -13,6 +14,7 @@ from .urls import op3_url_filter
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_lm_score": op2_lm_score,
     "op3_url_filter": op3_url_filter,
     "op4_pack": op4_pack,
     "op5_toxicity": op5_toxicity,
