@@ -1,4 +1,304 @@
-"""The registered queries and their SQL."""
+"""The registered queries, one for each operator, and the SQL of those that SQL can express.
+
+All run over the whole tables. Stopwords and stemming are off where SQL is the yardstick."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .functions import codecs
+from .functions.analyze import PLAIN, STOPWORDS, AnalyzerConfig, tokens
+from .operators import metrics
+from .operators.engine import SearchEngine
+from .operators.index import NORMS, SearchIndex, norm_name
+from .operators.phrase import phrase_hits
+from .sources.text import spread, table
+
+_indexes: dict[tuple, SearchIndex] = {}
+
+
+def index_for(spark, sf_dir: str, config: AnalyzerConfig = PLAIN) -> SearchIndex:
+    """The index of documents, built once a session and kept in memory or on disk."""
+    key = (spark.sparkContext.applicationId, sf_dir, config)
+    if key not in _indexes:
+        _indexes[key] = SearchIndex.of(spread(table(spark, sf_dir, "documents")), config).with_norms().cache()
+    return _indexes[key]
+
+
+def engine_for(spark, sf_dir: str, config: AnalyzerConfig = PLAIN) -> SearchEngine:
+    return SearchEngine(index_for(spark, sf_dir, config))
+
+
+# ---- SQL fragments
+
+_URL = r"""\b(?:https?://|ftp://|file://|mailto:|www\.)[^\s<>''"]+"""
+
+
+def _words(column: str) -> str:
+    clean = f"regexp_replace(regexp_replace(lower(coalesce({column}, '')), '<[^>\\r\\n]+>', ' ', 'g'), '{_URL}', ' ', 'g')"
+    return f"[t FOR t IN regexp_extract_all({clean}, '[a-z0-9]+(?:-[a-z0-9]+)*') IF length(t) > 1 AND NOT regexp_full_match(t, '[0-9]+')]"
+
+
+_D = f"""WITH d AS (SELECT doc_id, strlen(coalesce(text, '')) AS byte_length, {_words("text")} AS ts FROM documents),
+tok AS (SELECT doc_id, unnest(ts) AS term, generate_subscripts(ts, 1) - 1 AS pos FROM d),
+p AS (SELECT term, doc_id, count(*) AS tf FROM tok GROUP BY ALL),
+lex AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM p GROUP BY term),
+st AS (SELECT d.doc_id, len(d.ts) AS length, coalesce(max(p.tf), 0) AS max_tf, count(p.tf) AS unique_terms,
+         CASE WHEN count(p.tf) > 0 THEN len(d.ts) / count(p.tf)::DOUBLE ELSE 0 END AS avg_tf, d.byte_length
+       FROM d LEFT JOIN p ON d.doc_id = p.doc_id GROUP BY d.doc_id, d.ts, d.byte_length),
+cs AS (SELECT count(*)::DOUBLE AS n, avg(length) AS avgdl, avg(unique_terms) AS avg_unique FROM st)"""
+
+_TF = {"n": "tf", "l": "(1 + log10(tf))", "a": "(0.5 + 0.5 * tf / max_tf)", "b": "1.0", "L": "((1 + log10(tf)) / (1 + log10(avg_tf)))"}
+_DF = {"n": "1.0::DOUBLE", "t": "log10(n / df)", "p": "greatest(0, CASE WHEN df < n THEN log10((n - df) / df) ELSE 0 END)"}
+
+
+def _phrase(words: str, name: str) -> str:
+    """CTE of a phrase's pseudo-term."""
+    each = words.split()
+    joins = " ".join(f"JOIN tok t{i} ON t{i}.doc_id = t0.doc_id AND t{i}.pos = t0.pos + {i} AND t{i}.term = '{w}'" for i, w in enumerate(each) if i)
+    return f"{name} AS (SELECT '{words}' AS term, t0.doc_id, count(*) AS tf FROM tok t0 {joins} WHERE t0.term = '{each[0]}' GROUP BY t0.doc_id)"
+
+
+def _ranked(terms: list[str], doc_weight: str, norm: str, query_weight: dict[str, str], where: str = "true", phrases: dict[str, str] | None = None, leaves: list[str] = (), k: int = 20) -> str:
+    """SQL of a ranking. terms score; leaves, if any, hit in the predicate where."""
+    extra = "".join(f", {_phrase(w, name)}" for name, w in (phrases or {}).items())
+    source = "(SELECT * FROM p" + "".join(f" UNION ALL SELECT * FROM {name}" for name in phrases or {}) + ")"
+    every = list(dict.fromkeys([*terms, *leaves]))
+    values = ", ".join(f"('{t}', {query_weight.get(t, '1.0')}, {i})" for i, t in enumerate(terms))
+    hits = ", ".join(f"bool_or(term = '{t}') AS h{i}" for i, t in enumerate(every))
+    return f"""{_D}{extra}, hit AS (SELECT * FROM {source} WHERE term IN ({", ".join(f"'{t}'" for t in every)})),
+dfs AS (SELECT term, count(*)::DOUBLE AS df FROM hit GROUP BY term), q(term, qw, ord) AS (VALUES {values}),
+s AS (SELECT hit.doc_id, sum(qw * {doc_weight}) * any_value({norm}) AS score, min(ord) AS first, {hits}
+      FROM hit JOIN dfs USING (term) JOIN st USING (doc_id) CROSS JOIN cs LEFT JOIN q USING (term) GROUP BY hit.doc_id)
+SELECT doc_id, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 9) DESC, first, doc_id)::INT AS rank
+FROM s WHERE first IS NOT NULL AND {where} ORDER BY rank LIMIT {k}"""
+
+
+_BM25 = "ln(n / df) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / avgdl))"
+_QTF1 = "1.0"
+
+
+def _scores(df: DataFrame) -> DataFrame:
+    return df.withColumn("score", F.round("score", 6))
+
+
+def _search(query: str, **kw):
+    return lambda spark, sf: _scores(engine_for(spark, sf).search(query, top_k=20, **kw))
+
 
 QUERIES: dict = {}
-ORACLE: dict = {}
+ORACLE: dict[str, str] = {}
+
+
+def _register(name: str, query, sql: str | None = None) -> None:
+    QUERIES[name] = query
+    if sql:
+        ORACLE[name] = sql
+
+
+# ---- text analysis
+
+_COUNTS = "count(*) AS tokens, count(DISTINCT term) AS terms, sum(length(term))::BIGINT AS chars"
+
+
+def _token_counts(found: DataFrame) -> DataFrame:
+    return found.groupBy("doc_id").agg(F.count("*").alias("tokens"), F.countDistinct("term").alias("terms"), F.sum(F.length("term")).alias("chars"), F.sum(F.crc32(F.col("term").cast("binary")) * (F.col("pos") % 7 + 1)).alias("mark"))
+
+
+def _tok(config: AnalyzerConfig):
+    return lambda spark, sf: _token_counts(tokens(spread(table(spark, sf, "documents")), config)).drop("mark")
+
+
+_STOPS = ", ".join("'" + w.replace("'", "''") + "'" for w in STOPWORDS)
+_register("tok_documents", _tok(PLAIN), f"{_D} SELECT doc_id, {_COUNTS} FROM tok GROUP BY doc_id")
+_register("tok_stopwords", _tok(AnalyzerConfig(stem=False)), f"{_D} SELECT doc_id, {_COUNTS} FROM tok WHERE term NOT IN ({_STOPS}) GROUP BY doc_id")
+_register("tok_stemmed", _tok(AnalyzerConfig()))
+_register(
+    "tok_pages_html_url",
+    lambda spark, sf: tokens(spread(table(spark, sf, "pages")), PLAIN, "page_id", "html").select(F.col("doc_id").alias("page_id"), F.col("pos").cast("long").alias("pos"), "term"),
+    f"WITH d AS (SELECT page_id, {_words('html')} AS ts FROM pages) SELECT page_id, generate_subscripts(ts, 1) - 1 AS pos, unnest(ts) AS term FROM d",
+)
+_register(
+    "tok_drop_digits_short",
+    lambda spark, sf: tokens(table(spark, sf, "documents").select("doc_id", F.concat_ws(" ", F.col("doc_id").cast("string"), "source", F.lit("a 4k 2-3 x-1 77 AI-driven")).alias("text")), PLAIN).groupBy("term").agg(F.count("*").alias("n")),
+    f"WITH d AS (SELECT unnest({_words(chr(39) + chr(39) + ' || doc_id || ' + chr(39) + ' ' + chr(39) + ' || source || ' + chr(39) + ' a 4k 2-3 x-1 77 AI-driven' + chr(39))}) AS term FROM documents) SELECT term, count(*) AS n FROM d GROUP BY term",
+)
+
+# ---- index
+
+_register("idx_postings_tf", lambda spark, sf: index_for(spark, sf).postings.select("term", "doc_id", F.col("tf").cast("long").alias("tf")), f"{_D} SELECT term, doc_id, tf FROM p")
+_register(
+    "idx_postings_positions",
+    lambda spark, sf: index_for(spark, sf).postings.select("term", "doc_id", F.array_join(F.transform("positions", lambda x: x.cast("string")), " ").alias("positions")),
+    f"{_D} SELECT term, doc_id, string_agg(pos::VARCHAR, ' ' ORDER BY pos) AS positions FROM tok GROUP BY ALL",
+)
+_register("idx_lexicon_df", lambda spark, sf: index_for(spark, sf).lexicon.select("term", "df", "cf"), f"{_D} SELECT term, df, cf FROM lex")
+_STATS = ["doc_id", "length", "max_tf", "unique_terms", "avg_tf", "byte_length"]
+_register(
+    "idx_doc_stats",
+    lambda spark, sf: index_for(spark, sf).doc_stats.select("doc_id", "length", F.col("max_tf").cast("long").alias("max_tf"), "unique_terms", F.round("avg_tf", 6).alias("avg_tf"), "byte_length"),
+    f"{_D} SELECT doc_id, length, max_tf, unique_terms, round(avg_tf, 6) AS avg_tf, byte_length::BIGINT AS byte_length FROM st",
+)
+_register(
+    "idx_corpus_stats",
+    lambda spark, sf: index_for(spark, sf).corpus_stats.select("n", F.round("avgdl", 6).alias("avgdl"), F.round("avg_unique", 6).alias("avg_unique")),
+    f"{_D} SELECT n::BIGINT AS n, round(avgdl, 6) AS avgdl, round(avg_unique, 6) AS avg_unique FROM cs",
+)
+_SUMS = ", ".join(f"round(1 / sqrt(coalesce(sum(pow({_TF[c[0]]} * {_DF[c[1]]}, 2)) FILTER (WHERE df < n), 0) + 1e-12), 5) AS {norm_name(c)}" for c in NORMS)
+_register(
+    "idx_cosine_norms_15",
+    lambda spark, sf: index_for(spark, sf).doc_stats.select("doc_id", *(F.round(c, 5).alias(c) for c in map(norm_name, NORMS))),
+    f"{_D} SELECT st.doc_id, {_SUMS} FROM st CROSS JOIN cs LEFT JOIN p ON p.doc_id = st.doc_id LEFT JOIN lex USING (term) GROUP BY st.doc_id",
+)
+_register("doc_keys", lambda spark, sf: index_for(spark, sf).keys(), "SELECT doc_id, doc_id::VARCHAR AS key FROM documents")
+
+# ---- access
+
+_register("acc_term_meta", lambda spark, sf: index_for(spark, sf).term_meta("worthless", "anst", "no-such-term"), f"{_D} SELECT term, df, cf FROM lex WHERE term IN ('worthless', 'anst')")
+_register(
+    "acc_postings",
+    lambda spark, sf: index_for(spark, sf).get_postings("worthless", "anst").select("term", "doc_id", F.array_join(F.transform("positions", lambda x: x.cast("string")), " ").alias("positions")),
+    f"{_D} SELECT term, doc_id, string_agg(pos::VARCHAR, ' ' ORDER BY pos) AS positions FROM tok WHERE term IN ('worthless', 'anst') GROUP BY ALL",
+)
+_register("acc_tfs", lambda spark, sf: index_for(spark, sf).get_tfs("tion", "the").select("term", "doc_id", F.col("tf").cast("long").alias("tf")), f"{_D} SELECT term, doc_id, tf FROM p WHERE term IN ('tion', 'the')")
+_register("acc_prefix_limit", lambda spark, sf: index_for(spark, sf).prefix("tio", 50), f"{_D} SELECT term, df, cf FROM lex WHERE starts_with(term, 'tio') ORDER BY term LIMIT 50")
+
+# ---- boolean queries
+
+
+def _boolean(name: str, query: str, terms: list[str], where: str, leaves: list[str] = (), phrases: dict[str, str] | None = None) -> None:
+    _register(name, _search(query, method="bm25"), _ranked(terms, _BM25, _QTF1, {}, where, phrases, leaves))
+
+
+_boolean("bool_and", "worthless AND anst", ["worthless", "anst"], "h0 AND h1")
+_boolean("bool_or", "worthless OR anst", ["worthless", "anst"], "(h0 OR h1)")
+_boolean("bool_and_not", "anst AND NOT tion", ["anst"], "h0 AND NOT h1", ["tion"])
+_boolean("bool_or_not", "worthless OR NOT the", ["worthless"], "(h0 OR NOT h1)", ["the"])
+_boolean("bool_nested_parens", "(worthless OR anst) AND NOT (tion AND the)", ["worthless", "anst"], "(h0 OR h1) AND NOT (h2 AND h3)", ["tion", "the"])
+_boolean("bool_implicit_and", "worthless tion AND the", ["worthless", "tion", "the"], "h0 AND h1 AND h2")
+_boolean("bool_precedence", "worthless OR anst AND tion", ["worthless", "anst", "tion"], "(h0 OR (h1 AND h2))")
+_register("bool_stopword_leaf", lambda spark, sf: _scores(engine_for(spark, sf, AnalyzerConfig(stem=False)).search("the AND worthless", method="bm25")), "SELECT 0::BIGINT AS doc_id, 0.0::DOUBLE AS score, 0::INT AS rank WHERE false")
+_register(
+    "bool_match_not",
+    lambda spark, sf: engine_for(spark, sf).match("NOT (the OR tion) OR worthless"),
+    f"{_D} SELECT doc_id FROM st WHERE doc_id NOT IN (SELECT doc_id FROM p WHERE term IN ('the', 'tion')) OR doc_id IN (SELECT doc_id FROM p WHERE term = 'worthless')",
+)
+
+# ---- phrases
+
+
+def _phrase_query(name: str, words: str) -> None:
+    _register(name, lambda spark, sf: phrase_hits(index_for(spark, sf).postings, words.split()).select("doc_id", F.col("tf").cast("long").alias("tf")), f"{_D}, {_phrase(words, 'x')} SELECT doc_id, tf FROM x")
+
+
+_phrase_query("phrase_2", "anea eriner")
+_phrase_query("phrase_3", "anea eriner thanea")
+_phrase_query("phrase_repeated_term", "the the")
+_boolean("phrase_and_term", '"anea eriner" AND the', ["anea eriner", "the"], "h0 AND h1", phrases={"x": "anea eriner"})
+_register("phrase_plain_mix", _search('"anea eriner" worthless', method="bm25"), _ranked(["anea eriner", "worthless"], _BM25, _QTF1, {}, phrases={"x": "anea eriner"}))
+
+# ---- ranking
+
+_register("bm25_terms", _search("worthless anst", method="bm25"), _ranked(["worthless", "anst"], _BM25, _QTF1, {}))
+_register("bm25_qtf", _search("worthless anst anst anst", method="bm25"), _ranked(["worthless", "anst"], _BM25, _QTF1, {"anst": "2.5 * 3 / (1.5 + 3)"}))
+_register("bm25_all_terms", _search("the worthless unseenword", method="bm25"), _ranked(["the", "worthless"], _BM25, _QTF1, {}))
+
+
+def _smart(scheme: str, terms: list[str] = ("worthless", "tion")) -> None:
+    """A plain query of different words under scheme, in SQL: the query's tf is 1, so n, l, a, b and L weigh 1."""
+    doc, query = scheme[:3], scheme[4:]
+    terms = list(terms)
+    q_idf = _DF[query[1]]
+    norm = {"n": "1.0", "c": None, "u": "CASE WHEN unique_terms > 0 THEN 1 / (0.8 + 0.2 * unique_terms / avg_unique) ELSE 1 END", "b": "CASE WHEN byte_length > 0 THEN 1 / sqrt(byte_length) ELSE 1 END"}[doc[2]]
+    if norm is None:
+        norm = "nn.w"
+    words = ", ".join(f"'{t}'" for t in terms)
+    q_norm = {
+        "n": "1.0",
+        "c": f"(SELECT 1 / sqrt(sum(pow({q_idf}, 2))) FROM lex CROSS JOIN cs WHERE term IN ({words}) AND {q_idf} > 0 AND {_DF[doc[1]]} > 0)",
+        "u": f"(SELECT 1 / (0.8 + 0.2 * {len(terms)} / avg_unique) FROM cs)",
+        "b": f"{len(''.join(terms).encode()) ** -0.5!r}",
+    }[query[2]]
+    sql = _ranked(terms, f"{q_idf} * {_DF[doc[1]]} * {_TF[doc[0]]}", norm, {}, k=20)
+    if doc[2] == "c":
+        nn = f", nn AS (SELECT p.doc_id, 1 / sqrt(sum(pow({_TF[doc[0]]} * {_DF[doc[1]]}, 2)) FILTER (WHERE df < n) + 1e-12) AS w FROM p JOIN lex USING (term) JOIN st USING (doc_id) CROSS JOIN cs GROUP BY p.doc_id)"
+        sql = sql.replace(_D, _D + nn, 1).replace("JOIN st USING (doc_id) CROSS JOIN cs LEFT JOIN q", "JOIN st USING (doc_id) JOIN nn USING (doc_id) CROSS JOIN cs LEFT JOIN q")
+    sql = sql.replace("SELECT doc_id, round(score, 6)", f"SELECT doc_id, round(score * {q_norm}, 6)").replace("ORDER BY round(score, 9) DESC", f"ORDER BY round(score * {q_norm}, 9) DESC")
+    if "t" in (doc[1], query[1]) or "p" in (doc[1], query[1]):
+        ok = " AND ".join(f"{_DF[x]} > 0" for x in {doc[1], query[1]} - {"n"})
+        sql = sql.replace("LEFT JOIN q USING (term) GROUP BY", f"LEFT JOIN q USING (term) WHERE {ok} GROUP BY")
+    _register("smart_" + scheme.replace(".", "_"), _search(" ".join(terms), scheme=scheme), sql)
+
+
+for _scheme in ("ltc.ltc", "nnn.nnn", "lnn.nnn", "ann.nnn", "bnn.nnn", "Lnn.nnn", "ntn.nnn", "npn.nnn", "nnu.nnn", "nnb.nnn", "nnc.nnn", "ntu.Lpc", "Lpc.ltb", "apb.btu", "bnc.apn"):
+    _smart(_scheme)
+
+# ---- batches and evaluation
+
+
+def _runs(spark, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Benchmark texts' rankings, and as their relevant documents those of good quality and small id distance."""
+    index = index_for(spark, sf)
+    queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text"))
+    run = SearchEngine(index).search_batch(queries, top_k=20)
+    qrels = table(spark, sf, "labels").where("quality = 1").select((F.col("doc_id") % 40).alias("query_id"), "doc_id")
+    return run.select("query_id", "doc_id", "rank"), qrels
+
+
+_RUN = f"""{_D}, qw AS (SELECT item_id AS query_id, {_words("text")} AS ts FROM benchmark),
+qt AS (SELECT query_id, term, count(*) AS q, min(pos) AS ord FROM (SELECT query_id, unnest(ts) AS term, generate_subscripts(ts, 1) AS pos FROM qw) GROUP BY ALL),
+sc AS (SELECT query_id, doc_id, sum(2.5 * q / (1.5 + q) * {_BM25}) AS score, min(ord) AS first
+       FROM qt JOIN lex USING (term) JOIN p USING (term) JOIN st USING (doc_id) CROSS JOIN cs GROUP BY ALL),
+run AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, first, doc_id)::INT AS rank FROM sc QUALIFY rank <= 20),
+qrels AS (SELECT DISTINCT doc_id % 40 AS query_id, doc_id FROM labels WHERE quality = 1),
+tot AS (SELECT query_id, count(*) AS n_rel FROM qrels GROUP BY query_id),
+j AS (SELECT run.query_id, rank, (qrels.doc_id IS NOT NULL)::INT AS rel, coalesce(n_rel, 0) AS n_rel,
+      sum((qrels.doc_id IS NOT NULL)::INT) OVER (PARTITION BY run.query_id ORDER BY rank) AS seen
+      FROM run LEFT JOIN qrels ON run.query_id = qrels.query_id AND run.doc_id = qrels.doc_id LEFT JOIN tot ON tot.query_id = run.query_id)"""
+
+
+def _batch(spark, sf: str) -> DataFrame:
+    queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text"))
+    return _scores(engine_for(spark, sf).search_batch(queries, top_k=20))
+
+
+_register("search_top_k_batch", _batch, f"{_RUN} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM run")
+
+
+def _metric(name: str, f, sql: str, per_query: bool = True) -> None:
+    _register(name, lambda spark, sf: f(*_runs(spark, sf)).withColumn("value", F.round("value", 6)), f"{_RUN} SELECT {'query_id, ' if per_query else ''}round({sql}, 6) AS value FROM j {'GROUP BY query_id' if per_query else ''}")
+
+
+_REL = "CASE WHEN any_value(n_rel) > 0 THEN {} / any_value(n_rel) ELSE 0 END"
+_IDEAL = "(SELECT sum(1 / log2(i + 1)) FROM range(1, 1 + least(10, any_value(n_rel))) r(i))"
+_AP = _REL.format("sum(rel * seen / rank::DOUBLE)")
+_RR = "coalesce(1.0 / min(rank) FILTER (WHERE rel = 1), 0)"
+_metric("eval_p_at_k", lambda r, q: metrics.precision_at_k(r, q, 10), "sum(rel) FILTER (WHERE rank <= 10) / 10.0")
+_metric("eval_recall_at_k", lambda r, q: metrics.recall_at_k(r, q, 10), _REL.format("(sum(rel) FILTER (WHERE rank <= 10))::DOUBLE"))
+_metric("eval_dcg", lambda r, q: metrics.dcg_at_k(r, q, 10), "coalesce(sum(rel / log2(rank + 1)) FILTER (WHERE rank <= 10), 0)")
+_metric("eval_ndcg", lambda r, q: metrics.ndcg_at_k(r, q, 10), f"CASE WHEN any_value(n_rel) > 0 THEN (sum(rel / log2(rank + 1)) FILTER (WHERE rank <= 10)) / {_IDEAL} ELSE 0 END")
+_metric("eval_ap", metrics.average_precision, _AP)
+_metric("eval_rr", metrics.reciprocal_rank, _RR)
+_register("eval_map", lambda spark, sf: metrics.mean_average_precision(*_runs(spark, sf)).withColumn("value", F.round("value", 6)), f"{_RUN} SELECT round(avg(v), 6) AS value FROM (SELECT {_AP} AS v FROM j GROUP BY query_id)")
+_register("eval_mrr", lambda spark, sf: metrics.mean_reciprocal_rank(*_runs(spark, sf)).withColumn("value", F.round("value", 6)), f"{_RUN} SELECT round(avg(v), 6) AS value FROM (SELECT {_RR} AS v FROM j GROUP BY query_id)")
+
+# ---- codecs
+
+_joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
+
+
+def _doc_lists(spark, sf: str) -> DataFrame:
+    return index_for(spark, sf).postings.groupBy("term").agg(F.sort_array(F.collect_list("doc_id")).alias("docs"))
+
+
+_LISTS = f"{_D}, l AS (SELECT term, list(doc_id ORDER BY doc_id) AS docs FROM p GROUP BY term)"
+_GAPS = "[docs[i] - CASE WHEN i > 1 THEN docs[i - 1] ELSE 0 END FOR i IN range(1, len(docs) + 1)]"
+_register("codec_delta_encode", lambda spark, sf: _doc_lists(spark, sf).select("term", _joined(codecs.delta_encode(F.col("docs"))).alias("gaps")), f"{_LISTS} SELECT term, array_to_string({_GAPS}, ' ') AS gaps FROM l")
+_register("codec_delta_decode", lambda spark, sf: _doc_lists(spark, sf).select("term", _joined(codecs.delta_decode(codecs.delta_encode(F.col("docs")))).alias("docs")), f"{_LISTS} SELECT term, array_to_string(docs, ' ') AS docs FROM l")
+_register(
+    "codec_position_gaps",
+    lambda spark, sf: index_for(spark, sf).postings.select("term", "doc_id", _joined(codecs.delta_encode(F.col("positions"))).alias("gaps")),
+    f"{_D}, g AS (SELECT term, doc_id, pos, pos - coalesce(lag(pos) OVER (PARTITION BY term, doc_id ORDER BY pos), 0) AS gap FROM tok) SELECT term, doc_id, string_agg(gap::VARCHAR, ' ' ORDER BY pos) AS gaps FROM g GROUP BY ALL",
+)
+_register("codec_vbyte_roundtrip", lambda spark, sf: index_for(spark, sf).postings.select("term", "doc_id", _joined(codecs.vbyte_decode(codecs.vbyte_encode(F.col("positions")))).alias("positions")), f"{_D} SELECT term, doc_id, string_agg(pos::VARCHAR, ' ' ORDER BY pos) AS positions FROM tok GROUP BY ALL")
