@@ -7,6 +7,7 @@ from .jaccard import op6_jaccard
 from .lm import op2_lm_score
 from .packing import op4_pack
 from .pii import op1_pii
+from .sql import FINGERPRINT, JACCARD, SUBSTRING
 from .substring import op10_substring
 from .toxicity import op5_toxicity
 from .urls import SQL as URL_SQL
@@ -25,4 +26,4 @@ QUERIES = {
     "op10_substring": op10_substring,
 }
 
-ORACLE: dict[str, str] = {"op3_url_filter": URL_SQL}
+ORACLE: dict[str, str] = {"op3_url_filter": URL_SQL, "op6_jaccard": JACCARD, "op9_fingerprint": FINGERPRINT, "op10_substring": SUBSTRING}
