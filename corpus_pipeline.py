@@ -21,9 +21,14 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group of near copies; of rows with that doc_id all."""
-    keep = jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    """The document of the smallest doc_id of each group of near copies; of rows with that doc_id and one text the
+    first. Rows without doc_id stay."""
+    keep = jaccard_components(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__rows"))
+    kept = docs.join(keep, "doc_id").select(*docs.columns, "__rows")
+    out = kept.where("__rows = 1").select(*docs.columns)
+    if keep.where("__rows > 1").limit(1).count():
+        out = out.unionByName(kept.where("__rows > 1").dropDuplicates(["doc_id", "text"]).select(*docs.columns))
+    return out.unionByName(docs.where("doc_id is null"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,5 +58,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
-            docs = materialize(docs.withColumn("n_chars", F.col("n_chars")))
+            docs = materialize(docs)
     return docs
