@@ -2,7 +2,7 @@
 
 A bounded sample of labelled rows (EXAMPLES of each class, those with the smallest hash of doc_id) gives the
 examples. Their vocabulary is the terms whose document rates differ between the classes; terms are lower-cased
-words and the words' beginnings. The index keeps, for each term, its postings in blocks of examples and each
+words and the words' beginnings, near copies counting as one text. The index keeps, for each term, its postings in blocks of examples and each
 block's largest weight, so a block whose bound cannot reach the k-th best cosine is never opened and the k
 nearest are exact. Votes weighted by squared cosine are calibrated by isotonic regression on the examples'
 own leave-one-out votes, reweighted to the classes' shares of the labels.
@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 
 from .common import crc_remainder, mix, slabs, small_batches, text_buffer, word_hashes
 
-EXAMPLES, VOCABULARY, BLOCK, PREFIX = 3000, 4096, 64, 5
+#: CHI: the chi-square of a chance of 1e-7, as about a million terms are tried.
+#: MINIMA: hashes that estimate the similarity of two examples.
+EXAMPLES, VOCABULARY, BLOCK, PREFIX, CHI, MINIMA = 3000, 4096, 64, 4, 28.4, 64
 _END = np.array([not (48 <= b < 58 or 97 <= b < 123 or 65 <= b < 91 or b >= 128) for b in range(256)])
 _HEAD = np.uint64(0x5851F42D4C957F2D)
 
@@ -156,6 +158,19 @@ class ToxicityModel:
         return self.__dict__ | {"_seen": {}}
 
 
+def copy_weights(minima: np.ndarray, like: float = 0.5) -> np.ndarray:
+    """1 / size of each row's group, rows being joined whose minima agree in the share like or more (which
+    estimates the Jaccard similarity of their sets)."""
+    n = len(minima)
+    low, group = (minima & 0xFFFF).astype(np.uint16), np.arange(n)
+    for i in range(n):
+        same = np.flatnonzero((low[i + 1 :] == low[i]).mean(1) >= like) + i + 1
+        if len(same):
+            old = np.unique(np.append(group[same], group[i]))
+            group[np.isin(group, old)] = old[0]
+    return 1 / np.bincount(group, minlength=n)[group] if n else np.zeros(0)
+
+
 def _example_terms(batches):
     for (doc_id, toxic), text in slabs(batches, ["doc_id", "toxic"]):
         doc, h = _terms(text)
@@ -184,13 +199,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, v
     from .common import materialize
 
     terms = materialize(terms)
-    n1, n0 = (sum(r.toxic == c for r in ids) for c in (1, 0))
+    # copies speak once: else every word of a copied text would tell its class
+    drawn = terms.groupBy("doc_id").agg(F.array(*(F.min(F.xxhash64("term", F.lit(k))) for k in range(MINIMA))).alias("s")).collect()  # at most 2 * examples rows
+    say = copy_weights(np.array([r.s for r in drawn], np.int64).reshape(-1, MINIMA))
+    weight = {r.doc_id: float(w) for r, w in zip(drawn, say, strict=True)}
+    n1, n0 = (sum(weight.get(r.doc_id, 1.0) for r in ids if r.toxic == c) for c in (1, 0))
     a, b = F.col("a"), F.col("b")
-    by_term = terms.groupBy("term").agg(F.sum(F.col("toxic").cast("double")).alias("a"), F.sum((1 - F.col("toxic")).cast("double")).alias("b")).where(a + b >= 4)
+    weights = F.broadcast(spark.createDataFrame(list(weight.items()), "doc_id long, w double"))
+    by_term = terms.join(weights, "doc_id").groupBy("term").agg(F.sum(F.col("toxic") * F.col("w")).alias("a"), F.sum((1 - F.col("toxic")) * F.col("w")).alias("b")).where(a + b >= 4)
     rate = lambda x, n: (x + 0.5) / (n + 1)
     n = n1 + n0
     chi = n * F.pow(a * (n0 - b) - b * (n1 - a), F.lit(2)) / F.greatest(F.lit(1e-9), (a + b) * (n - a - b) * F.lit(float(max(1, n1) * max(1, n0))))
-    chosen = by_term.where((chi >= 10.83) & (F.abs(F.log(rate(a, n1) / rate(b, n0))) >= float(np.log(3)))).select("term", (a + b).alias("df"), chi.alias("chi")).orderBy(F.desc("chi"), "term").limit(vocabulary).collect()
+    chosen = by_term.where((chi >= CHI) & (F.abs(F.log(rate(a, n1) / rate(b, n0))) >= float(np.log(3)))).select("term", (a + b).alias("df"), chi.alias("chi")).orderBy(F.desc("chi"), "term").limit(vocabulary).collect()
     vocab = Vocabulary(np.array([r.term for r in chosen], np.int64).astype(np.uint64))
     df = {np.uint64(r.term & (1 << 64) - 1): r.df for r in chosen}
     idf = np.log((n + 1) / (np.array([df[t] for t in vocab.terms]) + 1)) + 1 if chosen else np.zeros(0)
@@ -199,6 +219,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, v
     got: dict[int, list] = {r.doc_id: [] for r in ids}
     for r in terms.join(keep, "term").select("doc_id", "term", "tf").collect():  # at most examples x their known terms
         got[r.doc_id].append((int(np.searchsorted(vocab.terms, np.uint64(r.term & (1 << 64) - 1))), r.tf))
+    n1, n0 = (sum(r.toxic == c for r in ids) for c in (1, 0))
     share = {1: total.get(1, 0) / max(1, n1), 0: total.get(0, 0) / max(1, n0)}
     # alike examples share blocks: classes first, then the rarest term
     full = sorted((d for d in got if got[d]), key=lambda d: (toxic[d], max(got[d], key=lambda x: idf[x[0]])[0], d))

@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 
-from lexiforge.llm.toxicity import BlockMaxIndex, isotonic, op5_toxicity
+from lexiforge.llm.toxicity import BlockMaxIndex, copy_weights, isotonic, op5_toxicity
 
 
 def test_nearest_is_exact():
@@ -61,3 +61,11 @@ def test_edges(spark, folder, empty):
         labels.write.parquet(f"{d}/labels.parquet")
     assert op5_toxicity(spark, empty).count() == 0
     assert {r.predicted for r in op5_toxicity(spark, folder).collect()} == {0}
+
+
+def test_copies_count_once():
+    rng = np.random.default_rng(1)
+    rows = rng.integers(0, 1 << 60, (4, 64))
+    near = np.where(rng.random((5, 64)) < 0.2, rng.integers(0, 1 << 60, (5, 64)), rows[0])
+    assert np.allclose(copy_weights(np.concatenate([rows, near])), [1 / 6, 1, 1, 1, *[1 / 6] * 5])
+    assert len(copy_weights(np.zeros((0, 64), np.int64))) == 0
