@@ -8,9 +8,11 @@ beside the last token of what comes before it. So a prefix that many words share
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
+import struct
 from functools import lru_cache
 from itertools import chain
 
@@ -36,8 +38,8 @@ def byte_alphabet() -> dict[str, int]:
 class TrieBpe:
     """Encoder and decoder of a tokenizers JSON file with a byte-level BPE model."""
 
-    #: Units kept with their ids; beyond, the store starts anew.
-    KEEP = 400_000
+    #: Units, and words, kept with their ids; beyond, the store starts anew.
+    KEEP = 1_000_000
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -59,10 +61,16 @@ class TrieBpe:
             self.merge[a, b] = rank
             parents.setdefault(self.ids[raw[left] + raw[right]], (rank, a, b))
         self.parents = parents
-        self.longest = max(map(len, self.ids))
+        self._back: dict = {}  # the tokens' bytes from their ends, each token under -1
+        for b, i in self.ids.items():
+            at = self._back
+            for c in reversed(b):
+                at = at.setdefault(c, {})
+            at[-1] = i
         self._beside: dict[int, bool] = {}
         self._spines: dict[int, tuple] = {}
         self._units: dict[str, bytes] = {}
+        self._words: dict[bytes, bytes] = {}
         self._cut = re.compile("|".join(map(re.escape, self.special))) if self.special else None
 
     def _spine(self, token: int, side: int) -> list[tuple[int, float]]:
@@ -118,38 +126,63 @@ class TrieBpe:
                 at = nxt
             ends[at] = w
         out: dict[bytes, list[int]] = {}
-        ids, beside, longest = self.ids, self.beside, self.longest
-        path = bytearray()
-        last: list[int] = [-1]  # of the prefix of each length
-        size: list[int] = [0]
+        back, known, beside = self._back, self._beside, self.beside
+        depths = 2 + max(map(len, words), default=0)
+        path, last, size = [0] * depths, [0] * depths, [0] * depths  # by the prefix's length
         walk = [(n, c, 1) for c, n in children[0].items()]
         while walk:
             node, byte, depth = walk.pop()
-            del path[depth - 1 :], last[depth:], size[depth:]
-            path.append(byte)
-            for n in range(min(depth, longest), 0, -1):
-                t = ids.get(bytes(path[depth - n :]))
-                if t is not None and (n == depth or beside(last[depth - n], t)):
-                    last.append(t)
-                    size.append(n)
-                    break
+            path[depth] = byte
+            # the tokens that end here, short ones first
+            tokens, at, n = [], back, depth
+            while n and (at := at.get(path[n])) is not None:
+                n -= 1
+                t = at.get(-1)
+                if t is not None:
+                    tokens.append((t, n))
+            for t, before in reversed(tokens):
+                if before:
+                    ok = known.get(last[before] << 20 | t)
+                    if not (beside(last[before], t) if ok is None else ok):
+                        continue
+                last[depth], size[depth] = t, before
+                break
             w = ends.get(node)
             if w is not None:
                 got, d = [], depth
                 while d:
                     got.append(last[d])
-                    d -= size[d]
+                    d = size[d]
                 out[w] = got[::-1]
-            walk.extend((n, c, depth + 1) for c, n in children[node].items())
+            for c, n in children[node].items():
+                walk.append((n, c, depth + 1))
         return out
 
     def learn(self, units: set[str]) -> None:
-        """Encode units that are not known yet."""
-        cut = {u: [w.encode() for w in WORDS.findall(u)] for u in units}
-        ids = self.encode_words(set(chain.from_iterable(cut.values())))
-        packed = {w: np.array(i, "<u4").tobytes() for w, i in ids.items()}
+        """Encode units that are not known yet; their words that are known are not encoded again."""
+        if not units:
+            return
+        on = gc.isenabled()
+        gc.disable()  # nothing here is cyclic, and the trie's many small dicts would be looked through again and again
+        try:
+            self._learn(units)
+        finally:
+            if on:
+                gc.enable()
+
+    def _learn(self, units: set[str]) -> None:
+        letters = (u for u in units if u.isascii() and (u[1:] if u[0] == " " else u).isalpha())
+        cut = {u: [u.encode()] for u in letters}  # such a unit is a word
+        cut.update((u, [w.encode() for w in WORDS.findall(u)]) for u in units if u not in cut)
+        new = set(chain.from_iterable(cut.values())).difference(self._words)
+        if len(self._words) + len(new) > self.KEEP:
+            self._words.clear()
+            new = set(chain.from_iterable(cut.values()))
+        for w, i in self.encode_words(new).items():
+            self._words[w] = struct.pack(f"<{len(i)}I", *i)
+        known = self._words
         for u, words in cut.items():
-            self._units[u] = b"".join([packed[w] for w in words])
+            self._units[u] = known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian uint32."""
@@ -189,15 +222,15 @@ def _digest(path: str):
         bpe = load(path)
         dec = [str(i).encode() for i in range(len(bpe.bytes))]
         for batch in batches:
-            for a in range(0, batch.num_rows, 200):
-                texts = [t or "" for t in batch.column(1).slice(a, 200).to_pylist()]
+            for a in range(0, batch.num_rows, 500):
+                texts = [t or "" for t in batch.column(1).slice(a, 500).to_pylist()]
                 rows = []
                 for ids in bpe.encode_batch(texts):
                     got = np.frombuffer(ids, "<u4").tolist()
                     joined = hashlib.sha256(b",".join(map(dec.__getitem__, got))).hexdigest()
                     rows.append((len(got), joined, hashlib.sha256(bpe.decode(got).encode()).hexdigest()))
                 n, i, d = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 200), pa.array(n, pa.int64()), pa.array(i), pa.array(d)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 500), pa.array(n, pa.int64()), pa.array(i), pa.array(d)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 
