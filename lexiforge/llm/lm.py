@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import _stream, buckets_for, crc_remainder, materialize, mix, slabs, small_batches, text_buffer, word_hashes
 
-WORDS, RARE, FREQUENT, PER_CLASS, HIDDEN = 960, 64, 1 << 16, 32, 24
+WORDS, RARE, FREQUENT, PER_CLASS, HIDDEN = 960, 64, 1 << 16, 32, 16
 WINDOW, LANES, ROUNDS, RATE, CALM, SEGMENT = 32, 256, 3, 0.1, 1e-6, 512
 END = int(_stream("end of text", 1)[0])
 _PART = 1 << 14
@@ -251,8 +251,10 @@ class Gru:
         order = np.argsort(cls.astype(np.uint16), kind="stable")
         h, cls, inside = h[order], cls[order], inside[order]
         rows = np.arange(len(h))
-        logit = h @ self.w["c"][:-1] + self.w["c"][-1]
-        logit -= logit.max(1, keepdims=True)
+        # |h| is under 1, so logits stay far from what overflows unless weights run away; then they are cut
+        logit = h @ self.w["c"][:-1]
+        logit += self.w["c"][-1]
+        np.minimum(logit, 80, out=logit)
         e = np.exp(logit)
         s = e.sum(1, keepdims=True)
         out = logit[rows, cls] - np.log(s[:, 0])
@@ -267,8 +269,9 @@ class Gru:
         for c in np.flatnonzero(cut[1:] > cut[:-1]):
             i, j = cut[c], cut[c + 1]
             w = self.w["o"][c]
-            logit = h[i:j] @ w[:, :-1].T + w[:, -1]
-            logit -= logit.max(1, keepdims=True)
+            logit = h[i:j] @ w[:, :-1].T
+            logit += w[:, -1]
+            np.minimum(logit, 80, out=logit)
             e = np.exp(logit)
             s = e.sum(1, keepdims=True)
             at = np.arange(j - i)
@@ -487,14 +490,14 @@ def _score(shared, lexicon, n_buckets: int, most: int = 1 << 21):
             yield pa.RecordBatch.from_arrays(cols, _NAMES)
             ask = np.flatnonzero(~known)
             if len(ask):
-                x, d = h[ask], key[doc[ask]]
+                x, d = h[ask], doc[ask].astype("<u4")
                 bucket = ((x >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)
                 order = np.argsort(bucket, kind="stable")
                 x, d = x[order], d[order]
                 cut = np.searchsorted(bucket[order], np.arange(n_buckets + 1, dtype=np.uint64))
                 some = [(b, i, j) for b, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i]
                 k = len(some)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.array([b for b, _, _ in some], pa.int32()), *(pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())), pa.array([x[i:j].tobytes() + d[i:j].tobytes() for _, i, j in some], pa.binary())], _NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.array([b for b, _, _ in some], pa.int32()), pa.array(np.full(k, key[0])), *(pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())), pa.array([x[i:j].tobytes() + d[i:j].tobytes() for _, i, j in some], pa.binary())], _NAMES)
 
     return run
 
@@ -504,13 +507,15 @@ _NAMES = [c.split()[0] for c in _SCORED.split(", ")]
 
 
 def _answer(batches):
-    """A partition's count shards (kind 0) and wishes (kind 1): per text the sum of log10(count + 1) and the known tokens."""
+    """A partition's count shards (kind 0) and wishes (kind 1): per chunk of texts their places, sums of
+    log10(count + 1) and known tokens."""
     have, asks = [], []
     for b in batches:
-        for kind, data in zip(b.column(1).to_pylist(), b.column(2), strict=True):
+        for kind, key, data in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
             raw = data.as_buffer()
             if kind:
-                asks.append((np.frombuffer(raw, "<u8", raw.size // 16), np.frombuffer(raw, "<i8", raw.size // 16, raw.size // 2)))
+                n = raw.size // 12
+                asks.append((key, np.frombuffer(raw, "<u8", n), np.frombuffer(raw, "<u4", n, 8 * n)))
             else:
                 have.append(_unpack(raw)[:2])
     if not asks:
@@ -519,11 +524,26 @@ def _answer(batches):
     c = np.concatenate([x[1] for x in have]) if have else np.zeros(0, np.int64)
     order = np.argsort(h)
     h, c = np.append(h[order], np.uint64(_M64)), np.append(c[order], 0)
-    for x, key in asks:
+    for key, x, d in asks:
         at = np.minimum(np.searchsorted(h, x), len(h) - 1)
         n = np.where(h[at] == x, c[at], 0)
-        keys, inv = np.unique(key, return_inverse=True)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(inv, np.log10(n + 1.0))), pa.array(np.bincount(inv, n > 0).astype(np.int64))], ["key", "more", "known"])
+        texts, inv = np.unique(d, return_inverse=True)
+        data = texts.astype("<u4").tobytes() + np.bincount(inv, n > 0).astype("<u4").tobytes() + np.bincount(inv, np.log10(n + 1.0)).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([data], pa.binary())], ["key", "data"])
+
+
+def _gather(tbl: pa.Table) -> pa.Table:
+    """A chunk's answers to its texts' sums."""
+    texts, known, more = [], [], []
+    for data in tbl.column("data"):
+        raw = data.as_buffer()
+        n = raw.size // 16
+        texts.append(np.frombuffer(raw, "<u4", n))
+        known.append(np.frombuffer(raw, "<u4", n, 4 * n))
+        more.append(np.frombuffer(raw, "<f8", n, 8 * n))
+    at, inv = np.unique(np.concatenate(texts), return_inverse=True)
+    key = tbl.column("key")[0].as_py()
+    return pa.table({"key": key + at.astype(np.int64), "more": np.bincount(inv, np.concatenate(more)), "known": np.bincount(inv, np.concatenate(known)).astype(np.int64)})
 
 
 _M64 = (1 << 64) - 1
@@ -540,10 +560,10 @@ def score_texts(docs: DataFrame, training: DataFrame) -> DataFrame:
     n = buckets_for(docs, 0.6)
     scored = materialize(docs.select("doc_id", "text").mapInArrow(_score(weights, shared_lexicon, n), _SCORED))
     # the table's shards were dealt by the training texts' own number of buckets; deal them like the wishes
-    wishes = scored.where("kind = 1").select("bucket", "kind", "data")
-    shards = table.mapInArrow(_deal(n), "bucket int, kind int, data binary")
-    told = wishes.unionByName(shards).repartitionById(n, F.col("bucket")).mapInArrow(_answer, "key long, more double, known long")
-    told = told.groupBy("key").agg(F.sum("more").alias("more"), F.sum("known").alias("known"))
+    wishes = scored.where("kind = 1").select("bucket", "kind", "key", "data")
+    shards = table.mapInArrow(_deal(n), "bucket int, kind int, key long, data binary")
+    told = wishes.unionByName(shards).repartitionById(n, F.col("bucket")).mapInArrow(_answer, "key long, data binary")
+    told = told.groupBy("key").applyInArrow(_gather, "key long, more double, known long")
     out = scored.where("kind = 0").select("key", "doc_id", "n_tokens", "n_known", "base", "score").join(told, "key", "left")
     more, floor = F.coalesce("more", F.lit(0.0)), float(np.log10(lexicon.n + lexicon.v + 1))
     return out.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(lexicon.n).cast("long").alias("train_tokens"), (F.col("base") + more - F.col("n_tokens") * floor).alias("base_score"), (F.col("score") + more).alias("score"))
@@ -557,7 +577,7 @@ def _deal(n_buckets: int):
                 bucket = ((h >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)
                 cut = np.searchsorted(bucket, np.arange(n_buckets + 1, dtype=np.uint64))
                 some = [(k, i, j) for k, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i]
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in some], pa.int32()), pa.array(np.zeros(len(some), np.int32)), pa.array([h[i:j].tobytes() + c[i:j].astype("<u4").tobytes() + r[i:j].tobytes() for _, i, j in some], pa.binary())], ["bucket", "kind", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in some], pa.int32()), pa.array(np.zeros(len(some), np.int32)), pa.nulls(len(some), pa.int64()), pa.array([h[i:j].tobytes() + c[i:j].astype("<u4").tobytes() + r[i:j].tobytes() for _, i, j in some], pa.binary())], ["bucket", "kind", "key", "data"])
 
     return run
 
