@@ -1,14 +1,16 @@
 """N-gram Jaccard join with a count-vector R-tree.
 
 1. Each text becomes its set of word shingles, as 64-bit hashes. Texts with equal sets form a class.
-2. A sketch of hashed shingle counts puts all shingles in one global order, rare ones first. Two sets that
-   link share a shingle among the first ``n - ceil(threshold * n) + 1`` of each (the prefix argument), so
-   classes that meet on such a shingle are joined into blocks; a link never leaves its block.
-3. In a block, shingles are hashed into groups and each class is the point of its group counts. An R-tree
+2. Each shingle is told whether another set has it too. A set that links shares at least the threshold's part
+   of its own shingles, so all others, passages that they quote notwithstanding, are done.
+3. A sketch of the rest's hashed shingle counts puts their shingles in one global order, rare ones first. Two
+   sets that link share a shingle among the first ``n - ceil(threshold * n) + 1`` of each (the prefix argument),
+   so classes that meet on such a shingle are joined into blocks; a link never leaves its block.
+4. In a block, shingles are hashed into groups and each class is the point of its group counts. An R-tree
    over the points keeps each node's largest coordinates; the sum over groups of the smaller coordinate
    bounds the overlap of a class with a point or with anything below a node. What the bound does not
    exclude is verified on the sets. Classes that are in one component already need no verification.
-4. A block that is too large for a task is cut into parts, and every pair of parts is a task.
+5. A block that is too large for a task is cut into parts, and every pair of parts is a task.
 """
 
 from __future__ import annotations
@@ -18,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _stream, buckets_for, connected_components, free_shuffles, materialize, mix, plan_bytes, release, rolling, slabs, small_batches, text_buffer, word_hashes
+from .common import _stream, buckets_for, connected_components, free_shuffles, materialize, mix, release, rolling, slabs, small_batches, text_buffer, word_hashes
 
 _BASE = 0xA0761D6478BD642F
 #: Sketch buckets (a power of two): 16 MB of int32 at most, whatever the corpus.
 SKETCH = 1 << 22
+#: Shingles of a chunk: their places fit two bytes.
+CHUNK = 1 << 16
 #: Bytes of sets and number of classes that one task takes from a block.
 PART_BYTES, PART_CLASSES = 48 << 20, 20_000
 GROUPS, LEAF, FANOUT = 64, 32, 16
@@ -64,22 +68,124 @@ def _set_ids(h: np.ndarray, offs: np.ndarray) -> np.ndarray:
         return (total[offs[1:]] - total[offs[:-1]]).astype(np.int64)
 
 
-def _describe(width: int, sketch: int, part: int = 1 << 14):
-    """Rows (doc_id, n, cls) of the texts, and at a task's end its sketch in parts: (-, part number, -, counts)."""
+def _shared_shingles(width: int, n_buckets: int):
+    """Per chunk of sets: for each bucket its distinct shingles (32 further bits of the hash) and their places;
+    a header with the sets' classes, sizes and shingles that repeat inside the chunk; and the rows themselves."""
 
     def run(batches):
-        counts = np.zeros(sketch, np.int32)
+        from pyspark import TaskContext
+
+        task, made = TaskContext.get().partitionId(), 0
+        schema = [("bucket", pa.int32()), ("chunk", pa.string()), ("kind", pa.int32()), ("data", pa.binary())]
+
+        def chunk(seg: list[tuple[int, int, int]], h: np.ndarray):
+            nonlocal made
+            made += 1
+            name = f"{task}-{made}"
+            keys, first, inverse, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+            local = count[inverse] > 1
+            scaled = (keys >> np.uint64(32)) * np.uint64(n_buckets)
+            cut = np.searchsorted(scaled >> np.uint64(32), np.arange(n_buckets + 1, dtype=np.uint64))
+            rest = ((scaled & np.uint64(0xFFFFFFFF)) ^ (keys & np.uint64(0xFFFFFFFF))).astype("<u4")
+            head = len(seg).to_bytes(4, "little") + np.array(seg, "<i8").tobytes() + np.packbits(local).tobytes()
+            out = [(int(keys[0] % np.uint64(n_buckets)), name, 1, head)]
+            out += [(b, name, 0, rest[i:j].tobytes() + first[i:j].astype("<u2").tobytes()) for b, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i]
+            return pa.RecordBatch.from_pydict({k: pa.array([r[c] for r in out], t) for c, (k, t) in enumerate(schema)})
+
         for (ids,), text in slabs(batches, ["doc_id"]):
             h, offs = shingle_sets(text, width)
-            np.add.at(counts, (h & np.uint64(sketch - 1)).astype(np.int64), 1)
-            n = offs[1:] - offs[:-1]
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(_set_ids(h, offs)), pa.nulls(len(n), pa.binary())], ["doc_id", "n", "cls", "counts"])
+            cls, n = _set_ids(h, offs), np.diff(offs)
+            known = ids.is_valid().to_numpy(zero_copy_only=False)
+            rows = np.stack([ids.fill_null(0).to_numpy(zero_copy_only=False), known, n, cls], 1).astype("<i8").tobytes()
+            yield pa.RecordBatch.from_pydict({k: pa.array([v], t) for (k, t), v in zip(schema, (int(made % n_buckets), f"{task}", 2, rows), strict=True)})
+            seg: list = []
+            cuts: list = []
+            total = 0
+            for d in np.flatnonzero(n):
+                for at in range(0, int(n[d]), CHUNK):
+                    m = min(CHUNK, int(n[d]) - at)
+                    if total + m > CHUNK:
+                        yield chunk(seg, np.concatenate([h[a:b] for a, b in cuts]))
+                        seg, cuts, total = [], [], 0
+                    seg.append((int(cls[d]), at, m))
+                    cuts.append((offs[d] + at, offs[d] + at + m))
+                    total += m
+            if seg:
+                yield chunk(seg, np.concatenate([h[a:b] for a, b in cuts]))
+
+    return run
+
+
+def _reply(batches):
+    """All of a bucket's shingles meet here: reply to each chunk with the places of those that other chunks have too."""
+    names: list[str] = []
+    hs, ps = [], []
+    for batch in batches:
+        bucket, chunk, kind, data = (batch.column(batch.schema.get_field_index(c)) for c in ("bucket", "chunk", "kind", "data"))
+        keep = kind.to_numpy(zero_copy_only=False) > 0
+        if keep.any():
+            mask = pa.array(keep)
+            yield pa.RecordBatch.from_arrays([chunk.filter(mask), kind.filter(mask), data.filter(mask)], ["chunk", "kind", "data"])
+        for i, b in zip(np.flatnonzero(~keep), bucket.to_numpy(zero_copy_only=False)[~keep], strict=True):
+            raw = data[int(i)].as_buffer()
+            n = raw.size // 6
+            hs.append(np.frombuffer(raw, "<u4", n).astype(np.uint64) | np.uint64(int(b) << 32))
+            ps.append(np.frombuffer(raw, "<u2", n, 4 * n))
+            names.append(chunk[int(i)].as_py())
+    if not hs:
+        return
+    size = [len(a) for a in hs]
+    h = np.concatenate(hs)
+    hs.clear()
+    order = np.argsort(h)
+    h = h[order]
+    same = np.concatenate(([False], h[1:] == h[:-1]))
+    order = order[same | np.append(same[1:], False)]
+    src = np.repeat(np.arange(len(size)), size)[order]
+    by = np.argsort(src, kind="stable")
+    src, place = src[by], np.concatenate(ps)[order][by]
+    ids, at = np.unique(src, return_index=True)
+    parts = np.split(place, at[1:])
+    for a in range(0, len(ids), 10_000):
+        some = ids[a : a + 10_000]
+        yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in some], pa.string()), pa.array(np.zeros(len(some), np.int32)), pa.array([p.tobytes() for p in parts[a : a + 10_000]], pa.binary())], ["chunk", "kind", "data"])
+
+
+def _shares(tbl: pa.Table) -> pa.Table:
+    """A chunk's header and replies to its sets' (class, first place, shingles that other sets have)."""
+    kind, data = tbl.column("kind").to_pylist(), tbl.column("data").to_pylist()
+    head = next(d for k, d in zip(kind, data, strict=True) if k == 1)
+    n = int.from_bytes(head[:4], "little")
+    seg = np.frombuffer(head, "<i8", 3 * n, 4).reshape(n, 3)
+    total = int(seg[:, 2].sum())
+    flags = np.unpackbits(np.frombuffer(head, np.uint8, -(-total // 8), 4 + 24 * n), count=total).astype(np.int64)
+    for k, d in zip(kind, data, strict=True):
+        if k == 0:
+            flags[np.frombuffer(d, "<u2")] = 1
+    shared = np.add.reduceat(flags, np.cumsum(seg[:, 2]) - seg[:, 2])
+    return pa.table({"cls": seg[:, 0], "at": seg[:, 1], "shared": shared})
+
+
+def _rows(batches):
+    for b in batches:
+        for data in b.column(0):
+            r = np.frombuffer(data.as_buffer(), "<i8").reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([pa.array(r[:, 0], mask=r[:, 1] == 0), pa.array(r[:, 2]), pa.array(r[:, 3])], ["doc_id", "n", "cls"])
+
+
+def _sketch(width: int, sketch: int, part: int):
+    """A task's counts of hashed shingles, in parts."""
+
+    def run(batches):
+        counts = np.zeros(sketch, np.int32)
+        for _, text in slabs(batches, []):
+            np.add.at(counts, (shingle_sets(text, width)[0] & np.uint64(sketch - 1)).astype(np.int64), 1)
         for k in range(0, sketch, part):
             some = counts[k : k + part]
             at = np.flatnonzero(some)
             if len(at):
                 data = at.astype("<u2").tobytes() + some[at].tobytes() if len(at) * 6 < some.nbytes else some.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([k // part], pa.int64()), pa.nulls(1, pa.int64()), pa.array([data], pa.binary())], ["doc_id", "n", "cls", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([k // part], pa.int64()), pa.array([data], pa.binary())], ["n", "counts"])
 
     return run
 
@@ -258,32 +364,41 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    step = 1 << 14
-    while sketch > step and sketch * 256 > plan_bytes(docs) > 0:  # some dozens of shingles a bucket suffice
+    n = buckets_for(docs, 1.8)
+    met = docs.mapInArrow(_shared_shingles(width, n), "bucket int, chunk string, kind int, data binary").repartitionById(n, F.col("bucket"))
+    told = materialize(met.mapInArrow(_reply, "chunk string, kind int, data binary"))
+    del met
+    free_shuffles(spark)
+    rows = materialize(told.where("kind = 2").select("data").mapInArrow(_rows, "doc_id long, n long, cls long"))
+    shares = told.where("kind < 2").groupBy("chunk").applyInArrow(_shares, "cls long, at long, shared long")
+    shares = shares.groupBy("cls", "at").agg(F.max("shared").alias("shared")).groupBy("cls").agg(F.sum("shared").alias("shared"))
+    classes = rows.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
+    may = classes.join(shares, "cls").where(F.col("shared") * 100 >= F.col("n") * percent).select("cls", "doc_id", "n")
+    may = materialize(docs.join(may, "doc_id"))  # one text of each class that may link
+    release(told)
+    free_shuffles(spark)
+
+    step, total = 1 << 14, may.agg(F.sum("n")).first()[0] or 0
+    while sketch > step and sketch > 2 * total:
         sketch //= 2
     sketch = max(step, sketch)
-    told = materialize(docs.mapInArrow(_describe(width, sketch, step), "doc_id long, n long, cls long, counts binary"))
-    rows = told.where("counts is null").select("doc_id", "n", "cls")
-    sums = told.where("counts is not null").select("n", "counts").repartition(F.col("n")).mapInArrow(_add_counts(step), "n long, counts binary")
+    sums = may.mapInArrow(_sketch(width, sketch, step), "n long, counts binary").repartition(F.col("n")).mapInArrow(_add_counts(step), "n long, counts binary")
     counts = np.zeros(sketch, np.int32)
     for r in sums.toLocalIterator():  # sketch/step rows of 4*step bytes: a fixed size
         counts[r.n * step : (r.n + 1) * step] = np.frombuffer(r.counts, "<i4")
     shared = spark.sparkContext.broadcast(counts)
-
-    n = buckets_for(docs, 2.0)
-    met = docs.mapInArrow(_prefixes(width, percent, shared, n), "bucket int, data binary").repartitionById(n, F.col("bucket"))
+    n = buckets_for(may, 2.0)
+    met = may.mapInArrow(_prefixes(width, percent, shared, n), "bucket int, data binary").repartitionById(n, F.col("bucket"))
     edges = materialize(met.mapInArrow(_meet, "a long, b long"))
     del met
     free_shuffles(spark)
     blocks = materialize(connected_components(edges))
     release(edges)
 
-    # one text of each class that is in a block
-    some = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")).join(blocks, F.col("cls") == F.col("id")).select(F.col("component").alias("block"), "cls", "doc_id", "n")
+    some = may.select("cls", "n").join(blocks, F.col("cls") == F.col("id")).select(F.col("component").alias("block"), "cls", "n")
     size = some.groupBy("block").agg(F.sum(F.col("n") * 8).alias("bytes"), F.count("*").alias("classes"))
     size = size.select("block", F.greatest(F.ceil(F.col("bytes") / part_bytes), F.ceil(F.col("classes") / part_classes)).cast("int").alias("parts"))
-    some = materialize(some.join(size, "block"))
-    found = docs.join(some.select("block", "cls", "doc_id", "parts"), "doc_id").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+    found = may.select("cls", "text").join(some.select("block", "cls"), "cls").join(size, "block").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
     # of a block in parts, a part meets itself and each other part once
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     dealt = found.select("block", "cls", "text", (F.col("parts") == 1).alias("whole"), F.col("part").alias("side"), other).select("*", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"))
