@@ -9,7 +9,9 @@ ranked within their length (a count per task and length, no global sort) and loo
 
 from __future__ import annotations
 
+import json
 import os
+import struct
 import zlib
 from bisect import bisect_right
 
@@ -19,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import UNITS, tokenizer_path
+from .bpe import UNITS, byte_alphabet, tokenizer_path
 from .common import materialize, small_batches
 
 SEQUENCE, END = 1024, 2
@@ -27,9 +29,13 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task
 
 
 class CachedEncoder:
-    """The tokenizers library on distinct units (see bpe); texts with an added token's string go to it whole."""
+    """The tokenizers library's ids, each distinct unit (see bpe) encoded once.
 
-    KEEP = 400_000
+    Where the file's ids follow its merges, as byte-level files' do, units go through tiktoken's merge loop with
+    the same vocabulary, which takes a sixth of the library's time and gives its ids; else, and for units of odd
+    white space, through the library. Texts with an added token's string go to the library whole."""
+
+    KEEP = 1_000_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -39,10 +45,40 @@ class CachedEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.fast = self._merge_loop(path)
+        self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
         self.known: dict[str, bytes] = {}
 
+    @staticmethod
+    def _merge_loop(path: str):
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        alphabet, vocab = byte_alphabet(), model["vocab"]
+        pairs = ((m.split(" ") if isinstance(m, str) else m) for m in model["merges"])
+        if [vocab["".join(p)] for p in pairs] != list(range(256, 256 + len(model["merges"]))):
+            return None
+        ranks = {bytes(alphabet[c] for c in t): i for t, i in vocab.items() if i < 256 + len(model["merges"])}
+        return tiktoken.Encoding("units", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, units: list[str]) -> None:
+        """Many units in one text, a line each: a line's end is a token of its own beside anything but white space."""
+        plain = [] if self.fast is None else [u for u in units if len(u) > 1 and not (u[0] if u[0] != " " else u[1]).isspace() or len(u) == 1 and not u.isspace()]
+        other = list(set(units).difference(plain))
+        self.known.update(zip(other, self._encode(other), strict=True))
+        for a in range(0, len(plain), 2000):
+            some = plain[a : a + 2000]
+            ids = np.array(self.fast.encode_ordinary("\n".join(["", *some, ""])), "<u4")
+            at = (4 * np.flatnonzero(ids == self.line)).tolist()
+            raw = ids.tobytes()
+            if len(at) != len(some) + 1:
+                raise RuntimeError("a line end merged with a unit")
+            self.known.update(zip(some, [raw[i + 4 : j] for i, j in zip(at[:-1], at[1:], strict=True)], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian uint32."""
@@ -51,8 +87,7 @@ class CachedEncoder:
         if len(self.known) + len(new) > self.KEEP:
             self.known.clear()
             new = list(set().union(*(u for u in units if u is not None)))
-        for a in range(0, len(new), 5000):
-            self.known.update(zip(new[a : a + 5000], self._encode(new[a : a + 5000]), strict=True))
+        self._learn(new)
         known = self.known.__getitem__
         return [b"".join(map(known, u)) if u is not None else self._encode([t])[0] for u, t in zip(units, texts, strict=True)]
 

@@ -6,7 +6,8 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from lexiforge.llm.packing import op4_pack, plan_packing
+from lexiforge.llm.packing import CachedEncoder, op4_pack, plan_packing
+from test_bpe import odd_texts
 
 PATH = str(public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -55,3 +56,10 @@ def test_query(spark, folder, empty, docs):
         own.sort()
         assert [o for o, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))] and sum(n for _, n in own) <= 1024
     assert op4_pack(spark, empty).count() == 0
+
+
+def test_units_are_encoded_like_whole_texts():
+    texts, tok = odd_texts(), Tokenizer.from_file(PATH)
+    want = [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch(texts, add_special_tokens=False)]
+    encoder = CachedEncoder(PATH)
+    assert encoder.encode(texts) == want and encoder.encode(texts) == want
