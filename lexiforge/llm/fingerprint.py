@@ -75,10 +75,14 @@ def op9_fingerprint(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     order = next_ids(docs.select("doc_id", F.length("text").alias("n")), "doc_id", "n")
     asked = order.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("asker"), "k")
-    told = docs.join(asked, "doc_id").select("asker", F.struct(F.expr("substring(text, 1, cast(k as int))").alias("head"), counts(F.col("text")).alias("next")).alias("s"))
+    # both joins read one shuffle of the texts; a broadcast of ids would only save it on small tables
+    keyed = docs.where("doc_id is not null")
+    told = keyed.join(asked.hint("merge"), "doc_id").select("asker", F.struct(F.expr("substring(text, 1, cast(k as int))").alias("head"), counts(F.col("text")).alias("next")).alias("s"))
     told = told.groupBy("asker").agg(F.min("s").alias("s")).select(F.col("asker").alias("doc_id"), "s.head", "s.next")
+    both = keyed.join(told.hint("merge"), "doc_id", "left").select("doc_id", "text", "head", "next")
+    both = both.unionByName(docs.where("doc_id is null").withColumns({"head": F.lit(None).cast("string"), "next": F.lit(None).cast("array<bigint>")}))
+    both = both.withColumn("n_chars", F.length("text").cast("long"))
     k = "cast(floor(n_chars / 3) as int)"
-    both = docs.join(told, "doc_id", "left").withColumn("n_chars", F.length("text").cast("long"))
     both = both.select("doc_id", "n_chars", "text", "next", F.expr(f"concat(substring(text, 1, cast(n_chars as int) - {k}), substring(coalesce(head, ''), 1, {k}))").alias("edited"))
     both = both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), counts(F.col("text")).alias("a"), counts(F.col("edited")).alias("b"), F.coalesce("next", counts(F.lit(""))).alias("c"))
     both = both.select("doc_id", "n_chars", "edited_sha256", *(lanes(F.col(x)).alias(x) for x in "abc"))
