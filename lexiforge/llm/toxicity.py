@@ -1,15 +1,19 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine, over a block-max inverted index.
 
 A bounded sample of labelled rows (EXAMPLES of each class, those with the smallest hash of doc_id) gives the
-examples. Their vocabulary is the terms whose document rates differ between the classes; terms are lower-cased
-words and the words' beginnings, near copies counting as one text. The index keeps, for each term, its postings in blocks of examples and each
-block's largest weight, so a block whose bound cannot reach the k-th best cosine is never opened and the k
-nearest are exact. Votes weighted by squared cosine are calibrated by isotonic regression on the examples'
-own leave-one-out votes, reweighted to the classes' shares of the labels.
+examples. All their terms are indexed: lower-cased words and the words' beginnings. A term weighs by TF-IDF, and
+FAINT times that unless its document rates differ between the classes, near copies counting as one text there.
+Texts are scored in batches: terms of few examples from their postings, the commonest from dense blocks of
+examples; a block whose bound (with its largest weight of each common term) cannot reach the k-th best cosine is
+never opened, and what reaches it is computed anew in double precision, so the k nearest are exact. Votes weigh
+by the squared cotangent of the angle (a copy outvotes what is merely like it), near copies sharing one vote, and
+are calibrated by isotonic regression on the examples' own leave-one-out votes, reweighted to the classes' shares
+of the labels.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -17,11 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, mix, slabs, small_batches, text_buffer, word_hashes
+from .common import crc_remainder, materialize, mix, slabs, small_batches, text_buffer, word_hashes
 
 #: CHI: the chi-square of a chance of 1e-7, as about a million terms are tried.
-#: MINIMA: hashes that estimate the similarity of two examples.
-EXAMPLES, VOCABULARY, BLOCK, PREFIX, CHI, MINIMA = 3000, 4096, 64, 4, 28.4, 64
+#: MINIMA: hashes that estimate the similarity of two examples. DENSE: terms whose weights are kept as dense blocks.
+#: POSTINGS: of each class, examples beyond the first with so many terms are left out.
+EXAMPLES, BLOCK, PREFIX, CHI, MINIMA, FAINT, DENSE, POSTINGS = 3000, 64, 4, 28.4, 64, 0.01, 1024, 3_000_000
 _END = np.array([not (48 <= b < 58 or 97 <= b < 123 or 65 <= b < 91 or b >= 128) for b in range(256)])
 _HEAD = np.uint64(0x5851F42D4C957F2D)
 
@@ -44,66 +49,115 @@ class Vocabulary:
 
     def __init__(self, terms: np.ndarray):
         self.terms = np.sort(np.asarray(terms, np.uint64))
-        self.bits = np.zeros(1 << 16, bool)
-        self.bits[(self.terms & np.uint64(0xFFFF)).astype(np.int64)] = True
+        self.bits = np.zeros(1 << 22, bool)
+        self.bits[(self.terms & np.uint64(0x3FFFFF)).astype(np.int64)] = True
 
     def __call__(self, doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.terms):
             return doc[:0], np.zeros(0, np.int64)
-        may = self.bits[(h & np.uint64(0xFFFF)).astype(np.int64)]
+        may = self.bits[(h & np.uint64(0x3FFFFF)).astype(np.int64)]
         doc, h = doc[may], h[may]
         at = np.minimum(np.searchsorted(self.terms, h), len(self.terms) - 1)
         ok = self.terms[at] == h
         return doc[ok], at[ok]
 
 
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[0], ..., start[0] + n[0] - 1, start[1], ..."""
+    return np.arange(n.sum()) + np.repeat(start - np.concatenate(([0], np.cumsum(n)[:-1])), n) if len(n) else np.zeros(0, np.int64)
+
+
 class BlockMaxIndex:
-    """Postings of unit vectors by term and block, with each block's largest weight of the term."""
+    """Unit vectors by item, the postings of rarer terms, and dense blocks of items with each block's largest weight
+    of the DENSE commonest terms. All but the vectors is made on first use."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
-        n = len(vectors)
-        term = np.concatenate([v[0] for v in vectors]) if n else np.zeros(0, np.int64)
-        item = np.repeat(np.arange(n), [len(v[0]) for v in vectors])
-        w = np.concatenate([v[1] for v in vectors]) if n else np.zeros(0)
-        order = np.lexsort((item, term))
-        term, self.item, self.w = term[order], item[order], w[order]
-        block = self.item // BLOCK
-        head = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])))) if len(term) else np.zeros(0, np.int64)
-        self.start = np.append(head, len(term))  # of each (term, block)'s postings
-        self.most = np.maximum.reduceat(self.w, head) if len(head) else np.zeros(0)
-        self.block = block[head]
-        self.by_term = np.searchsorted(term[head], np.arange(n_terms + 1))
-        self.n, self.n_blocks = n, -(-n // BLOCK)
+        self.n, self.n_terms = len(vectors), n_terms
+        self.at = np.concatenate(([0], np.cumsum([len(v[0]) for v in vectors]))).astype(np.int64)
+        self.term = np.concatenate([v[0] for v in vectors]).astype(np.int32) if vectors else np.zeros(0, np.int32)
+        self.w = np.concatenate([v[1] for v in vectors]) if vectors else np.zeros(0)
+        self.made = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"made": None}
+
+    def _make(self):
+        if self.made is None:
+            item = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.at))
+            df = np.bincount(self.term, minlength=self.n_terms)
+            common = np.argsort(-df, kind="stable")[:DENSE]
+            row = np.full(self.n_terms, -1, np.int64)
+            row[common] = np.arange(len(common))
+            own = row[self.term] >= 0
+            dense = np.zeros((-(-self.n // BLOCK), len(common), BLOCK), np.float32)
+            dense[item[own] // BLOCK, row[self.term[own]], item[own] % BLOCK] = self.w[own]
+            rare = np.flatnonzero(~own)
+            rare = rare[np.argsort(self.term[rare], kind="stable")]
+            df[common] = 0
+            start = np.concatenate(([0], np.cumsum(df)))
+            self.made = row, dense, np.ascontiguousarray(dense.max(2).T), start, item[rare], self.w[rare]
+        return self.made
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k items of largest cosine over 0 (ties: the smaller item), without item skip."""
-        lists = [np.arange(self.by_term[t], self.by_term[t + 1]) for t in terms]
-        pieces = np.concatenate(lists) if lists else np.zeros(0, np.int64)
-        q = np.repeat(weights, [len(x) for x in lists])
-        bound = np.bincount(self.block[pieces], q * self.most[pieces], self.n_blocks)
-        by = np.argsort(self.block[pieces], kind="stable")
-        pieces, q = pieces[by], q[by]
-        at = np.searchsorted(self.block[pieces], np.arange(self.n_blocks + 1))
-        items, cosines, kth = np.zeros(0, np.int64), np.zeros(0), 0.0
-        order = np.argsort(-bound, kind="stable")
-        for g in range(0, len(order), 4):
-            open_ = [b for b in order[g : g + 4] if bound[b] > 0 and bound[b] >= kth - 1e-12]
-            if not open_:
-                break
-            for b in open_:
-                scores = np.zeros(BLOCK)
-                for p, x in zip(pieces[at[b] : at[b + 1]], q[at[b] : at[b + 1]], strict=True):
-                    i, j = self.start[p], self.start[p + 1]
-                    scores[self.item[i:j] - b * BLOCK] += x * self.w[i:j]
-                hit = np.flatnonzero(scores > 0)
-                hit = hit[hit + b * BLOCK != skip]
-                items, cosines = np.append(items, hit + b * BLOCK), np.append(cosines, scores[hit])
-            if len(items) > k:
-                best = np.lexsort((items, -cosines))[:k]
-                items, cosines = items[best], cosines[best]
-            kth = cosines.min() if len(items) >= k else 0.0
-        best = np.lexsort((items, -cosines))[:k]
-        return items[best], cosines[best]
+        return next(self.nearest_many(np.array([0, len(terms)]), terms, weights, k, np.array([skip])))
+
+    def nearest_many(self, at: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, skip: np.ndarray | None = None, most: int = 2_000_000):
+        """nearest of each vector terms[at[i] : at[i + 1]], those being different and sorted."""
+        row, _, _, start, _, _ = self._make()
+        visits = np.concatenate(([0], np.cumsum(start[terms + 1] - start[terms])))[at]
+        i, n = 0, len(at) - 1
+        while i < n:
+            j = max(i + 1, min(i + 128, int(np.searchsorted(visits, visits[i] + most, "right")) - 1))
+            yield from self._batch(at[i : j + 1] - at[i], terms[at[i] : at[j]], weights[at[i] : at[j]], k, np.full(j - i, -1) if skip is None else skip[i:j])
+            i = j
+
+    def _batch(self, at, terms, weights, k, skip):
+        row, dense, tops, start, items, w = self._make()
+        m, blocks = len(at) - 1, len(dense)
+        if not blocks:
+            yield from ((np.zeros(0, np.int64), np.zeros(0)) for _ in range(m))
+            return
+        text = np.repeat(np.arange(m), np.diff(at))
+        common = row[terms] >= 0
+        q = np.zeros((m, dense.shape[1]), np.float32)
+        q[text[common], row[terms[common]]] = weights[common]
+        t, x, d = terms[~common], weights[~common], text[~common]
+        n = start[t + 1] - start[t]
+        r = _ranges(start[t], n)
+        part = np.bincount(np.repeat(d * (blocks * BLOCK), n) + items[r], np.repeat(x, n) * w[r], m * blocks * BLOCK).astype(np.float32).reshape(m, blocks, BLOCK)
+        bound = part.max(2) + q @ tops
+        cosine = np.zeros((m, blocks, BLOCK), np.float32)
+        flat = cosine.reshape(m, -1)
+        slack = np.float32(1e-5)  # more than single precision can be off
+
+        def reach():
+            hit = skip >= 0
+            flat[np.flatnonzero(hit), skip[hit]] = 0
+            return np.partition(flat, -k, axis=1)[:, -k] if flat.shape[1] > k else np.zeros(m, np.float32)
+
+        done = np.zeros((m, blocks), bool)
+        first = min(4, blocks)
+        todo = np.zeros((m, blocks), bool)
+        todo[np.arange(m)[:, None], np.argpartition(-bound, first - 1, axis=1)[:, :first]] = True
+        for _ in range(2):
+            for b in np.flatnonzero(todo.any(0)):
+                some = np.flatnonzero(todo[:, b])
+                cosine[some, b] = part[some, b] + q[some] @ dense[b]
+            done |= todo
+            kth = reach()
+            todo = (bound > 0) & (bound >= kth[:, None] - slack) & ~done
+        full = np.zeros(self.n_terms)
+        for i in range(m):
+            near = np.flatnonzero((flat[i] >= kth[i] - slack) & (flat[i] > 0))
+            mine = slice(at[i], at[i + 1])
+            full[terms[mine]] = weights[mine]
+            n = self.at[near + 1] - self.at[near]
+            r = _ranges(self.at[near], n)
+            cos = np.bincount(np.repeat(np.arange(len(near)), n), full[self.term[r]] * self.w[r], len(near))
+            full[terms[mine]] = 0
+            best = np.lexsort((near, -cos))[:k]
+            yield near[best], cos[best]
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,37 +176,44 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 @dataclass
 class ToxicityModel:
     vocabulary: Vocabulary
-    idf: np.ndarray
+    idf: np.ndarray  # times FAINT for terms that don't tell the classes
     index: BlockMaxIndex
     label: np.ndarray
+    say: np.ndarray  # the examples' shares of their near copies' vote
     ids: np.ndarray
     k: int
     prior: float  # of a text without a known term
     curve: tuple[np.ndarray, np.ndarray] | None = None
     _seen: dict = field(default_factory=dict)
 
-    def vector(self, terms: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def vectors(self, at: np.ndarray, terms: np.ndarray, tf: np.ndarray) -> np.ndarray:
+        """The unit vectors' weights; each has a term."""
         w = (1 + np.log(tf)) * self.idf[terms]
-        return terms, w / np.sqrt((w * w).sum())
+        return w / np.repeat(np.sqrt(np.add.reduceat(w * w, at[:-1])), np.diff(at)) if len(w) else w
 
-    def vote(self, terms, weights, skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        items, cos = self.index.nearest(terms, weights, self.k, skip)
+    def vote(self, items: np.ndarray, cos: np.ndarray) -> float:
         if not len(items):
-            return self.prior, items, cos
-        w = cos * cos
-        return float((w * self.label[items]).sum() / w.sum()), items, cos
-
-    def score(self, terms: np.ndarray, tf: np.ndarray) -> tuple[float, list[int], list[float]]:
-        if not len(terms):
-            return self.prior, [], []
-        key = terms.tobytes() + tf.tobytes()
-        if key not in self._seen:
-            if len(self._seen) > 50_000:
-                self._seen.clear()
-            raw, items, cos = self.vote(*self.vector(terms, tf))
-            s = raw if self.curve is None else float(np.interp(raw, *self.curve))
-            self._seen[key] = (s, self.ids[items[:3]].tolist(), np.round(cos[:3], 6).tolist())
-        return self._seen[key]
+            return self.prior
+        w = self.say[items] * cos * cos / np.maximum(1 - cos * cos, 1e-3)
+        return float((w * self.label[items]).sum() / w.sum())
+
+    def score(self, at: np.ndarray, terms: np.ndarray, tf: np.ndarray) -> list[tuple[float, list[int], list[float]]]:
+        keys = [hashlib.blake2b(terms[i:j].tobytes() + tf[i:j].tobytes(), digest_size=16).digest() if j > i else b"" for i, j in zip(at[:-1], at[1:], strict=True)]
+        seen = self._seen
+        if len(seen) > 50_000:
+            seen.clear()
+        seen[b""] = (self.prior, [], [])
+        new = {key: i for i, key in enumerate(keys) if key not in seen}
+        some = np.array(list(new.values()), np.int64)
+        if len(some):
+            n = at[some + 1] - at[some]
+            r, cut = _ranges(at[some], n), np.concatenate(([0], np.cumsum(n)))
+            found = self.index.nearest_many(cut, terms[r], self.vectors(cut, terms[r], tf[r]), self.k)
+            for key, (items, cos) in zip(new, found, strict=True):
+                raw = self.vote(items, cos)
+                s = raw if self.curve is None or not len(items) else float(np.interp(raw, *self.curve))
+                seen[key] = (s, self.ids[items[:3]].tolist(), np.round(cos[:3], 6).tolist())
+        return [seen[key] for key in keys]
 
     def __getstate__(self):
         return self.__dict__ | {"_seen": {}}
@@ -172,14 +233,22 @@ def copy_weights(minima: np.ndarray, like: float = 0.5) -> np.ndarray:
 
 
 def _example_terms(batches):
-    for (doc_id, toxic), text in slabs(batches, ["doc_id", "toxic"]):
+    """Of each row its terms and their counts, and the minima of its terms' hashes."""
+    seeds = mix(np.arange(1, MINIMA + 1).astype(np.uint64))
+    for (doc_id,), text in slabs(batches, ["doc_id"]):
         doc, h = _terms(text)
         uniq, inverse = np.unique(h, return_inverse=True)
         d, t, tf = _counted(doc, inverse, max(1, len(uniq)))
-        yield pa.RecordBatch.from_arrays([doc_id.take(pa.array(d)).cast(pa.int64()), toxic.take(pa.array(d)).cast(pa.int32()), pa.array(uniq[t].astype(np.int64)), pa.array(tf, pa.int64())], ["doc_id", "toxic", "term", "tf"])
+        cut = np.searchsorted(d, np.arange(len(text) + 1))
+        data, minima = [], []
+        hashed = np.stack([mix(uniq ^ s) for s in seeds]) if len(uniq) else None
+        for i, j in zip(cut[:-1], cut[1:], strict=True):
+            data.append(uniq[t[i:j]].tobytes() + tf[i:j].astype("<u4").tobytes())
+            minima.append(np.array([row[t[i:j]].min() for row in hashed]).tobytes() if j > i else b"\xff" * 8 * MINIMA)
+        yield pa.RecordBatch.from_arrays([doc_id.cast(pa.int64()), pa.array(np.diff(cut), pa.int64()), pa.array(data, pa.binary()), pa.array(minima, pa.binary())], ["doc_id", "n", "data", "minima"])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, vocabulary: int = VOCABULARY, k: int = 15, held_out: tuple[int, int] | None = (3, 1)) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, k: int = 15, held_out: tuple[int, int] | None = (3, 1)) -> ToxicityModel:
     """A model from at most examples labelled rows of each class; held_out: rows whose crc32(doc_id) has that
     (modulus, remainder) teach nothing. A doc_id labelled twice counts as toxic if any of its labels is 1."""
     spark = docs.sparkSession
@@ -190,51 +259,68 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, v
     total = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     order = F.xxhash64(F.col("doc_id"))
     picked = known.where("toxic = 1").orderBy(order, "doc_id").limit(examples).unionByName(known.where("toxic = 0").orderBy(order, "doc_id").limit(examples))
-    ids = picked.collect()  # at most 2 * examples small rows
+    ids = picked.select("doc_id", "toxic").collect()  # at most 2 * examples small rows
     if not ids:
-        return ToxicityModel(Vocabulary(np.zeros(0)), np.zeros(0), BlockMaxIndex([], 0), np.zeros(0), np.zeros(0, np.int64), k, 0.0)
-    small = F.broadcast(spark.createDataFrame([(r.doc_id, r.toxic) for r in ids], "doc_id long, toxic int"))
+        return ToxicityModel(Vocabulary(np.zeros(0)), np.zeros(0), BlockMaxIndex([], 0), np.zeros(0), np.zeros(0), np.zeros(0, np.int64), k, 0.0)
+    small = F.broadcast(spark.createDataFrame([(r.doc_id,) for r in ids], "doc_id long"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(small, "doc_id")
-    terms = rows.mapInArrow(_example_terms, "doc_id long, toxic int, term long, tf long").groupBy("doc_id", "toxic", "term").agg(F.max("tf").alias("tf"))
-    from .common import materialize
-
-    terms = materialize(terms)
-    # copies speak once: else every word of a copied text would tell its class
-    drawn = terms.groupBy("doc_id").agg(F.array(*(F.min(F.xxhash64("term", F.lit(k))) for k in range(MINIMA))).alias("s")).collect()  # at most 2 * examples rows
-    say = copy_weights(np.array([r.s for r in drawn], np.int64).reshape(-1, MINIMA))
-    weight = {r.doc_id: float(w) for r, w in zip(drawn, say, strict=True)}
-    n1, n0 = (sum(weight.get(r.doc_id, 1.0) for r in ids if r.toxic == c) for c in (1, 0))
-    a, b = F.col("a"), F.col("b")
-    weights = F.broadcast(spark.createDataFrame(list(weight.items()), "doc_id long, w double"))
-    by_term = terms.join(weights, "doc_id").groupBy("term").agg(F.sum(F.col("toxic") * F.col("w")).alias("a"), F.sum((1 - F.col("toxic")) * F.col("w")).alias("b")).where(a + b >= 4)
-    rate = lambda x, n: (x + 0.5) / (n + 1)
+    rows = materialize(rows.mapInArrow(_example_terms, "doc_id long, n long, data binary, minima binary"))
+    size = {r.doc_id: r.n for r in rows.groupBy("doc_id").agg(F.sum("n").alias("n")).collect()}
+    left, used = {0: POSTINGS, 1: POSTINGS}, []
+    for r in ids:  # by hash
+        if left[r.toxic] > 0:
+            used.append(r)
+            left[r.toxic] -= size.get(r.doc_id, 0)
+    ids = used
+    place = {r.doc_id: i for i, r in enumerate(ids)}
+    toxic = np.array([r.toxic for r in ids])
+    minima = np.full((len(ids), MINIMA), (1 << 64) - 1, np.uint64)
+    got_doc, got_term, got_tf = [], [], []
+    if len(ids) < len(size):
+        rows = rows.join(F.broadcast(spark.createDataFrame([(r.doc_id,) for r in ids], "doc_id long")), "doc_id")
+    for r in rows.select("doc_id", "n", "data", "minima").toLocalIterator():  # POSTINGS bounds the terms
+        i = place[r.doc_id]
+        minima[i] = np.minimum(minima[i], np.frombuffer(r.minima, np.uint64))
+        got_doc.append(np.full(r.n, i))
+        got_term.append(np.frombuffer(r.data, "<u8", r.n))
+        got_tf.append(np.frombuffer(r.data, "<u4", r.n, 8 * r.n))
+    doc, term, tf = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((got_doc, np.int64), (got_term, np.uint64), (got_tf, np.uint32)))
+    del got_doc, got_term, got_tf
+    vocab = Vocabulary(np.unique(term))
+    n_terms = len(vocab.terms)
+    key = doc * max(1, n_terms) + np.searchsorted(vocab.terms, term)
+    del doc, term
+    by = np.lexsort((tf, key))
+    key, tf = key[by], tf[by]
+    last = np.append(key[1:] != key[:-1], True) if len(key) else np.zeros(0, bool)  # a doc_id of several rows has its terms' most
+    doc, term, tf = key[last] // max(1, n_terms), key[last] % max(1, n_terms), tf[last].astype(np.int64)
+    # in the term statistics copies speak once: else every word of a copied text would tell its class
+    has = np.bincount(doc, minlength=len(ids)) > 0
+    say = np.ones(len(ids))
+    say[has] = copy_weights(minima[has].astype(np.int64))
+    n1, n0 = (say[toxic == c].sum() for c in (1, 0))
+    a, b = (np.bincount(term[toxic[doc] == c], say[doc[toxic[doc] == c]], n_terms) for c in (1, 0))
     n = n1 + n0
-    chi = n * F.pow(a * (n0 - b) - b * (n1 - a), F.lit(2)) / F.greatest(F.lit(1e-9), (a + b) * (n - a - b) * F.lit(float(max(1, n1) * max(1, n0))))
-    chosen = by_term.where((chi >= CHI) & (F.abs(F.log(rate(a, n1) / rate(b, n0))) >= float(np.log(3)))).select("term", (a + b).alias("df"), chi.alias("chi")).orderBy(F.desc("chi"), "term").limit(vocabulary).collect()
-    vocab = Vocabulary(np.array([r.term for r in chosen], np.int64).astype(np.uint64))
-    df = {np.uint64(r.term & (1 << 64) - 1): r.df for r in chosen}
-    idf = np.log((n + 1) / (np.array([df[t] for t in vocab.terms]) + 1)) + 1 if chosen else np.zeros(0)
-    keep = F.broadcast(spark.createDataFrame([(r.term,) for r in chosen], "term long"))
-    toxic = {r.doc_id: r.toxic for r in ids}
-    got: dict[int, list] = {r.doc_id: [] for r in ids}
-    for r in terms.join(keep, "term").select("doc_id", "term", "tf").collect():  # at most examples x their known terms
-        got[r.doc_id].append((int(np.searchsorted(vocab.terms, np.uint64(r.term & (1 << 64) - 1))), r.tf))
-    n1, n0 = (sum(r.toxic == c for r in ids) for c in (1, 0))
-    share = {1: total.get(1, 0) / max(1, n1), 0: total.get(0, 0) / max(1, n0)}
-    # alike examples share blocks: classes first, then the rarest term
-    full = sorted((d for d in got if got[d]), key=lambda d: (toxic[d], max(got[d], key=lambda x: idf[x[0]])[0], d))
-    bare = [d for d in got if not got[d]]
-    bare_w = sum(share[toxic[d]] for d in bare)
-    prior = sum(share[toxic[d]] * toxic[d] for d in bare) / bare_w if bare else total.get(1, 0) / max(1, sum(total.values()))
-    model = ToxicityModel(vocab, idf, BlockMaxIndex([], len(vocab.terms)), np.array([toxic[d] for d in full]), np.array(full, np.int64), k, prior)
-    vectors = []
-    for d in full:
-        t = np.array(sorted(got[d]), np.int64)
-        vectors.append(model.vector(t[:, 0], t[:, 1]))
-    model.index = BlockMaxIndex(vectors, len(vocab.terms))
+    chi = n * (a * (n0 - b) - b * (n1 - a)) ** 2 / np.maximum(1e-9, (a + b) * (n - a - b) * max(1, n1) * max(1, n0))
+    telling = (chi >= CHI) & (a + b >= 4) & (np.abs(np.log((a + 0.5) / (n1 + 1) / ((b + 0.5) / (n0 + 1)))) >= np.log(3))
+    idf = (np.log((n + 1) / (a + b + 1)) + 1) * np.where(telling, 1.0, FAINT)
+    n1, n0 = (int((toxic == c).sum()) for c in (1, 0))
+    share = np.array([total.get(0, 0) / max(1, n0), total.get(1, 0) / max(1, n1)])[toxic]
+    # a text without known terms: as examples without terms, and one more of the labels' mean
+    rate = total.get(1, 0) / max(1, sum(total.values()))
+    prior = float(((share * toxic)[~has].sum() + rate) / (share[~has].sum() + 1))
+    cut = np.searchsorted(doc, np.arange(len(ids) + 1))
+    # alike examples share blocks: classes first, then the weightiest term
+    full = sorted(np.flatnonzero(has), key=lambda d: (toxic[d], term[cut[d] + idf[term[cut[d] : cut[d + 1]]].argmax()], ids[d].doc_id))
+    model = ToxicityModel(vocab, idf, BlockMaxIndex([], n_terms), toxic[full], say[full], np.array([ids[d].doc_id for d in full], np.int64), k, prior)
     if full:
-        raw = np.array([model.vote(*v, skip=i)[0] for i, v in enumerate(vectors)])
-        model.curve = isotonic(raw, model.label.astype(float), np.array([share[y] for y in model.label]))
+        n = np.diff(cut)[full]
+        at, r = np.concatenate(([0], np.cumsum(n))), _ranges(cut[:-1][full], n)
+        w = model.vectors(at, term[r], tf[r])
+        model.index = BlockMaxIndex([(term[cut[d] : cut[d + 1]], w[at[i] : at[i + 1]]) for i, d in enumerate(full)], n_terms)
+        raw = np.array([model.vote(*x) for x in model.index.nearest_many(at, term[r], w, k, np.arange(len(full)))])
+        model.curve = isotonic(raw, model.label.astype(float), share[full])
+        model.index.made = None
     return model
 
 
@@ -245,7 +331,7 @@ def _score(columns: list[str], shared):
             doc, at = model.vocabulary(*_terms(text))
             d, t, tf = _counted(doc, at, max(1, len(model.idf)))
             cut = np.searchsorted(d, np.arange(len(text) + 1))
-            out = [model.score(t[i:j], tf[i:j]) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+            out = model.score(cut, t, tf)
             yield pa.RecordBatch.from_arrays([*cols, pa.array([o[0] for o in out], pa.float64()), pa.array([o[1] for o in out], pa.list_(pa.int64())), pa.array([o[2] for o in out], pa.list_(pa.float64()))], [*columns, "__score", "__neighbors", "__cosines"])
 
     return run

@@ -69,3 +69,19 @@ def test_copies_count_once():
     near = np.where(rng.random((5, 64)) < 0.2, rng.integers(0, 1 << 60, (5, 64)), rows[0])
     assert np.allclose(copy_weights(np.concatenate([rows, near])), [1 / 6, 1, 1, 1, *[1 / 6] * 5])
     assert len(copy_weights(np.zeros((0, 64), np.int64))) == 0
+
+
+def test_all_terms_are_known(spark, tmp_path):
+    """Copies of one toxic template, and of a toxic text whose words no other text has, are found."""
+    rng = random.Random(3)
+    text = lambda tag, n: " ".join(f"{rng.randrange(10**6):06d}{tag}" for _ in range(n))
+    template, alone = text("t", 30), text("a", 40)
+    taught = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 3 != 1]
+    docs = [(i, template if k < 60 else alone if k == 60 else text("c", 30), int(k <= 60)) for k, i in enumerate(taught[:600])]
+    held = [i for i in range(3000, 4000) if zlib.crc32(str(i).encode()) % 3 == 1][:4]
+    docs += [(held[0], template, None), (held[1], alone, None), (held[2], text("n", 30), None), (held[3], docs[100][1], None)]
+    spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(d[0], d[2]) for d in docs if d[2] is not None], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r for r in op5_toxicity(spark, str(tmp_path)).collect()}
+    assert [got[i].predicted for i in held] == [1, 1, 0, 0]
+    assert all(got[held[k]].cosines[0] == 1 for k in (0, 1, 3)) and got[held[1]].neighbors[0] == taught[60]
