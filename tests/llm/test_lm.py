@@ -97,3 +97,10 @@ def test_held_out_texts_are_likelier_than_by_counts(spark):
     base, score, n = (sum(getattr(r, k) for r in rows if r.held_out) for k in ("base_score", "score", "n_tokens"))
     print("held out, bits a token:", -base / n / math.log10(2), -score / n / math.log10(2))
     assert score > base
+
+
+def test_the_network_keeps_its_width():
+    """Speed is not to be bought with a smaller network."""
+    from lexiforge.llm import lm
+
+    assert lm.HIDDEN >= 24 and lm.Gru(np.ones(100)).w["u"].shape == (lm.HIDDEN, 3 * lm.HIDDEN)
