@@ -1,11 +1,11 @@
 """Near-duplicate embeddings by randomised-rotation binary codes (RaBitQ).
 
 Equal vectors of a label form a class. A class's unit vector is given to its nearest cell (centroids fitted on a
-bounded sample; their number follows the table's), and visits the cells that are not much further. In a cell,
-a vector is the centroid plus a residual; the rotated residual's signs are its code, and the code's inner
-product with the residual is stored as the correction factor. From the codes every pair gets an unbiased
-estimate of its cosine with a confidence bound, and only pairs whose upper bound reaches the threshold are
-computed anew, in double precision. A cell too large for a task is cut into parts, each pair of which is a task.
+bounded sample; their number follows the table's), and visits those whose border with its own is within half the
+length of the longest link's chord: of two linked vectors, one visits the other's cell. In a cell, a vector is the centroid plus a residual; the rotated residual's signs are its code, and the code's inner
+product with the residual is stored as the correction factor. From the codes every pair gets a bound that its
+cosine cannot exceed, and only pairs whose bound reaches the threshold are computed anew, in double precision; so
+no link is lost. A cell too large for a task is cut into parts, each pair of which is a task.
 """
 
 from __future__ import annotations
@@ -55,19 +55,31 @@ class Codes:
     def signs(self, i: int, j: int) -> np.ndarray:
         return (np.unpackbits(self.bits[i:j], axis=1, count=self.dim).astype(np.float32) * 2 - 1) / np.sqrt(self.dim)
 
-    def upper(self, i: int, j: int, other: Codes, query: np.ndarray, sigmas: float) -> np.ndarray:
-        """Upper confidence bounds of the cosines of items i:j with the rotated unit residuals query of other."""
+    def upper(self, i: int, j: int, other: Codes, query: np.ndarray, sigmas: float | None = None) -> np.ndarray:
+        """Upper bounds of the cosines of items i:j with the rotated unit residuals query of other: certain ones, or
+        with sigmas those of an unbiased estimate so many deviations up."""
         f = np.maximum(self.factor[i:j], 1e-6)[:, None]
-        estimate = (self.signs(i, j) @ query.T) / f
-        error = sigmas * np.sqrt(np.maximum(1 - f * f, 0)) / f / np.sqrt(max(1, self.dim - 1))
+        along = self.signs(i, j) @ query.T
+        if sigmas is None:
+            # a residual is f code + sqrt(1 - f^2) of something orthogonal to the code
+            most = f * along + np.sqrt(np.maximum(1 - f * f, 0)) * np.sqrt(np.maximum(1 - along * along, 0) + 1e-6)
+        else:
+            most = along / f + sigmas * np.sqrt(np.maximum(1 - f * f, 0)) / f / np.sqrt(max(1, self.dim - 1))
         # <x, y> = <x, c> + <y, c> - <c, c> + |x - c| |y - c| <residuals>
         scale = self.norm[i:j][:, None] * other.norm[None, :]
-        return self.at_centroid[i:j][:, None] + other.at_centroid[None, :] - self.square + scale * np.minimum(1.0, estimate + error)
+        return self.at_centroid[i:j][:, None] + other.at_centroid[None, :] - self.square + scale * np.minimum(1.0, most)
 
 
-def _cells(shared, reach: float):
+def _cells(shared, least: float):
+    """Each vector's home and the cells it visits.
+
+    For x, y with homes a, b: x (a - b) and y (b - a) are not negative and their sum (x - y) (a - b) is at most
+    |x - y| |a - b|, so the smaller is at most half that, |x - y| being at most sqrt(2 - 2 least) in a link."""
+
     def run(batches):
         c = shared.value
+        square = (c * c).sum(1)
+        apart = np.sqrt(np.maximum(square[:, None] + square[None, :] - 2 * c @ c.T, 0)) * np.sqrt(max(0.0, 2 - 2 * least)) / 2 + 1e-6
         for b in batches:
             if not b.num_rows:
                 continue
@@ -75,15 +87,15 @@ def _cells(shared, reach: float):
             rows: list[np.ndarray] = []
             homes = np.zeros(len(x), np.int32)
             for a in range(0, len(x), 1000):
-                angle = np.arccos(np.clip(x[a : a + 1000] @ c.T, -1, 1))
-                homes[a : a + 1000] = angle.argmin(1)
-                rows += [np.flatnonzero(r <= r.min() + reach).astype(np.int32) for r in angle]
+                near = x[a : a + 1000] @ c.T
+                homes[a : a + 1000] = near.argmax(1)
+                rows += [np.flatnonzero(r.max() - r <= apart[h]).astype(np.int32) for r, h in zip(near, homes[a : a + 1000], strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(k)) for k in ("cls", "label", "copies", "v")), pa.array(homes), pa.array([r.tolist() for r in rows], pa.list_(pa.int32()))], ["cls", "label", "copies", "v", "home", "visits"])
 
     return run
 
 
-def _match(shared, least: float, sigmas: float):
+def _match(shared, least: float):
     def run(tbl: pa.Table) -> pa.Table:
         col = lambda n: tbl.column(n).to_numpy()
         cell, x_part = int(col("cell")[0]), int(col("x")[0])
@@ -106,7 +118,7 @@ def _match(shared, least: float, sigmas: float):
                 r = min(len(cls), q + 2048)
                 other = Codes.__new__(Codes)
                 other.norm, other.at_centroid = codes.norm[q:r], codes.at_centroid[q:r]
-                may = codes.upper(a, b, other, residual[q:r], sigmas) >= least - 1e-6
+                may = codes.upper(a, b, other, residual[q:r]) >= least - 1e-5
                 may &= np.arange(a, b)[:, None] < np.arange(q, r)[None, :]
                 if not whole:
                     may &= part[a:b, None] != part[None, q:r]
@@ -137,13 +149,13 @@ def _match(shared, least: float, sigmas: float):
     return run
 
 
-def embedding_components(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.93, reach: float = 0.2, sigmas: float = 3.5, per_cell: int = PER_CELL, part: int = PART) -> DataFrame:
+def embedding_components(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.93, per_cell: int = PER_CELL, part: int = PART) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row.
 
     Only rows of an equal label and length of vector are compared. A row whose label is null, or whose vector is
     null, zero or has a null or non-finite component, links with nothing; so does one without vec_id, whose
     component_id is null and which isn't kept. Of rows that share a vec_id and vector each is linked with the
-    others. reach: how much further (radians) than the nearest cell a visited one may be."""
+    others."""
     spark = rows.sparkSession
     small_batches(spark, 5000)
     d = F.transform(F.col(vector), lambda x: x.cast("double"))
@@ -164,12 +176,12 @@ def embedding_components(rows: DataFrame, vec_id: str = "vec_id", vector: str =
         some = classes.where(F.size("v") == dim)
         sample = np.array([r.v for r in some.orderBy(F.xxhash64("k1")).limit(SAMPLE).select("v").collect()])
         shared = spark.sparkContext.broadcast(fit_centroids(sample, min(CELLS, max(1, n // per_cell), max(1, len(sample) // 8))))
-        dealt = materialize(some.mapInArrow(_cells(shared, reach), "cls long, label string, copies long, v array<double>, home int, visits array<int>"))
+        dealt = materialize(some.mapInArrow(_cells(shared, least), "cls long, label string, copies long, v array<double>, home int, visits array<int>"))
         there = dealt.select("cls", "label", "copies", "v", "home", "visits", F.explode("visits").alias("cell"))
         parts = there.groupBy("label", "cell").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
         there = there.join(parts, ["label", "cell"]).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
         there = there.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("x", F.least("part", "other")).withColumn("y", F.greatest("part", "other"))
-        pairs = there.groupBy("label", "cell", "x", "y").applyInArrow(_match(shared, least, sigmas), "a long, b long, n long")
+        pairs = there.groupBy("label", "cell", "x", "y").applyInArrow(_match(shared, least), "a long, b long, n long")
         found = pairs if found is None else found.unionByName(pairs)
     if found is None:
         found = spark.createDataFrame([], "a long, b long, n long")

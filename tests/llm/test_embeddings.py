@@ -78,3 +78,19 @@ def test_edges(spark, tmp_path):
     assert all(got[i] == (0, i, True) for i in (4, 5, 6, 7, 8, 9, 10, 11, 12, 13))
     df.limit(0).write.parquet(f"{tmp_path}/e/embeddings.parquet")
     assert op8_embed_dedup(spark, f"{tmp_path}/e").count() == 0
+
+
+def test_no_link_is_lost_between_cells(spark):
+    """Pairs just above the threshold, and a dense cluster, over many cells."""
+    rng = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    base = unit(rng.standard_normal((300, 64)))
+    side = rng.standard_normal((300, 64))
+    side = unit(side - (side * base).sum(1, keepdims=True) * base)
+    cos = rng.uniform(0.931, 0.95, (300, 1))
+    hot = unit(base[0] + 0.036 * rng.standard_normal((300, 64)))
+    vectors = np.concatenate([base, cos * base + np.sqrt(1 - cos * cos) * side, hot]).tolist()
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int")
+    want = brute(range(900), vectors, [1] * 900)
+    assert sum(w[0] for w in want.values()) > 2000
+    assert {r.vec_id: (r.n_links, r.component_id) for r in embedding_components(df, per_cell=15).collect()} == want
