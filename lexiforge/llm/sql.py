@@ -14,7 +14,8 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
 FROM d LEFT JOIN lost ON lost.r = d.r LEFT JOIN kept ON kept.r = d.r
 """
 
-#: Multiset fingerprints. A hash gives three words of 60 bits; lane 3 s + k of a word counts its bit s + 20 k.
+#: Multiset fingerprints. A hash gives three words of 60 bits; lane s of a word counts its bit s.
+#: Likeness is that of the lanes modulo 2^16, read as numbers from -2^15.
 FINGERPRINT = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, ''))::BIGINT AS n_chars FROM documents),
 nx AS (SELECT doc_id, coalesce(lead(doc_id) OVER (ORDER BY doc_id DESC), max(doc_id) OVER ()) AS next_id FROM d),
@@ -24,11 +25,11 @@ e AS (SELECT d.doc_id, d.n_chars, d.text, n.text AS next,
 t AS (SELECT doc_id, 'a' AS k, text AS t FROM e UNION ALL SELECT doc_id, 'b', edited FROM e UNION ALL SELECT doc_id, 'c', next FROM e),
 u AS (SELECT doc_id, k, sha256(unnest(regexp_extract_all(t, '[^.!?\n]{1,120}[.!?\n]*|[.!?\n]+'))) AS h FROM t),
 w AS (SELECT doc_id, k, i, ('0x' || substr(h, 1 + 15 * i, 15))::BIGINT AS w FROM u, range(3) x(i)),
-lane AS (SELECT doc_id, k, 60 * i + 3 * s + j AS lane, sum(2 * ((w >> (s + 20 * j)) & 1) - 1)::BIGINT AS v
-         FROM w, range(20) y(s), range(3) z(j) GROUP BY ALL),
+lane AS (SELECT doc_id, k, 60 * i + s AS lane, sum(2 * ((w >> s) & 1) - 1)::BIGINT AS v
+         FROM w, range(60) y(s) GROUP BY ALL),
 every AS (SELECT doc_id, k, l.lane, coalesce(v, 0) AS v FROM (SELECT DISTINCT doc_id, k FROM t) CROSS JOIN range(180) l(lane)
           LEFT JOIN lane USING (doc_id, k, lane)),
-f AS (SELECT doc_id, k, list(v ORDER BY lane) AS vs, string_agg(lower(printf('%04x', ((v % 65536) + 65536) % 65536)), '' ORDER BY lane) AS hex FROM every GROUP BY ALL),
+f AS (SELECT doc_id, k, list(((v + 32768) % 65536 + 65536) % 65536 - 32768 ORDER BY lane) AS vs, string_agg(lower(printf('%04x', ((v % 65536) + 65536) % 65536)), '' ORDER BY lane) AS hex FROM every GROUP BY ALL),
 p AS (SELECT e.doc_id, n_chars, sha256(edited) AS edited_sha256, a.hex AS fingerprint, b.hex AS edited_fingerprint, a.vs AS a, b.vs AS b, c.vs AS c
       FROM e JOIN f a ON a.doc_id = e.doc_id AND a.k = 'a' JOIN f b ON b.doc_id = e.doc_id AND b.k = 'b' JOIN f c ON c.doc_id = e.doc_id AND c.k = 'c')
 SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
