@@ -1,5 +1,8 @@
 """URL lists: a blocked Bloom filter of listed canonical URLs before an exact hash join. DataFrame functions only.
 
+The filter is probed where a URL is read: a URL without a possible hit is judged there and then, and only possible
+hits are shuffled, by row, so that no host or null draws rows into one task.
+
 A listed entry is a host and a path prefix; it fits the host and its subdomains where the path starts with the
 prefix. Its canonical form is host and prefix in one string. A URL's possible entries are the ends of its host
 (as many labels as entries have) with the beginnings of its path (of the lengths that entries have).
@@ -39,33 +42,61 @@ def blocked_bloom(keys: DataFrame, key: str, n_keys: int) -> tuple[DataFrame, in
 
 
 def may_be_listed(df: DataFrame, key: str, bloom: DataFrame, n_blocks: int) -> DataFrame:
-    """Rows whose key passes the filter: all listed keys and a few others."""
-    probe = df.select("*", *_bits(F.col(key), n_blocks))
-    bloom = F.broadcast(bloom) if n_blocks * 48 <= BROADCAST_BYTES else bloom
-    hit = probe.join(bloom, "block")
+    """Rows whose key passes the filter: all listed keys and a few others. Rows meet the filter's blocks in a shuffle."""
+    hit = df.select("*", *_bits(F.col(key), n_blocks)).join(bloom, "block")
     for i in range(4):
         hit = hit.where(F.col(f"f{i}").bitwiseAND(F.col(f"w{i}")) != 0)
     return hit.select(*df.columns)
 
 
+def dense(bloom: DataFrame, n_blocks: int) -> Column:
+    """The whole filter as a scalar: an array of all blocks, at most BROADCAST_BYTES."""
+    words = [f"f{i}" for i in range(4)]
+    none = bloom.sparkSession.range(n_blocks).select(F.col("id").alias("block"), *(F.lit(0).cast("long").alias(w) for w in words))
+    every = bloom.unionByName(none).groupBy("block").agg(*(F.bit_or(w).alias(w) for w in words))
+    return every.agg(F.sort_array(F.collect_list(F.struct("block", *words))).alias("blocks")).scalar()
+
+
+def passes(key: Column, blocks: Column, n_blocks: int) -> Column:
+    """Whether key may be listed, by the dense filter."""
+    block, *bits = _bits(key, n_blocks)
+    found = F.get(blocks, block.cast("int"))
+    ok = [found[f"f{i}"].bitwiseAND(bit) != 0 for i, bit in enumerate(bits)]
+    return ok[0] & ok[1] & ok[2] & ok[3]
+
+
 def url_verdicts(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
     """pages with host, path, rule (the longest fitting one, else null) and verdict (the rule's, else default).
 
     rules: action, host, path; entries of one host and path count once, the least action. A null URL, or one
-    without ://, has an empty host and path."""
+    without ://, has an empty host and path. pages is a stored table or a plan without a shuffle, whose rows come
+    in one order at every attempt."""
     rules = rules.where("host is not null and path is not null").groupBy(F.concat("host", "path").alias("key"), F.size(F.split("host", r"\.")).alias("labels"), F.length("path").alias("n")).agg(F.min("action").alias("action"))
     about = rules.agg(F.count("*").alias("n"), F.max("labels").alias("labels"), F.collect_set("n").alias("lengths")).first()  # as many lengths as paths have
     host, path = host_and_path(url)
     parsed = pages.withColumns({"__host": host, "__path": path})
-    urls = parsed.where("__host != ''").select("__host", "__path").distinct()
     parts = F.split("__host", r"\.")
-    hosts = F.array(*(F.when(F.size(parts) >= k, F.array_join(F.slice(parts, -k, k), ".")) for k in range(1, (about.labels or 0) + 1)))
+    hosts = F.array(*(F.when((F.col("__host") != "") & (F.size(parts) >= k), F.array_join(F.slice(parts, -k, k), ".")) for k in range(1, (about.labels or 0) + 1)))
     paths = F.array(*(F.when(F.length("__path") >= n, F.substring("__path", 1, n)) for n in sorted(about.lengths)))
-    keys = urls.select("__host", "__path", F.explode(F.filter(hosts, lambda x: x.isNotNull())).alias("h")).select("*", F.explode(F.filter(paths, lambda x: x.isNotNull())).alias("p")).select("__host", "__path", F.concat("h", "p").alias("key"))
+    keys = F.flatten(F.transform(F.array_compact(hosts), lambda h: F.transform(F.array_compact(paths), lambda p: F.concat(h, p))))
     bloom, n_blocks = blocked_bloom(rules, "key", about.n)
-    hits = may_be_listed(keys, "key", bloom, n_blocks).join(rules, "key")
-    best = hits.groupBy("__host", "__path").agg(F.max(F.struct(F.length("key").alias("n"), F.col("key"), F.col("action"))).alias("b")).select("__host", "__path", F.col("b.key").alias("rule"), F.col("b.action").alias("action"))
-    out = parsed.join(best, ["__host", "__path"], "left")
+    if n_blocks * 48 <= BROADCAST_BYTES:
+        parsed = parsed.withColumn("__blocks", dense(bloom, n_blocks)).withColumn("__keys", F.filter(keys, lambda k: passes(k, F.col("__blocks"), n_blocks)))
+    else:
+        parsed = parsed.withColumn("__keys", keys)
+    columns = [*pages.columns, "__host", "__path"]
+    none = parsed.where(F.size("__keys") == 0).select(*columns, F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("action"))
+    may = parsed.where(F.size("__keys") > 0).withColumn("__row", F.monotonically_increasing_id())
+    asked = may.select("__row", F.struct(*columns).alias("__page"), F.explode("__keys").alias("key"))
+    if n_blocks * 48 > BROADCAST_BYTES:
+        # a key passes or not for all its rows, so each is tried once; one key of each row stays to carry it
+        listed = may_be_listed(asked.select("key").distinct(), "key", bloom, n_blocks).join(rules.select("key", "n", "action"), "key")
+    else:
+        listed = rules.select("key", "n", "action")
+    hits = asked.join(listed, "key", "left")
+    best = hits.groupBy("__row").agg(F.first("__page").alias("p"), F.max(F.when(F.col("action").isNotNull(), F.struct(F.length("key").alias("n"), "key", "action"))).alias("b"))
+    found = best.select(*(F.col("p")[c].alias(c) for c in columns), F.col("b.key").alias("rule"), F.col("b.action").alias("action"))
+    out = none.unionByName(found)
     return out.select(*[F.col(c) for c in pages.columns], F.col("__host").alias("host"), F.col("__path").alias("path"), "rule", F.coalesce("action", F.lit(default)).alias("verdict"))
 
 

@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from lexiforge.llm import urls
 
 from lexiforge.llm.urls import RULES, blocked_bloom, may_be_listed, op3_url_filter, url_verdicts
 
@@ -33,7 +34,9 @@ def test_query(spark, tmp_path):
     assert op3_url_filter(spark, f"{tmp_path}/e").count() == 0
 
 
-def test_many_rules_and_none(spark):
+@pytest.mark.parametrize("limit", [8 << 20, 0])
+def test_many_rules_and_none(spark, monkeypatch, limit):
+    monkeypatch.setattr(urls, "BROADCAST_BYTES", limit)
     rules = spark.createDataFrame([("block", f"h{i}.example.com", "/") for i in range(3000)] + [("allow", "h7.example.com", "/ok/")], "action string, host string, path string")
     pages = spark.createDataFrame([(i, f"http://www.h{i}.example.com/ok/x") for i in range(0, 6000, 7)], "page_id long, url string")
     got = {r.page_id: (r.verdict, r.rule) for r in url_verdicts(pages, rules).collect()}
@@ -52,3 +55,13 @@ def test_bloom_has_no_false_negatives(spark):
 def test_plan_is_native(spark, sf):
     plan = op3_url_filter(spark, f"/root/testdata/sf{sf}")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "html" not in plan
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_only_possible_hits_are_shuffled(spark, tmp_path):
+    """URLs that no key of passes are in no exchange: there is one of possible hits, by row."""
+    spark.createDataFrame([(i, None if i % 3 else f"http://h{i}.net/") for i in range(300)], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    out = op3_url_filter(spark, str(tmp_path))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(__row" in plan and "hashpartitioning(__host" not in plan
+    assert out.where("verdict = 'block'").count() == 100
