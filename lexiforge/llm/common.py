@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import hashlib
+import re
 import tempfile
 import time
 import uuid
@@ -22,12 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of this machine only where none is set (tests)."""
+    """The cluster's shared folder; a folder of this machine only where all runs in one process (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         ctx = spark.sparkContext._jsc.sc().getCheckpointDir()
         if ctx.isDefined():
             root = ctx.get()
+        elif not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         else:
             root = "file://" + tempfile.mkdtemp(prefix="lexiforge-")
             spark.sparkContext.setCheckpointDir(root)
@@ -61,7 +64,7 @@ def release(*dfs: DataFrame) -> None:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished steps."""
+    """Let Spark's cleaner drop the shuffle files of finished steps: best effort, to save disk; no result needs it."""
     for _ in range(2):
         spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(60_000)  # events hold the plans
         gc.collect()
@@ -98,6 +101,52 @@ def buckets_for(df: DataFrame, factor: float, per_bucket: int = 24 << 20) -> int
     return max(least, 1, int(min(plan_bytes(df) * factor / per_bucket, 1e6)))
 
 
+def text_buckets(docs: DataFrame, factor: float, text: str = "text", per_bucket: int = 24 << 20) -> int:
+    """As buckets_for, from the texts' own bytes: files of many copies are far smaller than their texts."""
+    n = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, 1, int(min(n * factor / per_bucket, 1e6)))
+
+
+#: A key with over 1/HOT_PARTS of a table's rows is hot (so fewer than HOT_PARTS are), if that's over HOT_ROWS rows.
+HOT_PARTS, HOT_ROWS = 500, 1_000
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, hot: list, how: str = "inner") -> DataFrame:
+    """left join right, which has each key once; the keys of hot, fewer than HOT_PARTS, join by broadcast, so that
+    their rows stay where they are."""
+    if not hot:
+        return left.join(right, key, how)
+    at = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    return left.where(~at).join(right.where(~at), key, how).unionByName(left.where(at).join(F.broadcast(right.where(at)), key, how))
+
+
+def hot_limit(rows: int) -> int:
+    return max(HOT_ROWS, rows // HOT_PARTS)
+
+
+class Recurring:
+    """Keys that two chunks of a task, one after the other, both have. Both sent them, so both will be told that
+    they repeat; later chunks know without asking, and a key that stands everywhere is sent a few times a task
+    instead of once a chunk. Only every so many chunks are compared: what is missed is sent as ever."""
+
+    def __init__(self, every: int = 16, most: int = 1 << 20):
+        self.every, self.most, self.n = every, most, 0
+        self.keys = self.before = np.zeros(0, np.uint64)
+
+    def known(self, keys: np.ndarray) -> np.ndarray:
+        """Of the next chunk's sorted distinct keys those that are known to repeat."""
+        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        out = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        if self.n % self.every == 1:
+            both = np.intersect1d(self.before, keys, assume_unique=True)
+            if len(self.keys) + len(both) <= self.most:
+                self.keys = np.union1d(self.keys, both)
+        self.before = keys if self.n % self.every == 0 else self.keys[:0]
+        self.n += 1
+        return out
+
+
 # ---------------------------------------------------------------- words in Arrow buffers
 
 _M64 = (1 << 64) - 1
@@ -245,12 +294,20 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     u, v = F.col("u"), F.col("v")
     cur = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u > v").distinct()
     cur, seen = materialize(cur), None
+    n = cur.count()
+
+    def with_least(links: DataFrame, low: DataFrame, rows: int) -> DataFrame:
+        """links with the m of their u; the centres of large stars join by broadcast."""
+        limit = hot_limit(rows)
+        hot = [r.u for r in low.where(F.col("n") > limit).select("u").collect()] if rows > limit else []
+        return join_hot(links, low.select("u", "m"), "u", hot)
+
     for _ in range(max_rounds):
         both = cur.unionByName(cur.select(v.alias("u"), u.alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where(v > u).select(v.alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(v.alias("u"), F.col("m").alias("v")), F.struct(u.alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where(u > v).distinct()
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = with_least(both, low, 2 * n).where(v > u).select(v.alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = with_least(large, low, n).select(F.explode(F.array(F.struct(v.alias("u"), F.col("m").alias("v")), F.struct(u.alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where(u > v).distinct()
         new = materialize(small)
         n, total = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         release(cur)

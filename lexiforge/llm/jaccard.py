@@ -17,10 +17,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _stream, buckets_for, connected_components, free_shuffles, materialize, mix, release, rolling, slabs, small_batches, text_buffer, word_hashes
+from .common import Recurring, _stream, buckets_for, connected_components, free_shuffles, hot_limit, join_hot, materialize, mix, release, rolling, slabs, small_batches, text_buckets, text_buffer, word_hashes
 
 _BASE = 0xA0761D6478BD642F
 #: Sketch buckets (a power of two): 16 MB of int32 at most, whatever the corpus.
@@ -70,12 +71,13 @@ def _set_ids(h: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 def _shared_shingles(width: int, n_buckets: int):
     """Per chunk of sets: for each bucket its distinct shingles (32 further bits of the hash) and their places;
-    a header with the sets' classes, sizes and shingles that repeat inside the chunk; and the rows themselves."""
+    a header with the sets' classes, sizes and shingles that are known to repeat (in the chunk, or sent by earlier
+    chunks of the task); and the rows themselves."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        task, made = TaskContext.get().partitionId(), 0
+        task, made, recurring = TaskContext.get().partitionId(), 0, Recurring()
         schema = [("bucket", pa.int32()), ("chunk", pa.string()), ("kind", pa.int32()), ("data", pa.binary())]
 
         def chunk(seg: list[tuple[int, int, int]], h: np.ndarray):
@@ -83,12 +85,15 @@ def _shared_shingles(width: int, n_buckets: int):
             made += 1
             name = f"{task}-{made}"
             keys, first, inverse, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-            local = count[inverse] > 1
+            known = recurring.known(keys)
+            local = (known | (count > 1))[inverse]
+            at = int(keys[0] % np.uint64(n_buckets))
+            keys, first = keys[~known], first[~known]
             scaled = (keys >> np.uint64(32)) * np.uint64(n_buckets)
             cut = np.searchsorted(scaled >> np.uint64(32), np.arange(n_buckets + 1, dtype=np.uint64))
             rest = ((scaled & np.uint64(0xFFFFFFFF)) ^ (keys & np.uint64(0xFFFFFFFF))).astype("<u4")
             head = len(seg).to_bytes(4, "little") + np.array(seg, "<i8").tobytes() + np.packbits(local).tobytes()
-            out = [(int(keys[0] % np.uint64(n_buckets)), name, 1, head)]
+            out = [(at, name, 1, head)]
             out += [(b, name, 0, rest[i:j].tobytes() + first[i:j].astype("<u2").tobytes()) for b, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i]
             return pa.RecordBatch.from_pydict({k: pa.array([r[c] for r in out], t) for c, (k, t) in enumerate(schema)})
 
@@ -96,7 +101,9 @@ def _shared_shingles(width: int, n_buckets: int):
             h, offs = shingle_sets(text, width)
             cls, n = _set_ids(h, offs), np.diff(offs)
             known = ids.is_valid().to_numpy(zero_copy_only=False)
-            rows = np.stack([ids.fill_null(0).to_numpy(zero_copy_only=False), known, n, cls], 1).astype("<i8").tobytes()
+            buf, cut = text_buffer(text)
+            told = np.array([xxhash.xxh64_intdigest(buf[i:j].tobytes(), 42) for i, j in zip(cut[:-1], cut[1:], strict=True)], np.uint64).astype(np.int64)
+            rows = np.stack([ids.fill_null(0).to_numpy(zero_copy_only=False), known, n, cls, told], 1).astype("<i8").tobytes()
             yield pa.RecordBatch.from_pydict({k: pa.array([v], t) for (k, t), v in zip(schema, (int(made % n_buckets), f"{task}", 2, rows), strict=True)})
             seg: list = []
             cuts: list = []
@@ -135,15 +142,15 @@ def _reply(batches):
     if not hs:
         return
     size = [len(a) for a in hs]
-    h = np.concatenate(hs)
-    hs.clear()
+    h, p = np.concatenate(hs), np.concatenate(ps)
+    del hs, ps, raw, data  # the views kept the batches
     order = np.argsort(h)
     h = h[order]
     same = np.concatenate(([False], h[1:] == h[:-1]))
     order = order[same | np.append(same[1:], False)]
     src = np.repeat(np.arange(len(size)), size)[order]
     by = np.argsort(src, kind="stable")
-    src, place = src[by], np.concatenate(ps)[order][by]
+    src, place = src[by], p[order][by]
     ids, at = np.unique(src, return_index=True)
     parts = np.split(place, at[1:])
     for a in range(0, len(ids), 10_000):
@@ -169,8 +176,8 @@ def _shares(tbl: pa.Table) -> pa.Table:
 def _rows(batches):
     for b in batches:
         for data in b.column(0):
-            r = np.frombuffer(data.as_buffer(), "<i8").reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([pa.array(r[:, 0], mask=r[:, 1] == 0), pa.array(r[:, 2]), pa.array(r[:, 3])], ["doc_id", "n", "cls"])
+            r = np.frombuffer(data.as_buffer(), "<i8").reshape(-1, 5)
+            yield pa.RecordBatch.from_arrays([pa.array(r[:, 0], mask=r[:, 1] == 0), *(pa.array(r[:, k]) for k in (2, 3, 4))], ["doc_id", "n", "cls", "text_hash"])
 
 
 def _sketch(width: int, sketch: int, part: int):
@@ -356,24 +363,24 @@ def _link_block(width: int, percent: int):
 
 
 def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, percent: int = 75, sketch: int = SKETCH, part_bytes: int = PART_BYTES, part_classes: int = PART_CLASSES) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of docs.
+    """(doc_id, n_shingles, component_id, text_hash) of every row of docs.
 
     Rows link when 100 * |intersection| >= percent * |union| of their sets of width-word shingles. A row
     with an empty set links with nothing, nor does one without doc_id (its component_id is null). Rows
-    that share a doc_id are separate rows."""
+    that share a doc_id are separate rows; text_hash, xxhash64 of the text (null: empty), tells them apart."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    n = buckets_for(docs, 1.8)
+    n = text_buckets(docs, 1.0)
     met = docs.mapInArrow(_shared_shingles(width, n), "bucket int, chunk string, kind int, data binary").repartitionById(n, F.col("bucket"))
     told = materialize(met.mapInArrow(_reply, "chunk string, kind int, data binary"))
     del met
     free_shuffles(spark)
-    rows = materialize(told.where("kind = 2").select("data").mapInArrow(_rows, "doc_id long, n long, cls long"))
+    rows = materialize(told.where("kind = 2").select("data").mapInArrow(_rows, "doc_id long, n long, cls long, text_hash long"))
     shares = told.where("kind < 2").groupBy("chunk").applyInArrow(_shares, "cls long, at long, shared long")
     shares = shares.groupBy("cls", "at").agg(F.max("shared").alias("shared")).groupBy("cls").agg(F.sum("shared").alias("shared"))
-    classes = rows.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
-    may = classes.join(shares, "cls").where(F.col("shared") * 100 >= F.col("n") * percent).select("cls", "doc_id", "n")
+    classes = materialize(rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.count("*").alias("copies")))
+    may = classes.where("doc_id is not null").join(shares, "cls").where(F.col("shared") * 100 >= F.col("n") * percent).select("cls", "doc_id", "n")
     may = materialize(docs.join(may, "doc_id"))  # one text of each class that may link
     release(told)
     free_shuffles(spark)
@@ -409,11 +416,20 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
         roots = roots.unionByName(links.where("whole").select(F.col("a").alias("cls"), F.col("b").alias("root")))
     else:
         roots = links.select(F.col("a").alias("cls"), F.col("b").alias("root"))
-    rooted = rows.join(roots, "cls", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "cls")))
-    low = rooted.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("low"))
-    return rooted.join(low, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("low", "doc_id")).alias("component_id"))
+    # what is joined has a row a class: copies and components of any size come in as counts and minima
+    linked = materialize(roots.join(classes.select("cls", "doc_id"), "cls"))
+    low = materialize(linked.groupBy("root").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")))
+    hot = [r.root for r in low.where(F.col("n") > hot_limit(linked.count())).select("root").collect()]
+    component = classes.select("cls", "doc_id").join(join_hot(linked.select("cls", "root"), low.select("root", "low"), "root", hot).select("cls", "low"), "cls", "left")
+    component = materialize(component.select("cls", F.coalesce("low", "doc_id").alias("low")))
+    total = classes.agg(F.sum("copies")).first()[0] or 0
+    hot = [r.cls for r in classes.where(F.col("copies") > hot_limit(total)).select("cls").collect()]
+    found = join_hot(rows.where("n > 0"), component, "cls", hot, "left").select("doc_id", "n", "low", "text_hash").unionByName(rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("low"), "text_hash"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("low")).alias("component_id"), "text_hash")
 
 
 def op6_jaccard(spark, sf_dir: str) -> DataFrame:
-    """Components of near-duplicate documents: 5-word shingles of the lower-cased text, similarity 0.75."""
-    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    """Components of near-duplicate documents: 5-word shingles of the lower-cased text, similarity 0.75.
+
+    Null and empty texts have empty sets; of repeated rows each is there; other columns don't matter."""
+    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("text_hash")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_for, free_shuffles, materialize, plan_bytes, rolling, slabs, small_batches, text_buffer, word_hashes
+from .common import Recurring, free_shuffles, materialize, rolling, slabs, small_batches, text_buckets, text_buffer, word_hashes
 
 #: Windows of a chunk: their places fit two bytes.
 CHUNK = 1 << 16
@@ -27,22 +27,25 @@ def _runs(flags: np.ndarray) -> np.ndarray:
 
 def _emit(n_buckets: int, width: int):
     """Per chunk: for each bucket its windows' hashes and places, once per distinct window; and a header
-    with the chunk's texts (digest, first window, windows) and the windows that repeat inside the chunk."""
+    with the chunk's texts (digest, first window, windows) and the windows that are known to repeat: those that
+    are twice in the chunk, and those that earlier chunks of the task had and sent."""
 
     def run(batches):
-        name = hashlib.md5()
+        name, recurring = hashlib.md5(), Recurring()
 
         def rows(seg, h, x):
             # seg: (digest, first window, number of windows); h, x: their hashes, in that order
             keys, first, inverse, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-            local = count[inverse] > 1
+            known = recurring.known(keys)
+            local = (known | (count > 1))[inverse]
+            keys, first = keys[~known], first[~known]
             name.update(b"".join(s[0] for s in seg) + len(h).to_bytes(4, "little") + seg[0][1].to_bytes(8, "little"))
             chunk = f"{task}-{name.hexdigest()}"
             head = len(seg).to_bytes(4, "little") + b"".join(s[0] for s in seg) + np.array([s[1:] for s in seg], "<i4").tobytes() + np.packbits(local).tobytes()
             bucket = ((keys >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)
             cut = np.searchsorted(bucket, np.arange(n_buckets + 1, dtype=np.uint64))
             xs, ps = x[first].astype("<u2"), first.astype("<u2")
-            out = [(int(bucket[len(bucket) // 2]), chunk, 1, head)]
+            out = [(int(name.hexdigest()[:8], 16) % n_buckets, chunk, 1, head)]
             out += [(b, chunk, 0, keys[i:j].tobytes() + xs[i:j].tobytes() + ps[i:j].tobytes()) for b, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i]
             return pa.RecordBatch.from_pydict({k: pa.array([r[c] for r in out], t) for c, (k, t) in enumerate([("bucket", pa.int32()), ("chunk", pa.string()), ("kind", pa.int32()), ("data", pa.binary())])})
 
@@ -95,15 +98,15 @@ def _count(batches):
     if not hs:
         return
     size = [len(a) for a in hs]
-    h = np.concatenate(hs)
-    hs.clear()
+    h, x, p = np.concatenate(hs), np.concatenate(xs), np.concatenate(ps)
+    del hs, xs, ps, raw, data  # the views kept the batches
     order = np.argsort(h)
     h = h[order]
     same = np.concatenate(([False], h[1:] == h[:-1]))
     order = order[same | np.append(same[1:], False)]  # of windows whose first hash repeats
     if not len(order):
         return
-    key = np.concatenate(xs)[order]
+    key = x[order]
     h = h[same | np.append(same[1:], False)]
     by = np.lexsort((key, h))
     h, key, order = h[by], key[by], order[by]
@@ -111,7 +114,7 @@ def _count(batches):
     order = order[same | np.append(same[1:], False)]
     src = np.repeat(np.arange(len(size)), size)[order]
     by = np.argsort(src, kind="stable")
-    src, place = src[by], np.concatenate(ps)[order][by]
+    src, place = src[by], p[order][by]
     ids, at = np.unique(src, return_index=True)
     parts = np.split(place, at[1:])
     for a in range(0, len(ids), 10_000):
@@ -150,11 +153,12 @@ def repeated_spans(docs: DataFrame, text: str = "text", window: int = 35) -> Dat
     """(digest, spans): for each distinct text with a repeated window its maximal intervals of covered words.
 
     digest is the md5 of the text; spans an array of binaries of little-endian int32 pairs [first, end),
-    one for each cut of a long text, to be merged. Windows are told apart by 80 bits of two hashes."""
+    one for each cut of a long text, to be merged. Windows of different chunks are told apart by 80 bits of two
+    hashes, those of a chunk, and of a task those that stand in many chunks, by 64."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    n = buckets_for(docs, 4.0)
+    n = text_buckets(docs, 2.0)
     met = docs.mapInArrow(_emit(n, window), _SHUFFLED).repartitionById(n, F.col("bucket"))
     replies = materialize(met.mapInArrow(_count, _REPLIES))
     del met
@@ -194,9 +198,13 @@ def _keep(columns: list[str], text: str, with_text: bool):
 
 
 def _with_spans(docs: DataFrame, text: str, window: int) -> DataFrame:
+    """docs with __spans. Texts too short for a window, empty ones among them, are not shuffled; a digest with very
+    many copies is a skewed key of a plain join, which Spark's adaptive execution splits."""
     spans = repeated_spans(docs, text, window).select(F.col("digest").alias("__digest"), F.col("spans").alias("__spans"))
-    keyed = docs.withColumn("__digest", F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"))))
-    return keyed.join(spans, "__digest", "left").drop("__digest")
+    value = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    may = F.length(value) >= 2 * window - 1
+    keyed = docs.where(may).withColumn("__digest", F.unhex(F.md5(value.cast("binary"))))
+    return keyed.join(spans, "__digest", "left").drop("__digest").unionByName(docs.where(~may).withColumn("__spans", F.lit(None).cast("array<binary>")))
 
 
 def substring_dedup(docs: DataFrame, text: str = "text", window: int = 35) -> DataFrame:

@@ -52,3 +52,19 @@ def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_that_share_a_doc_id(spark, tmp_path):
+    """Near copies go by row: doc_ids with two texts, repeated rows, null ids."""
+    rng = random.Random(4)
+    text = lambda: " ".join(rng.choice("abcdefghij") + str(rng.randrange(500)) for _ in range(40))
+    a, b, c, d = (text() for _ in range(4))
+    near = lambda t: t + " more"
+    rows = [(5, b), (5, near(a)), (2, a), (7, near(b)), (8, c), (8, c), (8, near(c)), (None, near(c)), (None, d), (None, d), (None, near(d)), (9, ""), (9, None), (9, ""), (None, " "), (4, "two words"), (4, "Two  words")]
+    docs = spark.createDataFrame([(i, t, "en", "s", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert out.columns == docs.columns
+    group = lambda t: (t or "").lower().removesuffix(" more").split()
+    assert [(i, g) for i, g in sorted(((i or 99, group(t)) for i, t in got), key=str) if g] == sorted([(2, group(a)), (5, group(b)), (8, group(c)), (99, group(d)), (4, ["two", "words"])], key=str)
+    assert sorted(t or "" for _, t in got if not group(t)) == ["", "", "", " "]
