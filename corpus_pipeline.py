@@ -21,14 +21,21 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group of near copies; of rows with that doc_id and one text the
-    first. Rows without doc_id stay."""
-    keep = jaccard_components(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__rows"))
-    kept = docs.join(keep, "doc_id").select(*docs.columns, "__rows")
+    """One row of each group of near copies: of those with the smallest doc_id (null after all others) the one whose
+    text's hash is least, whatever rows share a doc_id. Rows without words stay."""
+    value = F.coalesce("text", F.lit(""))
+    # a row without doc_id takes part under a number that its text gives, beyond those of the others
+    own = F.coalesce("doc_id", F.shiftrightunsigned(F.xxhash64(value, F.lit(1)), 2) + F.lit(1 << 62))
+    keyed = docs.withColumns({"__id": own, "__hash": F.xxhash64(value)})
+    found = jaccard_components(keyed.select("__id", "text"), doc_id="__id")
+    first = found.where("n_shingles > 0 and doc_id = component_id").groupBy("doc_id", "text_hash").agg(F.count("*").alias("rows"))
+    first = materialize(first.groupBy("doc_id").agg(F.min(F.struct("text_hash", "rows")).alias("f")).select(F.col("doc_id").alias("__id"), F.col("f.text_hash").alias("__hash"), F.col("f.rows").alias("__rows")))
+    words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    kept = keyed.where(words).join(first, ["__id", "__hash"])
     out = kept.where("__rows = 1").select(*docs.columns)
-    if keep.where("__rows > 1").limit(1).count():
-        out = out.unionByName(kept.where("__rows > 1").dropDuplicates(["doc_id", "text"]).select(*docs.columns))
-    return out.unionByName(docs.where("doc_id is null"))
+    if first.where("__rows > 1").limit(1).count():
+        out = out.unionByName(kept.where("__rows > 1").dropDuplicates(["__id", "__hash"]).select(*docs.columns))
+    return out.unionByName(docs.where(~words))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
