@@ -3,7 +3,8 @@
 Texts are cut into units, a run of non-space with the space before it, which byte-level BPE never merges across.
 A batch's new units are cut into words; distinct words go into a trie, and a depth-first walk gives every node
 the last token of its prefix's encoding: of the tokens that end there, the one that BPE would leave standing
-beside the last token of what comes before it. So a prefix that many words share is encoded once.
+beside the last token of what comes before it. So a prefix that many words share is encoded once. The trie ends
+at DEPTH bytes: from there a longer word, which nothing is likely to share, goes on by itself in two arrays.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ import hashlib
 import json
 import re
 import struct
+from array import array
+from contextlib import contextmanager
 from functools import lru_cache
 from itertools import chain
 
@@ -35,15 +38,66 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class TrieBpe:
-    """Encoder and decoder of a tokenizers JSON file with a byte-level BPE model."""
+#: Bytes of a word that are put in the trie, and about as many bytes of known units, and words, that are kept.
+DEPTH, KEEP = 1024, 160 << 20
+
+
+def is_byte_level(spec: dict) -> bool:
+    """Whether a tokenizers JSON file cuts and encodes as this module does: bytes alone, the default pattern."""
+    cut, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    own = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True) and spec.get("normalizer") is None and spec.get("post_processor") is None
+    plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    exact = not any(a.get(k) for a in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    return model.get("type", "BPE") == "BPE" and own and plain and exact
+
+
+def words_of(units: set[str]) -> dict[str, list[str]]:
+    """The words that each unit is cut into."""
+    letters = (u for u in units if u.isascii() and (u[1:] if u[0] == " " else u).isalpha())
+    cut = {u: [u] for u in letters}  # such a unit is a word
+    cut.update((u, WORDS.findall(u)) for u in units if u not in cut)
+    return cut
+
+
+@contextmanager
+def no_collection():
+    """For code that makes many small objects and no cycles, which would be looked through again and again."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
 
-    #: Units, and words, kept with their ids; beyond, the store starts anew.
-    KEEP = 1_000_000
+
+class Known(dict):
+    """Texts' ids; starts anew where it would take more than about most bytes."""
+
+    def __init__(self, most: int = KEEP):
+        super().__init__()
+        self.most, self.size = most, 0
+
+    def missing(self, texts: set) -> set:
+        """Those of texts that aren't known, after making room for them."""
+        new = texts.difference(self)
+        size = 170 * len(new) + 2 * sum(map(len, new))
+        if self.size + size > self.most and self:
+            self.clear()
+            self.size, new = 0, texts
+            size = 170 * len(new) + 2 * sum(map(len, new))
+        self.size += size
+        return new
+
+
+class TrieBpe:
+    """Encoder and decoder of a tokenizers JSON file with a byte-level BPE model; ValueError for other files."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        if not is_byte_level(spec):
+            raise ValueError(f"{path} has no plain byte-level BPE model")
         model, alphabet = spec["model"], byte_alphabet()
         raw = {t: bytes(alphabet[c] for c in t) for t in model["vocab"] if all(c in alphabet for c in t)}
         self.special = {a["content"]: a["id"] for a in spec.get("added_tokens", [])}
@@ -69,8 +123,7 @@ class TrieBpe:
             at[-1] = i
         self._beside: dict[int, bool] = {}
         self._spines: dict[int, tuple] = {}
-        self._units: dict[str, bytes] = {}
-        self._words: dict[bytes, bytes] = {}
+        self._units, self._words = Known(), Known()
         self._cut = re.compile("|".join(map(re.escape, self.special))) if self.special else None
 
     def _spine(self, token: int, side: int) -> list[tuple[int, float]]:
@@ -115,19 +168,19 @@ class TrieBpe:
     def encode_words(self, words: set[bytes]) -> dict[bytes, list[int]]:
         """Ids of each word: one trie, one depth-first walk."""
         children: list[dict[int, int]] = [{}]
-        ends: dict[int, bytes] = {}
+        ends: dict[int, list[bytes]] = {}
         for w in words:
             at = 0
-            for c in w:
+            for c in w[:DEPTH]:
                 nxt = children[at].get(c)
                 if nxt is None:
                     nxt = children[at][c] = len(children)
                     children.append({})
                 at = nxt
-            ends[at] = w
+            ends.setdefault(at, []).append(w)
         out: dict[bytes, list[int]] = {}
         back, known, beside = self._back, self._beside, self.beside
-        depths = 2 + max(map(len, words), default=0)
+        depths = 2 + min(DEPTH, max(map(len, words), default=0))
         path, last, size = [0] * depths, [0] * depths, [0] * depths  # by the prefix's length
         walk = [(n, c, 1) for c, n in children[0].items()]
         while walk:
@@ -147,8 +200,10 @@ class TrieBpe:
                         continue
                 last[depth], size[depth] = t, before
                 break
-            w = ends.get(node)
-            if w is not None:
+            for w in ends.get(node, ()):
+                if len(w) > DEPTH:
+                    out[w] = self._go_on(w, last, size)
+                    continue
                 got, d = [], depth
                 while d:
                     got.append(last[d])
@@ -158,26 +213,43 @@ class TrieBpe:
                 walk.append((n, c, depth + 1))
         return out
 
+    def _go_on(self, w: bytes, last: list[int], size: list[int]) -> list[int]:
+        """Ids of a word of more than DEPTH bytes from the last tokens of its prefixes up to there; eight bytes a
+        byte of it are held."""
+        last, size = (array("i", x[: DEPTH + 1]) for x in (last, size))
+        back, known, beside = self._back, self._beside, self.beside
+        for depth in range(DEPTH + 1, len(w) + 1):
+            tokens, at, n = [], back, depth
+            while n and (at := at.get(w[n - 1])) is not None:
+                n -= 1
+                t = at.get(-1)
+                if t is not None:
+                    tokens.append((t, n))
+            for t, before in reversed(tokens):
+                if before:
+                    ok = known.get(last[before] << 20 | t)
+                    if not (beside(last[before], t) if ok is None else ok):
+                        continue
+                last.append(t)
+                size.append(before)
+                break
+        got, d = [], len(w)
+        while d:
+            got.append(last[d])
+            d = size[d]
+        return got[::-1]
+
     def learn(self, units: set[str]) -> None:
         """Encode units that are not known yet; their words that are known are not encoded again."""
         if not units:
             return
-        on = gc.isenabled()
-        gc.disable()  # nothing here is cyclic, and the trie's many small dicts would be looked through again and again
-        try:
+        with no_collection():
             self._learn(units)
-        finally:
-            if on:
-                gc.enable()
 
     def _learn(self, units: set[str]) -> None:
-        letters = (u for u in units if u.isascii() and (u[1:] if u[0] == " " else u).isalpha())
-        cut = {u: [u.encode()] for u in letters}  # such a unit is a word
-        cut.update((u, [w.encode() for w in WORDS.findall(u)]) for u in units if u not in cut)
-        new = set(chain.from_iterable(cut.values())).difference(self._words)
-        if len(self._words) + len(new) > self.KEEP:
-            self._words.clear()
-            new = set(chain.from_iterable(cut.values()))
+        cut = {u: [w.encode() for w in words] for u, words in words_of(units).items()}
+        every = set(chain.from_iterable(cut.values()))
+        new = self._words.missing(every)
         for w, i in self.encode_words(new).items():
             self._words[w] = struct.pack(f"<{len(i)}I", *i)
         known = self._words
@@ -198,11 +270,7 @@ class TrieBpe:
             else:
                 parts.append([t])
         rows = [[UNITS.findall(x) if isinstance(x, str) else x for x in row] for row in parts]
-        new = set().union(*(x for row in rows for x in row if isinstance(x, list))).difference(self._units)
-        if len(self._units) + len(new) > self.KEEP:
-            self._units.clear()
-            new = set().union(*(x for row in rows for x in row if isinstance(x, list)))
-        self.learn(new)
+        self.learn(self._units.missing(set().union(*(x for row in rows for x in row if isinstance(x, list)))))
         known = self._units.__getitem__
         return [b"".join([b"".join(map(known, x)) if isinstance(x, list) else x.to_bytes(4, "little") for x in row]) for row in rows]
 
@@ -248,6 +316,9 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op7_bpe(spark, sf_dir: str) -> DataFrame:
-    """Encode and decode every whole text; null is empty: no ids, the empty text."""
+    """Encode and decode every whole text; null is empty: no ids, the empty text.
+
+    Repeated rows each have their row, other columns don't matter. A very long word is encoded in memory of about
+    eight times its bytes, a long text in that of its ids."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return bpe_digests(docs, tokenizer_path())

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import UNITS, byte_alphabet, tokenizer_path
+from .bpe import UNITS, Known, byte_alphabet, is_byte_level, tokenizer_path
 from .common import materialize, small_batches
 
 SEQUENCE, END = 1024, 2
@@ -33,9 +33,8 @@ class CachedEncoder:
 
     Where the file's ids follow its merges, as byte-level files' do, units go through tiktoken's merge loop with
     the same vocabulary, which takes a sixth of the library's time and gives its ids; else, and for units of odd
-    white space, through the library. Texts with an added token's string go to the library whole."""
-
-    KEEP = 1_000_000
+    white space or whose line ends merge, through the library. Texts with an added token's string, and all texts
+    where the file isn't plain byte-level BPE, go to the library whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -45,17 +44,18 @@ class CachedEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.fast = self._merge_loop(path)
-        self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
-        self.known: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.plain = is_byte_level(spec)
+        self.fast = self._merge_loop(spec["model"]) if self.plain else None
+        self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids[:1]
+        self.known = Known()
 
     @staticmethod
-    def _merge_loop(path: str):
+    def _merge_loop(model: dict):
         import public_tokenizers
         import tiktoken
 
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
         alphabet, vocab = byte_alphabet(), model["vocab"]
         pairs = ((m.split(" ") if isinstance(m, str) else m) for m in model["merges"])
         if [vocab["".join(p)] for p in pairs] != list(range(256, 256 + len(model["merges"]))):
@@ -66,28 +66,25 @@ class CachedEncoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, units: list[str]) -> None:
+    def _learn(self, units: set[str]) -> None:
         """Many units in one text, a line each: a line's end is a token of its own beside anything but white space."""
         plain = [] if self.fast is None else [u for u in units if len(u) > 1 and not (u[0] if u[0] != " " else u[1]).isspace() or len(u) == 1 and not u.isspace()]
-        other = list(set(units).difference(plain))
-        self.known.update(zip(other, self._encode(other), strict=True))
+        other = list(units.difference(plain))
         for a in range(0, len(plain), 2000):
             some = plain[a : a + 2000]
             ids = np.array(self.fast.encode_ordinary("\n".join(["", *some, ""])), "<u4")
             at = (4 * np.flatnonzero(ids == self.line)).tolist()
             raw = ids.tobytes()
-            if len(at) != len(some) + 1:
-                raise RuntimeError("a line end merged with a unit")
+            if len(at) != len(some) + 1:  # a line end merged with a unit
+                other += some
+                continue
             self.known.update(zip(some, [raw[i + 4 : j] for i, j in zip(at[:-1], at[1:], strict=True)], strict=True))
+        self.known.update(zip(other, self._encode(other), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian uint32."""
-        units = [None if any(s in t for s in self.special) else UNITS.findall(t) for t in texts]
-        new = list(set().union(*(u for u in units if u is not None)).difference(self.known))
-        if len(self.known) + len(new) > self.KEEP:
-            self.known.clear()
-            new = list(set().union(*(u for u in units if u is not None)))
-        self._learn(new)
+        units = [None if not self.plain or any(s in t for s in self.special) else UNITS.findall(t) for t in texts]
+        self._learn(self.known.missing(set().union(*(u for u in units if u is not None))))
         known = self.known.__getitem__
         return [b"".join(map(known, u)) if u is not None else self._encode([t])[0] for u, t in zip(units, texts, strict=True)]
 

@@ -1,11 +1,13 @@
 import hashlib
 import random
+import tracemalloc
 
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from lexiforge.llm.bpe import load, op7_bpe
+from lexiforge.llm import bpe as module
+from lexiforge.llm.bpe import Known, TrieBpe, load, op7_bpe
 
 PATH = str(public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -50,3 +52,31 @@ def test_query(spark, folder, empty, docs, reference):
     key = lambda x: tuple(map(str, x))
     assert sorted(map(tuple, op7_bpe(spark, folder).collect()), key=key) == sorted(want, key=key)
     assert op7_bpe(spark, empty).count() == 0
+
+
+def test_long_words(reference, monkeypatch):
+    """Beyond DEPTH a word goes on by itself: same ids, and memory of a few bytes a byte."""
+    rng = random.Random(9)
+    long = "".join(rng.choice("etaoinshrdlu") for _ in range(300_000))
+    tracemalloc.start()
+    raw = load(PATH).encode_batch([long])[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [int.from_bytes(raw[i : i + 4], "little") for i in range(0, len(raw), 4)] == reference.encode(long, add_special_tokens=False).ids
+    assert peak < 100 * len(long)
+    monkeypatch.setattr(module, "DEPTH", 3)
+    bpe = TrieBpe(PATH)
+    for t, raw, e in zip(odd_texts(), bpe.encode_batch(odd_texts()), reference.encode_batch(odd_texts(), add_special_tokens=False), strict=True):
+        assert [int.from_bytes(raw[i : i + 4], "little") for i in range(0, len(raw), 4)] == e.ids, t
+
+
+def test_what_is_kept_is_bounded():
+    k = Known(1000)
+    for a in range(0, 100, 4):
+        k.update(dict.fromkeys(k.missing({str(i) for i in range(a, a + 4)}), b""))
+    assert k.size <= 1000 and len(k) <= 5
+
+
+def test_other_files_are_refused():
+    with pytest.raises(ValueError):
+        TrieBpe(str(public_tokenizers.path("word_bpe_49k.json")))

@@ -63,3 +63,13 @@ def test_units_are_encoded_like_whole_texts():
     want = [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch(texts, add_special_tokens=False)]
     encoder = CachedEncoder(PATH)
     assert encoder.encode(texts) == want and encoder.encode(texts) == want
+
+
+def test_units_whose_line_ends_merge_go_to_the_library(monkeypatch):
+    texts, tok = odd_texts(), Tokenizer.from_file(PATH)
+    encoder = CachedEncoder(PATH)
+    encoder.line = [0]  # as if lines could not be told apart
+    assert encoder.encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch(texts, add_special_tokens=False)]
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    other = Tokenizer.from_file(path)
+    assert CachedEncoder(path).encode(texts[:50]) == [np.array(e.ids, "<u4").tobytes() for e in other.encode_batch(texts[:50], add_special_tokens=False)]
