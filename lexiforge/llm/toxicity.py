@@ -26,7 +26,7 @@ from .common import crc_remainder, materialize, mix, slabs, small_batches, text_
 #: CHI: the chi-square of a chance of 1e-7, as about a million terms are tried.
 #: MINIMA: hashes that estimate the similarity of two examples. DENSE: terms whose weights are kept as dense blocks.
 #: POSTINGS: of each class, examples beyond the first with so many terms are left out.
-EXAMPLES, BLOCK, PREFIX, CHI, MINIMA, FAINT, DENSE, POSTINGS = 3000, 64, 4, 28.4, 64, 0.01, 1024, 3_000_000
+EXAMPLES, BLOCK, PREFIX, CHI, MINIMA, FAINT, DENSE, POSTINGS = 3000, 64, 4, 28.4, 64, 0.01, 2048, 3_000_000
 _END = np.array([not (48 <= b < 58 or 97 <= b < 123 or 65 <= b < 91 or b >= 128) for b in range(256)])
 _HEAD = np.uint64(0x5851F42D4C957F2D)
 
