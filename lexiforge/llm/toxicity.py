@@ -29,6 +29,8 @@ from .common import crc_remainder, materialize, mix, slabs, small_batches, text_
 EXAMPLES, BLOCK, PREFIX, CHI, MINIMA, FAINT, DENSE, POSTINGS = 3000, 64, 4, 28.4, 64, 0.01, 2048, 3_000_000
 _END = np.array([not (48 <= b < 58 or 97 <= b < 123 or 65 <= b < 91 or b >= 128) for b in range(256)])
 _HEAD = np.uint64(0x5851F42D4C957F2D)
+#: Examples that a task votes on at a time.
+LOT = 256
 
 
 def _terms(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -71,11 +73,10 @@ class BlockMaxIndex:
     """Unit vectors by item, the postings of rarer terms, and dense blocks of items with each block's largest weight
     of the DENSE commonest terms. All but the vectors is made on first use."""
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
-        self.n, self.n_terms = len(vectors), n_terms
-        self.at = np.concatenate(([0], np.cumsum([len(v[0]) for v in vectors]))).astype(np.int64)
-        self.term = np.concatenate([v[0] for v in vectors]).astype(np.int32) if vectors else np.zeros(0, np.int32)
-        self.w = np.concatenate([v[1] for v in vectors]) if vectors else np.zeros(0)
+    def __init__(self, at: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_terms: int):
+        """Vector i has the terms, which are sorted, and weights from at[i] to at[i + 1]."""
+        self.n, self.n_terms = len(at) - 1, n_terms
+        self.at, self.term, self.w = at, terms.astype(np.int32), weights
         self.made = None
 
     def __getstate__(self):
@@ -102,7 +103,7 @@ class BlockMaxIndex:
         """The k items of largest cosine over 0 (ties: the smaller item), without item skip."""
         return next(self.nearest_many(np.array([0, len(terms)]), terms, weights, k, np.array([skip])))
 
-    def nearest_many(self, at: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, skip: np.ndarray | None = None, most: int = 2_000_000):
+    def nearest_many(self, at: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, skip: np.ndarray | None = None, most: int = 500_000):
         """nearest of each vector terms[at[i] : at[i + 1]], those being different and sorted."""
         row, _, _, start, _, _ = self._make()
         visits = np.concatenate(([0], np.cumsum(start[terms + 1] - start[terms])))[at]
@@ -248,6 +249,41 @@ def _example_terms(batches):
         yield pa.RecordBatch.from_arrays([doc_id.cast(pa.int64()), pa.array(np.diff(cut), pa.int64()), pa.array(data, pa.binary()), pa.array(minima, pa.binary())], ["doc_id", "n", "data", "minima"])
 
 
+def _merged(got: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets of the examples, their terms and counts; a doc_id of several rows has each term's largest count.
+    got is emptied on the way."""
+    for rows in got:
+        if len(rows) > 1:
+            each = [(np.frombuffer(d, "<u8", len(d) // 12), np.frombuffer(d, "<u4", len(d) // 12, len(d) // 12 * 8)) for d in rows]
+            term, at = np.unique(np.concatenate([t for t, _ in each]), return_inverse=True)
+            tf = np.zeros(len(term), np.uint32)
+            np.maximum.at(tf, at, np.concatenate([c for _, c in each]))
+            rows[:] = [term.tobytes() + tf.tobytes()]
+    cut = np.concatenate(([0], np.cumsum([len(rows[0]) // 12 if rows else 0 for rows in got]))).astype(np.int64)
+    term, tf = np.empty(cut[-1], np.uint64), np.empty(cut[-1], np.uint32)
+    for rows, i, j in zip(got, cut[:-1], cut[1:], strict=True):
+        if rows:
+            term[i:j], tf[i:j] = np.frombuffer(rows[0], "<u8", j - i), np.frombuffer(rows[0], "<u4", j - i, 8 * (j - i))
+            rows.clear()
+    return cut, term, tf
+
+
+def _vote_lots(shared):
+    """Lots of examples: each one's vote by the others."""
+
+    def run(batches):
+        model = shared.value
+        index = model.index
+        for b in batches:
+            for lot in b.column(0).to_pylist():
+                own = np.arange(lot * LOT, min(index.n, (lot + 1) * LOT))
+                mine, at = slice(index.at[own[0]], index.at[own[-1] + 1]), index.at[own[0] : own[-1] + 2]
+                found = index.nearest_many(at - at[0], index.term[mine].astype(np.int64), index.w[mine], model.k, own)
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([model.vote(*x) for x in found])], ["i", "vote"])
+
+    return run
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, k: int = 15, held_out: tuple[int, int] | None = (3, 1)) -> ToxicityModel:
     """A model from at most examples labelled rows of each class; held_out: rows whose crc32(doc_id) has that
     (modulus, remainder) teach nothing. A doc_id labelled twice counts as toxic if any of its labels is 1."""
@@ -261,7 +297,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, k
     picked = known.where("toxic = 1").orderBy(order, "doc_id").limit(examples).unionByName(known.where("toxic = 0").orderBy(order, "doc_id").limit(examples))
     ids = picked.select("doc_id", "toxic").collect()  # at most 2 * examples small rows
     if not ids:
-        return ToxicityModel(Vocabulary(np.zeros(0)), np.zeros(0), BlockMaxIndex([], 0), np.zeros(0), np.zeros(0), np.zeros(0, np.int64), k, 0.0)
+        return ToxicityModel(Vocabulary(np.zeros(0)), np.zeros(0), BlockMaxIndex(np.zeros(1, np.int64), np.zeros(0), np.zeros(0), 0), np.zeros(0), np.zeros(0), np.zeros(0, np.int64), k, 0.0)
     small = F.broadcast(spark.createDataFrame([(r.doc_id,) for r in ids], "doc_id long"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(small, "doc_id")
     rows = materialize(rows.mapInArrow(_example_terms, "doc_id long, n long, data binary, minima binary"))
@@ -275,31 +311,26 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, k
     place = {r.doc_id: i for i, r in enumerate(ids)}
     toxic = np.array([r.toxic for r in ids])
     minima = np.full((len(ids), MINIMA), (1 << 64) - 1, np.uint64)
-    got_doc, got_term, got_tf = [], [], []
+    got: list[list[bytes]] = [[] for _ in ids]
     if len(ids) < len(size):
         rows = rows.join(F.broadcast(spark.createDataFrame([(r.doc_id,) for r in ids], "doc_id long")), "doc_id")
     for r in rows.select("doc_id", "n", "data", "minima").toLocalIterator():  # POSTINGS bounds the terms
         i = place[r.doc_id]
         minima[i] = np.minimum(minima[i], np.frombuffer(r.minima, np.uint64))
-        got_doc.append(np.full(r.n, i))
-        got_term.append(np.frombuffer(r.data, "<u8", r.n))
-        got_tf.append(np.frombuffer(r.data, "<u4", r.n, 8 * r.n))
-    doc, term, tf = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((got_doc, np.int64), (got_term, np.uint64), (got_tf, np.uint32)))
-    del got_doc, got_term, got_tf
+        got[i].append(bytes(r.data))
+    cut, term, tf = _merged(got)
     vocab = Vocabulary(np.unique(term))
     n_terms = len(vocab.terms)
-    key = doc * max(1, n_terms) + np.searchsorted(vocab.terms, term)
-    del doc, term
-    by = np.lexsort((tf, key))
-    key, tf = key[by], tf[by]
-    last = np.append(key[1:] != key[:-1], True) if len(key) else np.zeros(0, bool)  # a doc_id of several rows has its terms' most
-    doc, term, tf = key[last] // max(1, n_terms), key[last] % max(1, n_terms), tf[last].astype(np.int64)
+    term = np.searchsorted(vocab.terms, term).astype(np.int32)
     # in the term statistics copies speak once: else every word of a copied text would tell its class
-    has = np.bincount(doc, minlength=len(ids)) > 0
+    has = np.diff(cut) > 0
     say = np.ones(len(ids))
     say[has] = copy_weights(minima[has].astype(np.int64))
     n1, n0 = (say[toxic == c].sum() for c in (1, 0))
-    a, b = (np.bincount(term[toxic[doc] == c], say[doc[toxic[doc] == c]], n_terms) for c in (1, 0))
+    told = np.zeros((2, n_terms))
+    for i, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+        told[toxic[i], term[x:y]] += say[i]  # a text's terms are different
+    b, a = told
     n = n1 + n0
     chi = n * (a * (n0 - b) - b * (n1 - a)) ** 2 / np.maximum(1e-9, (a + b) * (n - a - b) * max(1, n1) * max(1, n0))
     telling = (chi >= CHI) & (a + b >= 4) & (np.abs(np.log((a + 0.5) / (n1 + 1) / ((b + 0.5) / (n0 + 1)))) >= np.log(3))
@@ -309,18 +340,22 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, k
     # a text without known terms: as examples without terms, and one more of the labels' mean
     rate = total.get(1, 0) / max(1, sum(total.values()))
     prior = float(((share * toxic)[~has].sum() + rate) / (share[~has].sum() + 1))
-    cut = np.searchsorted(doc, np.arange(len(ids) + 1))
     # alike examples share blocks: classes first, then the weightiest term
     full = sorted(np.flatnonzero(has), key=lambda d: (toxic[d], term[cut[d] + idf[term[cut[d] : cut[d + 1]]].argmax()], ids[d].doc_id))
-    model = ToxicityModel(vocab, idf, BlockMaxIndex([], n_terms), toxic[full], say[full], np.array([ids[d].doc_id for d in full], np.int64), k, prior)
+    model = ToxicityModel(vocab, idf, BlockMaxIndex(np.zeros(1, np.int64), np.zeros(0), np.zeros(0), n_terms), toxic[full], say[full], np.array([ids[d].doc_id for d in full], np.int64), k, prior)
     if full:
         n = np.diff(cut)[full]
         at, r = np.concatenate(([0], np.cumsum(n))), _ranges(cut[:-1][full], n)
-        w = model.vectors(at, term[r], tf[r])
-        model.index = BlockMaxIndex([(term[cut[d] : cut[d + 1]], w[at[i] : at[i + 1]]) for i, d in enumerate(full)], n_terms)
-        raw = np.array([model.vote(*x) for x in model.index.nearest_many(at, term[r], w, k, np.arange(len(full)))])
+        term, tf = term[r], tf[r]
+        del r
+        model.index = BlockMaxIndex(at, term, model.vectors(at, term, tf), n_terms)
+        # each example's vote without itself; tasks have the memory for the index's blocks
+        shared = spark.sparkContext.broadcast(model)
+        votes = spark.range(-(-len(full) // LOT)).mapInArrow(_vote_lots(shared), "i long, vote double").collect()  # as many as examples
+        raw = np.zeros(len(full))
+        raw[[r.i for r in votes]] = [r.vote for r in votes]
         model.curve = isotonic(raw, model.label.astype(float), share[full])
-        model.index.made = None
+        shared.destroy()
     return model
 
 
