@@ -25,7 +25,8 @@ STOPWORDS = (
     "weren weren't won won't wouldn wouldn't"
 ).split()
 
-# A tag does not span lines in a document, since documents are read line by line.
+# What is taken out, and what a token is. A tag does not span lines in a document, since documents are
+# read line by line. White space that ends a URL is ASCII on both sides.
 TAG_IN_LINE, TAG = r"<[^>\r\n]+>", r"<[^>]+>"
 URL = r"""(?i)\b(?:https?://|ftp://|file://|mailto:|www\.)[^\s<>'"]+"""
 TOKEN = r"[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*"
@@ -56,8 +57,7 @@ def unstemmed(text: Column, config: AnalyzerConfig) -> Column:
     found = F.regexp_extract_all(clean(F.coalesce(text, F.lit(""))), F.lit(f"({TOKEN})"), F.lit(1))
     kept = F.filter(found, lambda t: (F.length(t) > 1) & ~t.rlike("^[0-9]+$"))
     if config.stops:
-        stops = F.array(*map(F.lit, config.stops))
-        kept = F.filter(kept, lambda t: ~F.array_contains(stops, t))
+        kept = F.filter(kept, lambda t: ~t.isin(*config.stops))  # as many as make Spark hash them
     return kept
 
 
@@ -81,7 +81,7 @@ def analyze_text(text: str | None, config: AnalyzerConfig) -> list[str]:
     """The tokens of a query part."""
     if text is None:
         return []
-    text = re.sub(URL, " ", re.sub(TAG, " ", text.lower()))
+    text = re.sub(URL.replace(r"\s", r" \t\n\x0b\f\r"), " ", re.sub(TAG, " ", text.lower()))
     stops = frozenset(config.stops)
     kept = [t for t in re.findall(TOKEN, text) if len(t) > 1 and not re.fullmatch("[0-9]+", t) and t not in stops]
     return [stem(t) for t in kept] if config.stem else kept

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,43 +14,100 @@ def delta_encode(values: Column) -> Column:
     return F.transform(values, lambda x, i: x - F.when(i > 0, F.get(values, i - 1)).otherwise(0))
 
 
-def delta_decode(deltas: Column) -> Column:
-    """Running sums of an array."""
-    step = lambda acc, x: F.concat(acc, F.array(x + F.coalesce(F.element_at(F.when(F.size(acc) > 0, acc), -1), F.lit(0).cast("long"))))
-    return F.aggregate(F.transform(deltas, lambda x: x.cast("long")), F.array().cast("array<bigint>"), step)
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def delta_decode(deltas: pd.Series) -> pd.Series:
+    """Running sums of an array, in time that grows with its length."""
+    return deltas.map(lambda v: None if v is None else np.cumsum(np.asarray(v, np.int64)))
 
 
 def encode_numbers(numbers) -> bytes:
-    out = bytearray()
-    for n in numbers:
-        n = int(n)
-        if n < 0:
-            raise ValueError("vbyte codes numbers from 0")
-        while n > 127:
-            out.append(n & 127 | 128)
-            n >>= 7
-        out.append(n)
-    return bytes(out)
+    """Little-endian groups of 7 bits; the high bit says that more follow."""
+    n = np.asarray(numbers, np.int64)
+    if not len(n):
+        return b""
+    if n.min() < 0:
+        raise ValueError("vbyte codes numbers from 0")
+    size = 1 + sum((n >> (7 * k) > 0).astype(np.int64) for k in range(1, 9))
+    end = np.cumsum(size)
+    out = np.empty(end[-1], np.uint8)
+    for k in range(int(size.max())):
+        has = size > k
+        out[(end - size)[has] + k] = (n[has] >> (7 * k)) & 127 | np.where(size[has] > k + 1, 128, 0)
+    return out.tobytes()
 
 
-def decode_numbers(data: bytes) -> list[int]:
+def decode_array(data: bytes) -> np.ndarray:
     """The numbers of data; an unfinished last one is dropped."""
-    out, n, shift = [], 0, 0
-    for b in data:
-        n |= (b & 127) << shift
-        shift += 7
-        if b < 128:
-            out.append(n)
-            n = shift = 0
-    return out
+    b = np.frombuffer(data, np.uint8)
+    end = np.flatnonzero(b < 128)
+    if not len(end):
+        return np.zeros(0, np.int64)
+    b = b[: end[-1] + 1].astype(np.int64)
+    start = np.concatenate(([0], end[:-1] + 1))
+    shift = 7 * (np.arange(len(b)) - np.repeat(start, end + 1 - start))
+    return np.add.reduceat((b & 127) << shift, start)
+
+
+def decode_numbers(data: bytes) -> list[int]:
+    return decode_array(data).tolist()
 
 
 @F.pandas_udf(T.BinaryType())
 def vbyte_encode(values: pd.Series) -> pd.Series:
-    """Little-endian groups of 7 bits; the high bit says that more follow."""
     return values.map(lambda v: None if v is None else encode_numbers(v))
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def vbyte_decode(data: pd.Series) -> pd.Series:
-    return data.map(lambda v: None if v is None else decode_numbers(bytes(v)))
+    return data.map(lambda v: None if v is None else decode_array(bytes(v)))
+
+
+# ---- blocks: some postings of a term in one value: their number, doc_id gaps, frequencies, then position gaps
+
+
+def _gaps(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Differences within runs that begin at starts; each run's first value is kept."""
+    out = np.diff(values, prepend=0)
+    out[starts] = values[starts]
+    return out
+
+
+@F.pandas_udf(T.BinaryType())
+def encode_block(doc_ids: pd.Series, positions: pd.Series) -> pd.Series:
+    """doc_ids ascend; positions: as many arrays, each ascending and not empty."""
+
+    def one(docs, pos) -> bytes:
+        docs, tf = np.asarray(docs, np.int64), np.array([len(p) for p in pos], np.int64)
+        flat = np.concatenate([np.asarray(p, np.int64) for p in pos]) if len(tf) else np.zeros(0, np.int64)
+        return encode_numbers(np.concatenate(([len(docs)], np.diff(docs, prepend=0), tf, _gaps(flat, np.cumsum(tf) - tf))))
+
+    return pd.Series([one(d, p) for d, p in zip(doc_ids, positions, strict=True)])
+
+
+_BLOCK = T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("tf", T.LongType()), T.StructField("positions", T.ArrayType(T.LongType()))]))
+
+
+def _decoded(raw: bytes, places: bool) -> list[dict]:
+    n = decode_array(raw)
+    k = int(n[0])
+    docs, tf = np.cumsum(n[1 : k + 1]), n[k + 1 : 2 * k + 1]
+    if not places:
+        return [{"doc_id": d, "tf": t, "positions": None} for d, t in zip(docs.tolist(), tf.tolist(), strict=True)]
+    start = 2 * k + 1 + np.cumsum(tf) - tf
+    return [{"doc_id": d, "tf": t, "positions": np.cumsum(n[i : i + t]).tolist()} for d, t, i in zip(docs.tolist(), tf.tolist(), start.tolist(), strict=True)]
+
+
+@F.pandas_udf(_BLOCK)
+def decode_block(data: pd.Series) -> pd.Series:
+    return pd.Series([_decoded(bytes(v), True) for v in data])
+
+
+@F.pandas_udf(_BLOCK)
+def decode_block_counts(data: pd.Series) -> pd.Series:
+    """doc_id and tf alone."""
+    return pd.Series([_decoded(bytes(v), False) for v in data])
+
+
+def block_of(doc_id: Column, docs: int = 1 << 16) -> Column:
+    """The block of a posting: ranges of doc_id, so that no common word fills a row or a task."""
+    return F.floor(doc_id / docs)

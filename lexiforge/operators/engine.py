@@ -151,7 +151,10 @@ class SearchEngine:
             where = self._predicate(plan, plan.tree, {k: F.coalesce(F.max(F.col("term") == k), F.lit(False)) for k in hit})
         if not plan.tokens:
             return empty
-        df = {r.term: r.df for r in hits.groupBy("term").agg(F.count("*").alias("df")).collect()}  # the query's terms
+        words = [t for t in plan.tokens if t not in plan.phrases]
+        df = {r.term: r.df for r in self.index.term_meta(*words).select("term", "df").collect()} if words else {}
+        if plan.phrases:  # a phrase's documents are counted where it stands
+            df |= {r.term: r.df for r in hits.where(F.col("term").isin(*plan.phrases)).groupBy("term").agg(F.count("*").alias("df")).collect()}
         rows, finish = self._bm25(plan.tokens, df, k1, k3, b) if method == "bm25" else self._smart(plan.tokens, df, *codes)
         if not rows:
             return empty

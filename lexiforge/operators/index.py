@@ -61,14 +61,15 @@ class SearchIndex:
         return SearchIndex(self.config, self.documents, self.postings, self.lexicon, self.doc_stats.join(norms, "doc_id"), self.corpus_stats)
 
     def save(self, path: str) -> None:
-        """Write all tables; postings and lexicon in ranges of terms, so that a term's row groups are few.
+        """Write all tables; postings in ranges of term and doc_id, so that a term's row groups are few and a common
+        word's postings are many tasks' and files' work.
 
         Postings are written first as they come: ordering by range samples its input, which would else run twice."""
         spark = self.postings.sparkSession
         raw, codec = f"{path}/postings_unsorted", "zstd"
         self.postings.write.mode("overwrite").option("compression", codec).parquet(raw)
         stored = spark.read.parquet(raw)
-        stored.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").option("compression", codec).parquet(f"{path}/postings")
+        stored.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").option("compression", codec).parquet(f"{path}/postings")
         kept = spark.read.parquet(f"{path}/postings")
         counts = kept.select("term", "doc_id", "tf")
         lexicon = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))

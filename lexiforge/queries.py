@@ -4,16 +4,21 @@ All run over the whole tables. Stopwords and stemming are off where SQL is the y
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections import Counter
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import codecs
-from .functions.analyze import PLAIN, STOPWORDS, AnalyzerConfig, tokens
+from .functions.analyze import PLAIN, STOPWORDS, AnalyzerConfig, stem_terms, tokens
+from .functions.smart import tf_number
 from .operators import metrics
 from .operators.engine import SearchEngine
 from .operators.index import NORMS, SearchIndex, norm_name
 from .operators.phrase import phrase_hits
-from .sources.text import spread, table
+from .sources.text import spread, table, text_files
 
 _indexes: dict[tuple, SearchIndex] = {}
 
@@ -30,6 +35,33 @@ def engine_for(spark, sf_dir: str, config: AnalyzerConfig = PLAIN) -> SearchEngi
     return SearchEngine(index_for(spark, sf_dir, config))
 
 
+_folders: dict[tuple, str] = {}
+
+
+def _folder(spark, sf_dir: str, name: str, fill) -> str:
+    """A folder that fill(path) wrote once a session: in the cluster's shared one, or of this machine where all runs
+    in one process."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _folders:
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = f"{(root or 'file://' + tempfile.mkdtemp(prefix='lexiforge-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        fill(path)
+        _folders[key] = path
+    return _folders[key]
+
+
+def _saved(spark, sf_dir: str) -> SearchIndex:
+    """The index of documents, saved and opened again."""
+    return SearchIndex.load(spark, _folder(spark, sf_dir, "index", lambda path: SearchIndex.of(spread(table(spark, sf_dir, "documents")), PLAIN).save(path)), PLAIN)
+
+
+def _written(spark, sf_dir: str) -> str:
+    """benchmark as text files, one an item."""
+    return _folder(spark, sf_dir, "texts", lambda path: table(spark, sf_dir, "benchmark").select("item_id", F.coalesce("text", F.lit("")).alias("text")).write.partitionBy("item_id").text(path))
+
+
 # ---- SQL fragments
 
 _URL = r"""\b(?:https?://|ftp://|file://|mailto:|www\.)[^\s<>''"]+"""
@@ -119,10 +151,30 @@ _register(
     lambda spark, sf: tokens(spread(table(spark, sf, "pages")), PLAIN, "page_id", "html").select(F.col("doc_id").alias("page_id"), F.col("pos").cast("long").alias("pos"), "term"),
     f"WITH d AS (SELECT page_id, {_words('html')} AS ts FROM pages) SELECT page_id, generate_subscripts(ts, 1) - 1 AS pos, unnest(ts) AS term FROM d",
 )
+_ODD = " a 4k 2-3 x-1 77 AI-driven "
 _register(
     "tok_drop_digits_short",
-    lambda spark, sf: tokens(table(spark, sf, "documents").select("doc_id", F.concat_ws(" ", F.col("doc_id").cast("string"), "source", F.lit("a 4k 2-3 x-1 77 AI-driven")).alias("text")), PLAIN).groupBy("term").agg(F.count("*").alias("n")),
-    f"WITH d AS (SELECT unnest({_words(chr(39) + chr(39) + ' || doc_id || ' + chr(39) + ' ' + chr(39) + ' || source || ' + chr(39) + ' a 4k 2-3 x-1 77 AI-driven' + chr(39))}) AS term FROM documents) SELECT term, count(*) AS n FROM d GROUP BY term",
+    lambda spark, sf: tokens(spread(table(spark, sf, "documents")).select("doc_id", F.concat_ws(_ODD, F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")), "source").alias("text")), PLAIN).groupBy("term").agg(F.count("*").alias("n")),
+    f"WITH e AS (SELECT concat_ws('{_ODD}', doc_id::VARCHAR, coalesce(text, ''), source) AS x FROM documents), d AS (SELECT unnest({_words('x')}) AS term FROM e) SELECT term, count(*) AS n FROM d GROUP BY term",
+)
+# Words and their stems, from the published description of the algorithm.
+STEMS = (
+    "caresses caress ponies poni cats cat feed feed agreed agre plastered plaster motoring motor sing sing conflated conflat sized size hopping hop "
+    "tanned tan falling fall hissing hiss fizzed fizz failing fail filing file happy happi relational relat conditional condit rational ration "
+    "digitizer digit vietnamization vietnam predication predic operator oper feudalism feudal decisiveness decis hopefulness hope callousness callous "
+    "triplicate triplic formative form formalize formal electrical electr hopeful hope goodness good revival reviv allowance allow inference infer "
+    "airliner airlin gyroscopic gyroscop adjustable adjust defensible defens irritant irrit replacement replac adjustment adjust dependent depend "
+    "adoption adopt communism commun activate activ homologous homolog effective effect probate probat rate rate cease ceas roll roll"
+).split()
+_register(
+    "stem_words",
+    lambda spark, sf: spark.createDataFrame([(w,) for w in STEMS[::2]], "word string").select("word", stem_terms("word").alias("stem")),
+    f"SELECT * FROM (VALUES {', '.join(f'({w!r}, {v!r})' for w, v in zip(STEMS[::2], STEMS[1::2], strict=True))}) t(word, stem)",
+)
+_register(
+    "src_text_files",
+    lambda spark, sf: text_files(spark, _written(spark, sf)).select("doc_id", F.regexp_extract("key", r"item_id=(\d+)/", 1).cast("long").alias("item_id"), "text"),
+    "SELECT row_number() OVER (ORDER BY 'item_id=' || item_id || '/') - 1 AS doc_id, item_id, coalesce(text, '') || chr(10) AS text FROM benchmark",
 )
 
 # ---- index
@@ -153,8 +205,16 @@ _register(
 )
 _register("doc_keys", lambda spark, sf: index_for(spark, sf).keys(), "SELECT doc_id, doc_id::VARCHAR AS key FROM documents")
 
+# ---- a saved index
+
+_register("saved_postings", lambda spark, sf: _saved(spark, sf).postings.select("term", "doc_id", F.col("tf").cast("long").alias("tf"), F.array_join(F.transform("positions", lambda x: x.cast("string")), " ").alias("positions")), f"{_D} SELECT term, doc_id, count(*) AS tf, string_agg(pos::VARCHAR, ' ' ORDER BY pos) AS positions FROM tok GROUP BY ALL")
+_register("saved_lexicon", lambda spark, sf: _saved(spark, sf).lexicon.select("term", "df", "cf"), ORACLE["idx_lexicon_df"])
+_register("saved_cosine_norms", lambda spark, sf: _saved(spark, sf).doc_stats.select("doc_id", *(F.round(c, 5).alias(c) for c in map(norm_name, NORMS))), ORACLE["idx_cosine_norms_15"])
+_register("saved_corpus_stats", lambda spark, sf: _saved(spark, sf).corpus_stats.select("n", F.round("avgdl", 6).alias("avgdl"), F.round("avg_unique", 6).alias("avg_unique")), ORACLE["idx_corpus_stats"])
+
 # ---- access
 
+_register("doc_ids", lambda spark, sf: index_for(spark, sf).ids("3", "5", "no such key"), "SELECT doc_id, doc_id::VARCHAR AS key FROM documents WHERE doc_id IN (3, 5)")
 _register("acc_term_meta", lambda spark, sf: index_for(spark, sf).term_meta("worthless", "anst", "no-such-term"), f"{_D} SELECT term, df, cf FROM lex WHERE term IN ('worthless', 'anst')")
 _register(
     "acc_postings",
@@ -185,6 +245,9 @@ _register(
     f"{_D} SELECT doc_id FROM st WHERE doc_id NOT IN (SELECT doc_id FROM p WHERE term IN ('the', 'tion')) OR doc_id IN (SELECT doc_id FROM p WHERE term = 'worthless')",
 )
 
+# the first clause holds for no document, so its word is pruned and doesn't score
+_boolean("bool_pruned_token", "(worthless AND NOT worthless) OR anst", ["anst"], "((h1 AND NOT h1) OR h0)", ["worthless"])
+
 # ---- phrases
 
 
@@ -205,34 +268,43 @@ _register("bm25_qtf", _search("worthless anst anst anst", method="bm25"), _ranke
 _register("bm25_all_terms", _search("the worthless unseenword", method="bm25"), _ranked(["the", "worthless"], _BM25, _QTF1, {}))
 
 
-def _smart(scheme: str, terms: list[str] = ("worthless", "tion")) -> None:
-    """A plain query of different words under scheme, in SQL: the query's tf is 1, so n, l, a, b and L weigh 1."""
-    doc, query = scheme[:3], scheme[4:]
-    terms = list(terms)
-    q_idf = _DF[query[1]]
+def _smart(scheme: str, words: list[str] = ("worthless", "tion"), name: str = "smart", query: str = "", where: str = "true", phrases: dict[str, str] | None = None) -> None:
+    """words under scheme, in SQL; a word may come more than once. query: what is asked, if not just the words; where
+    and phrases: those of a boolean one (with no cosine norm, which only words have)."""
+    doc, ask = scheme[:3], scheme[4:]
+    counts = Counter(words)
+    terms = list(counts)
+    asked = {t: repr(float(tf_number(ask[0], c, max(counts.values()), len(words) / len(terms)))) for t, c in counts.items()}
+    q_tf = "CASE term " + " ".join(f"WHEN '{t}' THEN {w}" for t, w in asked.items()) + " END"
+    q_idf = _DF[ask[1]]
     norm = {"n": "1.0", "c": None, "u": "CASE WHEN unique_terms > 0 THEN 1 / (0.8 + 0.2 * unique_terms / avg_unique) ELSE 1 END", "b": "CASE WHEN byte_length > 0 THEN 1 / sqrt(byte_length) ELSE 1 END"}[doc[2]]
     if norm is None:
         norm = "nn.w"
-    words = ", ".join(f"'{t}'" for t in terms)
+    among = ", ".join(f"'{t}'" for t in terms)
     q_norm = {
         "n": "1.0",
-        "c": f"(SELECT 1 / sqrt(sum(pow({q_idf}, 2))) FROM lex CROSS JOIN cs WHERE term IN ({words}) AND {q_idf} > 0 AND {_DF[doc[1]]} > 0)",
+        "c": f"(SELECT 1 / sqrt(sum(pow({q_tf} * {q_idf}, 2))) FROM lex CROSS JOIN cs WHERE term IN ({among}) AND {q_idf} > 0 AND {_DF[doc[1]]} > 0)",
         "u": f"(SELECT 1 / (0.8 + 0.2 * {len(terms)} / avg_unique) FROM cs)",
-        "b": f"{len(''.join(terms).encode()) ** -0.5!r}",
-    }[query[2]]
-    sql = _ranked(terms, f"{q_idf} * {_DF[doc[1]]} * {_TF[doc[0]]}", norm, {}, k=20)
+        "b": f"{len(''.join(words).encode()) ** -0.5!r}",
+    }[ask[2]]
+    sql = _ranked(terms, f"{q_idf} * {_DF[doc[1]]} * {_TF[doc[0]]}", norm, asked, where, phrases, k=20)
     if doc[2] == "c":
         nn = f", nn AS (SELECT p.doc_id, 1 / sqrt(sum(pow({_TF[doc[0]]} * {_DF[doc[1]]}, 2)) FILTER (WHERE df < n) + 1e-12) AS w FROM p JOIN lex USING (term) JOIN st USING (doc_id) CROSS JOIN cs GROUP BY p.doc_id)"
         sql = sql.replace(_D, _D + nn, 1).replace("JOIN st USING (doc_id) CROSS JOIN cs LEFT JOIN q", "JOIN st USING (doc_id) JOIN nn USING (doc_id) CROSS JOIN cs LEFT JOIN q")
     sql = sql.replace("SELECT doc_id, round(score, 6)", f"SELECT doc_id, round(score * {q_norm}, 6)").replace("ORDER BY round(score, 9) DESC", f"ORDER BY round(score * {q_norm}, 9) DESC")
-    if "t" in (doc[1], query[1]) or "p" in (doc[1], query[1]):
-        ok = " AND ".join(f"{_DF[x]} > 0" for x in {doc[1], query[1]} - {"n"})
+    if where == "true" and ("t" in (doc[1], ask[1]) or "p" in (doc[1], ask[1])):
+        ok = " AND ".join(f"{_DF[x]} > 0" for x in {doc[1], ask[1]} - {"n"})
         sql = sql.replace("LEFT JOIN q USING (term) GROUP BY", f"LEFT JOIN q USING (term) WHERE {ok} GROUP BY")
-    _register("smart_" + scheme.replace(".", "_"), _search(" ".join(terms), scheme=scheme), sql)
+    _register(f"{name}_" + scheme.replace(".", "_"), _search(query or " ".join(words), scheme=scheme), sql)
 
 
 for _scheme in ("ltc.ltc", "nnn.nnn", "lnn.nnn", "ann.nnn", "bnn.nnn", "Lnn.nnn", "ntn.nnn", "npn.nnn", "nnu.nnn", "nnb.nnn", "nnc.nnn", "ntu.Lpc", "Lpc.ltb", "apb.btu", "bnc.apn"):
     _smart(_scheme)
+for _scheme in ("nnn.nnn", "ltc.ltc", "lnn.ann", "nnb.bnb", "Ltu.Ltu", "apn.lpc"):
+    _smart(_scheme, ["worthless", "tion", "tion", "tion", "anst", "anst"], "smart_repeated")
+_smart("ltu.ltn", ["anea eriner", "the", "worthless"], "smart_boolean_phrase", '"anea eriner" AND (the OR worthless)', "h0 AND (h1 OR h2)", {"x": "anea eriner"})
+# a word that stands in two clauses counts twice
+_smart("nnb.nnn", ["tion", "anst", "tion"], "smart_boolean", "(tion OR anst) AND tion", "(h0 OR h1) AND h0")
 
 # ---- batches and evaluation
 
@@ -288,11 +360,20 @@ _register("eval_mrr", lambda spark, sf: metrics.mean_reciprocal_rank(*_runs(spar
 _joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
 
 
+BLOCK = 1 << 16  # doc_ids in a block
+
+
+def _blocks(spark, sf: str) -> DataFrame:
+    """Postings by term and range of doc_id, in order of doc_id."""
+    rows = index_for(spark, sf).postings.groupBy("term", codecs.block_of(F.col("doc_id"), BLOCK).alias("block")).agg(F.sort_array(F.collect_list(F.struct("doc_id", "positions"))).alias("rows"))
+    return rows.select("term", "block", F.col("rows.doc_id").alias("docs"), F.col("rows.positions").alias("positions"))
+
+
 def _doc_lists(spark, sf: str) -> DataFrame:
-    return index_for(spark, sf).postings.groupBy("term").agg(F.sort_array(F.collect_list("doc_id")).alias("docs"))
+    return _blocks(spark, sf).select("term", "docs")
 
 
-_LISTS = f"{_D}, l AS (SELECT term, list(doc_id ORDER BY doc_id) AS docs FROM p GROUP BY term)"
+_LISTS = f"{_D}, l AS (SELECT term, list(doc_id ORDER BY doc_id) AS docs FROM p GROUP BY term, doc_id // {BLOCK})"
 _GAPS = "[docs[i] - CASE WHEN i > 1 THEN docs[i - 1] ELSE 0 END FOR i IN range(1, len(docs) + 1)]"
 _register("codec_delta_encode", lambda spark, sf: _doc_lists(spark, sf).select("term", _joined(codecs.delta_encode(F.col("docs"))).alias("gaps")), f"{_LISTS} SELECT term, array_to_string({_GAPS}, ' ') AS gaps FROM l")
 _register("codec_delta_decode", lambda spark, sf: _doc_lists(spark, sf).select("term", _joined(codecs.delta_decode(codecs.delta_encode(F.col("docs")))).alias("docs")), f"{_LISTS} SELECT term, array_to_string(docs, ' ') AS docs FROM l")
@@ -302,3 +383,24 @@ _register(
     f"{_D}, g AS (SELECT term, doc_id, pos, pos - coalesce(lag(pos) OVER (PARTITION BY term, doc_id ORDER BY pos), 0) AS gap FROM tok) SELECT term, doc_id, string_agg(gap::VARCHAR, ' ' ORDER BY pos) AS gaps FROM g GROUP BY ALL",
 )
 _register("codec_vbyte_roundtrip", lambda spark, sf: index_for(spark, sf).postings.select("term", "doc_id", _joined(codecs.vbyte_decode(codecs.vbyte_encode(F.col("positions")))).alias("positions")), f"{_D} SELECT term, doc_id, string_agg(pos::VARCHAR, ' ' ORDER BY pos) AS positions FROM tok GROUP BY ALL")
+
+_VBYTE = "array_to_string([CASE WHEN x < 128 THEN printf('%02X', x) WHEN x < 16384 THEN printf('%02X%02X', x & 127 | 128, x >> 7) WHEN x < 2097152 THEN printf('%02X%02X%02X', x & 127 | 128, x >> 7 & 127 | 128, x >> 14) ELSE printf('%02X%02X%02X%02X', x & 127 | 128, x >> 7 & 127 | 128, x >> 14 & 127 | 128, x >> 21) END FOR x IN {}], '')"
+_register(
+    "codec_vbyte_bytes",
+    lambda spark, sf: index_for(spark, sf).postings.select("term", "doc_id", F.hex(codecs.vbyte_encode(F.transform("positions", lambda x: x * 50))).alias("bytes")),
+    f"{_D}, l AS (SELECT term, doc_id, list((pos * 50)::BIGINT ORDER BY pos) AS xs FROM tok GROUP BY ALL) SELECT term, doc_id, {_VBYTE.format('xs')} AS bytes FROM l",
+)
+_PLACES = f"""{_D}, g AS (SELECT term, doc_id, count(*) AS tf, list((pos)::BIGINT ORDER BY pos) AS ps FROM tok GROUP BY ALL),
+b AS (SELECT term, doc_id // {BLOCK} AS block, list(doc_id ORDER BY doc_id) AS docs, list(tf ORDER BY doc_id) AS tfs,
+      list([ps[i] - CASE WHEN i > 1 THEN ps[i - 1] ELSE 0 END FOR i IN range(1, len(ps) + 1)] ORDER BY doc_id) AS gaps FROM g GROUP BY ALL)"""
+_register(
+    "codec_block_bytes",
+    lambda spark, sf: _blocks(spark, sf).select("term", "block", F.md5(F.hex(codecs.encode_block("docs", "positions")).cast("binary")).alias("digest")),
+    f"{_PLACES}, n AS (SELECT term, block, list_concat([len(docs)::BIGINT], {_GAPS}, tfs, flatten(gaps)) AS xs FROM b) SELECT term, block, md5({_VBYTE.format('xs')}) AS digest FROM n",
+)
+_register(
+    "codec_block_decode",
+    lambda spark, sf: _blocks(spark, sf).select("term", F.explode(codecs.decode_block(codecs.encode_block("docs", "positions"))).alias("p")).select("term", "p.doc_id", "p.tf", _joined(F.col("p.positions")).alias("positions")),
+    ORACLE["saved_postings"],
+)
+_register("codec_block_counts", lambda spark, sf: _blocks(spark, sf).select("term", F.explode(codecs.decode_block_counts(codecs.encode_block("docs", "positions"))).alias("p")).select("term", "p.doc_id", "p.tf"), ORACLE["idx_postings_tf"])
