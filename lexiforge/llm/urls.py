@@ -10,6 +10,8 @@ prefix. Its canonical form is host and prefix in one string. A URL's possible en
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,9 +62,9 @@ def dense(bloom: DataFrame, n_blocks: int) -> Column:
 def passes(key: Column, blocks: Column, n_blocks: int) -> Column:
     """Whether key may be listed, by the dense filter."""
     block, *bits = _bits(key, n_blocks)
-    found = F.get(blocks, block.cast("int"))
-    ok = [found[f"f{i}"].bitwiseAND(bit) != 0 for i, bit in enumerate(bits)]
-    return ok[0] & ok[1] & ok[2] & ok[3]
+    # an array of one block: the filter itself is named once, not once a word
+    has = lambda found: reduce(lambda x, y: x & y, (found[f"f{i}"].bitwiseAND(bit) != 0 for i, bit in enumerate(bits)))
+    return F.exists(F.array(F.get(blocks, block.cast("int"))), has)
 
 
 def url_verdicts(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
