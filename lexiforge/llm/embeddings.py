@@ -1,7 +1,8 @@
 """Near-duplicate embeddings by randomised-rotation binary codes (RaBitQ).
 
-Equal vectors of a label form a class. A class's unit vector is given to its nearest cell (centroids fitted on a
-bounded sample; their number follows the table's), and visits those whose border with its own is within half the
+Equal vectors of a label form a class. A label of at most EXACT classes is one cell around the origin. In a larger
+one, a class's unit vector is given to its nearest cell (centroids fitted on a bounded sample; their number follows
+the table's), and visits those whose border with its own is within half the
 length of the longest link's chord: of two linked vectors, one visits the other's cell. In a cell, a vector is the centroid plus a residual; the rotated residual's signs are its code, and the code's inner
 product with the residual is stored as the correction factor. From the codes every pair gets a bound that its
 cosine cannot exceed, and only pairs whose bound reaches the threshold are computed anew, in double precision; so
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, materialize, small_batches
 
+#: Classes of a label that aren't dealt to cells: so few that to code all is less work than to visit cells.
+EXACT = 50_000
 #: Vectors that centroids are fitted on, wanted in a cell, most cells, and most of a cell in a task.
 SAMPLE, PER_CELL, CELLS, PART = 20_000, 1_000, 2_048, 6_000
 
@@ -105,7 +108,7 @@ def _match(shared, least: float):
         cls, copies, home, part, v = cls[order], copies[order], home[order], part[order], v[order]
         visits = [frozenset(visits[i]) for i in order]
         n_home = int((home == cell).sum())
-        centroid, turn = shared.value[cell], rotation(v.shape[1])
+        centroid, turn = np.zeros(v.shape[1]) if cell < 0 else shared.value[cell], rotation(v.shape[1])
         codes = Codes(v, centroid, turn)
         residual = ((v - centroid) @ turn).astype(np.float32)
         residual /= np.maximum(codes.norm, 1e-12)[:, None].astype(np.float32)
@@ -149,7 +152,7 @@ def _match(shared, least: float):
     return run
 
 
-def embedding_components(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.93, per_cell: int = PER_CELL, part: int = PART) -> DataFrame:
+def embedding_components(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.93, per_cell: int = PER_CELL, part: int = PART, exact: int = EXACT) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row.
 
     Only rows of an equal label and length of vector are compared. A row whose label is null, or whose vector is
@@ -170,21 +173,26 @@ def embedding_components(rows: DataFrame, vec_id: str = "vec_id", vector: str =
     unit = materialize(unit.select("vec_id", "good", "label", "k1", "k2", "u"))
     good = unit.where("good")
     classes = materialize(good.groupBy("label", "k1", "k2").agg(F.min("vec_id").alias("cls"), F.count("*").alias("copies"), F.first("u").alias("v")))
-    sizes = {r.d: r.n for r in classes.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()}
+    big = materialize(classes.groupBy("label").agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).where(F.col("n") > exact))
+    sizes = {r.d: r.n for r in big.groupBy("d").agg(F.sum("n").alias("n")).collect()}
     found = None
-    for dim, n in sizes.items():  # one index a length of vectors
-        some = classes.where(F.size("v") == dim)
-        sample = np.array([r.v for r in some.orderBy(F.xxhash64("k1")).limit(SAMPLE).select("v").collect()])
-        shared = spark.sparkContext.broadcast(fit_centroids(sample, min(CELLS, max(1, n // per_cell), max(1, len(sample) // 8))))
-        dealt = materialize(some.mapInArrow(_cells(shared, least), "cls long, label string, copies long, v array<double>, home int, visits array<int>"))
+    # one index a length of vectors, and one cell for each other label; big has fewer than rows / exact rows
+    alone = classes.join(F.broadcast(big.select("label")), "label", "left_anti")
+    for dim, n in [(0, 0), *sizes.items()]:
+        if dim:
+            some = classes.join(F.broadcast(big.where(F.col("d") == dim).select("label")), "label", "left_semi")
+            sample = np.array([r.v for r in some.orderBy(F.xxhash64("k1")).limit(SAMPLE).select("v").collect()])
+            shared = spark.sparkContext.broadcast(fit_centroids(sample, min(CELLS, max(1, n // per_cell), max(1, len(sample) // 8))))
+            dealt = materialize(some.mapInArrow(_cells(shared, least), "cls long, label string, copies long, v array<double>, home int, visits array<int>"))
+        else:
+            shared = spark.sparkContext.broadcast(np.zeros((0, 0)))
+            dealt = alone.select("cls", "label", "copies", "v", F.lit(-1).alias("home"), F.array(F.lit(-1)).alias("visits"))
         there = dealt.select("cls", "label", "copies", "v", "home", "visits", F.explode("visits").alias("cell"))
         parts = there.groupBy("label", "cell").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
         there = there.join(parts, ["label", "cell"]).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
         there = there.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("x", F.least("part", "other")).withColumn("y", F.greatest("part", "other"))
         pairs = there.groupBy("label", "cell", "x", "y").applyInArrow(_match(shared, least), "a long, b long, n long")
         found = pairs if found is None else found.unionByName(pairs)
-    if found is None:
-        found = spark.createDataFrame([], "a long, b long, n long")
     found = materialize(found)
     links = found.where("n is not null").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("n"))
     roots = materialize(connected_components(found.where("b is not null")))
@@ -195,5 +203,6 @@ def embedding_components(rows: DataFrame, vec_id: str = "vec_id", vector: str =
 
 
 def op8_embed_dedup(spark, sf_dir: str) -> DataFrame:
-    """Near-duplicate vectors within each label at cosine 0.93."""
+    """Near-duplicate vectors within each label at cosine 0.93; what links with nothing: see embedding_components.
+    Repeated rows each have their row; other columns don't matter."""
     return embedding_components(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label"))
