@@ -121,7 +121,8 @@ def op9_fingerprint(spark, sf_dir: str) -> DataFrame:
     # the scan deals its rows alike at every attempt, so a row's number names it
     docs = docs.withColumn("row", F.monotonically_increasing_id())
     # the window and both joins read one shuffle of the texts; a broadcast of ids would only save it on small tables
-    keyed = docs.where("doc_id is not null").withColumn("least", F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "row")) == 1)
+    # (a rank would be filtered before the shuffle on one side, and the shuffles would differ)
+    keyed = docs.where("doc_id is not null").withColumn("least", F.lag("row").over(Window.partitionBy("doc_id").orderBy("text", "row")).isNull())
     told = keyed.where("least").join(asked.hint("merge"), "doc_id").select(F.col("asker").alias("doc_id"), F.col("doc_id").alias("next_id"), F.expr("substring(text, 1, cast(k as int))").alias("head"))
     told = keyed.join(told.hint("merge"), "doc_id", "left")
     alone = docs.where("doc_id is null").withColumns({"least": F.lit(False), "next_id": F.lit(None).cast("long"), "head": F.lit("")})
