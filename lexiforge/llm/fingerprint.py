@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import free_shuffles, materialize
 
 PARAGRAPH = r"[^.!?\n]{1,120}[.!?\n]*|[.!?\n]+"
 WORDS, BITS = 3, 60
@@ -106,16 +106,11 @@ def _with_edited(docs: DataFrame) -> DataFrame:
     sums = lane_sums(docs, keys, "units").withColumns({"a": reduced(F.col("first")), "b": reduced(F.col("second"))})
     sums = sums.withColumn("aa", dot(F.col("a"), F.col("a")))
     near = likeness(F.col("a"), F.col("b"), F.col("aa"), dot(F.col("b"), F.col("b")))
-    return sums.select(*keys, fingerprint_hex("a").alias("fingerprint"), fingerprint_hex("b").alias("edited_fingerprint"), near.alias("near_edited"), F.col("a").cast("array<smallint>").alias("a"), "aa")
+    return sums.select(*keys, near.alias("near_edited"), *(F.col(c).cast("array<smallint>").alias(c) for c in "ab"), "aa")
 
 
-def op9_fingerprint(spark, sf_dir: str) -> DataFrame:
-    """Fingerprints of every whole text and its edited text.
-
-    Null texts are empty. Of rows that share a doc_id the one with the least text stands for it as the next
-    document. A row without doc_id has no next document: its last third is replaced by nothing, near_next is 0
-    or, if it is empty, 1. Repeated rows and texts of any number of paragraphs are as others."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+def _edited_pairs(docs: DataFrame) -> DataFrame:
+    """A written table of each text's and its edited text's lanes; docs is a scan."""
     order = next_ids(docs.select("doc_id", F.length("text").alias("n")), "doc_id", "n")
     asked = order.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("asker"), "k")
     # the scan deals its rows alike at every attempt, so a row's number names it
@@ -126,9 +121,19 @@ def op9_fingerprint(spark, sf_dir: str) -> DataFrame:
     told = keyed.where("least").join(asked.hint("merge"), "doc_id").select(F.col("asker").alias("doc_id"), F.col("doc_id").alias("next_id"), F.expr("substring(text, 1, cast(k as int))").alias("head"))
     told = keyed.join(told.hint("merge"), "doc_id", "left")
     alone = docs.where("doc_id is null").withColumns({"least": F.lit(False), "next_id": F.lit(None).cast("long"), "head": F.lit("")})
-    done = materialize(_with_edited(told).unionByName(_with_edited(alone)))
+    return materialize(_with_edited(told).unionByName(_with_edited(alone)))
+
+
+def op9_fingerprint(spark, sf_dir: str) -> DataFrame:
+    """Fingerprints of every whole text and its edited text.
+
+    Null texts are empty. Of rows that share a doc_id the one with the least text stands for it as the next
+    document. A row without doc_id has no next document: its last third is replaced by nothing, near_next is 0
+    or, if it is empty, 1. Repeated rows and texts of any number of paragraphs are as others."""
+    done = _edited_pairs(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    free_shuffles(spark)  # the texts'
     nexts = done.where("least").select(F.col("doc_id").alias("next_id"), F.col("a").cast("array<long>").alias("c"), F.col("aa").alias("cc"))
     alone = done.where("next_id is null").withColumn("near_next", F.when(F.col("aa") > 0, 0.0).otherwise(1.0))
     out = done.where("next_id is not null").join(nexts, "next_id").withColumn("near_next", likeness(F.col("a").cast("array<long>"), F.col("c"), F.col("aa"), F.col("cc")))
-    columns = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    columns = ["doc_id", "n_chars", "edited_sha256", fingerprint_hex("a").alias("fingerprint"), fingerprint_hex("b").alias("edited_fingerprint"), "near_edited", "near_next"]
     return out.select(*columns).unionByName(alone.select(*columns))
