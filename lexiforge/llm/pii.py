@@ -12,8 +12,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -126,12 +128,15 @@ def _votes(kind: str, text: str, i: int, j: int) -> tuple[str, int]:
 def candidates(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[str, int, int, str]]:
     """(kind, start, end, votes and shape) of each candidate that no base match of any kind touches."""
     out = []
+    taken = sorted(span for spans in base.values() for span in spans)
+    starts, reach = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
     for kind in KINDS:
         if kind in _MAY and not any(x in text for x in _MAY[kind]):
             continue
         for m in _CANDIDATES[kind].finditer(text):
             i, j = m.span()
-            if not any(a < j and i < b for spans in base.values() for a, b in spans):
+            before = bisect_left(starts, j)
+            if not before or reach[before - 1] <= i:
                 votes, shape = _votes(kind, text, i, j)
                 out.append((kind, i, j, f"{votes}{shape}"))
     return out
