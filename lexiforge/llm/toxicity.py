@@ -1,8 +1,9 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine, over a block-max inverted index.
 
 A bounded sample of labelled rows (EXAMPLES of each class, those with the smallest hash of doc_id) gives the
-examples. All their terms are indexed: lower-cased words and the words' beginnings. A term weighs by TF-IDF, and
-FAINT times that unless its document rates differ between the classes, near copies counting as one text there.
+examples. All their terms are indexed: lower-cased words and the words' beginnings. A term weighs by TF-IDF, its
+document frequency being counted over all documents, and FAINT times that unless its rates differ between the
+classes of examples, near copies counting as one text there.
 Texts are scored in batches: terms of few examples from their postings, the commonest from dense blocks of
 examples; a block whose bound (with its largest weight of each common term) cannot reach the k-th best cosine is
 never opened, and what reaches it is computed anew in double precision, so the k nearest are exact. Votes weigh
@@ -26,7 +27,8 @@ from .common import crc_remainder, materialize, mix, slabs, small_batches, text_
 #: CHI: the chi-square of a chance of 1e-7, as about a million terms are tried.
 #: MINIMA: hashes that estimate the similarity of two examples. DENSE: terms whose weights are kept as dense blocks.
 #: POSTINGS: of each class, examples beyond the first with so many terms are left out.
-EXAMPLES, BLOCK, PREFIX, CHI, MINIMA, FAINT, DENSE, POSTINGS = 3000, 64, 4, 28.4, 64, 0.01, 2048, 3_000_000
+#: SLICE: terms whose document counts are shuffled as one row.
+EXAMPLES, BLOCK, PREFIX, CHI, MINIMA, FAINT, DENSE, POSTINGS, SLICE = 3000, 64, 4, 28.4, 64, 0.01, 2048, 3_000_000, 4096
 _END = np.array([not (48 <= b < 58 or 97 <= b < 123 or 65 <= b < 91 or b >= 128) for b in range(256)])
 _HEAD = np.uint64(0x5851F42D4C957F2D)
 #: Examples that a task votes on at a time.
@@ -268,6 +270,53 @@ def _merged(got: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return cut, term, tf
 
 
+def _task_counts(shared):
+    """Of each task its rows with each term of the vocabulary, in slices of terms; as slice -1 all its rows."""
+
+    def run(batches):
+        vocabulary = shared.value
+        n, rows = len(vocabulary.terms), 0
+        counts = np.zeros(n, np.int64)
+        for _, text in slabs(batches, []):
+            rows += len(text)
+            doc, at = vocabulary(*_terms(text))
+            counts += np.bincount(np.unique(doc * n + at) % n, minlength=n)
+        some = np.flatnonzero(counts)
+        cut = np.searchsorted(some, np.arange(0, n + SLICE, SLICE))
+        full = np.flatnonzero(np.diff(cut))
+        places = [(some[cut[i] : cut[i + 1]] % SLICE).astype("<u2").tobytes() for i in full]
+        values = [counts[some[cut[i] : cut[i + 1]]].astype("<i8").tobytes() for i in full]
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *full.tolist()], pa.int32()), pa.array([b"\0\0", *places], pa.binary()), pa.array([np.array([rows], "<i8").tobytes(), *values], pa.binary())], ["slice", "places", "counts"])
+
+    return run
+
+
+def _add_counts(batches):
+    """Rows of _task_counts, added up by slice as they come."""
+    total: dict[int, np.ndarray] = {}
+    for b in batches:
+        for i, places, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            total.setdefault(i, np.zeros(SLICE, np.int64))[np.frombuffer(places, "<u2")] += np.frombuffer(counts, "<i8")
+    some = {i: np.flatnonzero(x) for i, x in total.items()}
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([some[i].astype("<u2").tobytes() for i in total], pa.binary()), pa.array([total[i][some[i]].astype("<i8").tobytes() for i in total], pa.binary())], ["slice", "places", "counts"])
+
+
+def document_counts(docs: DataFrame, vocabulary: Vocabulary) -> tuple[int, np.ndarray]:
+    """All rows of docs, and how many of them have each term."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    schema = "slice int, places binary, counts binary"
+    parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_task_counts(shared), schema)
+    df, n = np.zeros(-(-len(vocabulary.terms) // SLICE) * SLICE, np.int64), 0
+    for r in parts.repartition("slice").mapInArrow(_add_counts, schema).toLocalIterator():  # as many numbers as terms
+        counts = np.frombuffer(r.counts, "<i8")
+        if r.slice < 0:
+            n += int(counts.sum())
+        else:
+            df[r.slice * SLICE + np.frombuffer(r.places, "<u2").astype(np.int64)] += counts
+    shared.destroy()
+    return n, df[: len(vocabulary.terms)]
+
+
 def _vote_lots(shared):
     """Lots of examples: each one's vote by the others."""
 
@@ -334,7 +383,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, k
     n = n1 + n0
     chi = n * (a * (n0 - b) - b * (n1 - a)) ** 2 / np.maximum(1e-9, (a + b) * (n - a - b) * max(1, n1) * max(1, n0))
     telling = (chi >= CHI) & (a + b >= 4) & (np.abs(np.log((a + 0.5) / (n1 + 1) / ((b + 0.5) / (n0 + 1)))) >= np.log(3))
-    idf = (np.log((n + 1) / (a + b + 1)) + 1) * np.where(telling, 1.0, FAINT)
+    n_docs, df = document_counts(docs, vocab)
+    idf = (np.log((n_docs + 1) / (df + 1)) + 1) * np.where(telling, 1.0, FAINT)
     n1, n0 = (int((toxic == c).sum()) for c in (1, 0))
     share = np.array([total.get(0, 0) / max(1, n0), total.get(1, 0) / max(1, n1)])[toxic]
     # a text without known terms: as examples without terms, and one more of the labels' mean

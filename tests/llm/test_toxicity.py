@@ -130,12 +130,12 @@ def test_score_against_brute_force(spark, tmp_path):
     minima = np.array([[min(int(mix(np.array([codes[t]], np.uint64) ^ s)[0]) for t in tf[i]) for s in seeds[:64]] for i in ids], np.uint64)
     say = dict(zip(ids, copy_weights(minima.astype(np.int64)), strict=True))
     n = [sum(say[i] for i in ids if labels[i] == c) for c in (0, 1)]
-    idf = {}
+    idf, df = {}, Counter(t for _, text in docs for t in terms(text))
     for t in codes:
         b, a = (sum(say[i] for i in ids if labels[i] == c and t in tf[i]) for c in (0, 1))
         chi = sum(n) * (a * (n[0] - b) - b * (n[1] - a)) ** 2 / max(1e-9, (a + b) * (sum(n) - a - b) * max(1, n[1]) * max(1, n[0]))
         tells = chi >= 28.4 and a + b >= 4 and abs(math.log((a + 0.5) / (n[1] + 1) / ((b + 0.5) / (n[0] + 1)))) >= math.log(3)
-        idf[t] = (math.log((sum(n) + 1) / (a + b + 1)) + 1) * (1 if tells else 0.01)
+        idf[t] = (math.log((len(docs) + 1) / (df[t] + 1)) + 1) * (1 if tells else 0.01)
     assert sum(x > 0.5 for x in idf.values()) == 4
 
     def vector(c):
