@@ -49,19 +49,29 @@ def _counted(doc: np.ndarray, term: np.ndarray, n_terms: int) -> tuple[np.ndarra
 
 
 class Vocabulary:
-    """Places of terms in a sorted list, with a bitmap before the search."""
+    """Places of terms in a sorted list, found by a table of 2^22 slots, of those that share one by search."""
 
     def __init__(self, terms: np.ndarray):
         self.terms = np.sort(np.asarray(terms, np.uint64))
-        self.bits = np.zeros(1 << 22, bool)
-        self.bits[(self.terms & np.uint64(0x3FFFFF)).astype(np.int64)] = True
+        self.slot = self.shared = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"slot": None, "shared": None}
 
     def __call__(self, doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.terms):
             return doc[:0], np.zeros(0, np.int64)
-        may = self.bits[(h & np.uint64(0x3FFFFF)).astype(np.int64)]
-        doc, h = doc[may], h[may]
-        at = np.minimum(np.searchsorted(self.terms, h), len(self.terms) - 1)
+        if self.slot is None:
+            own = (self.terms & np.uint64(0x3FFFFF)).astype(np.int64)
+            self.slot = np.full(1 << 22, -1, np.int32)
+            self.slot[own] = np.arange(len(own))
+            self.shared = np.bincount(own, minlength=1 << 22) > 1
+        low = (h & np.uint64(0x3FFFFF)).astype(np.int64)
+        at = self.slot[low]
+        may = np.flatnonzero(at >= 0)
+        doc, h, low, at = doc[may], h[may], low[may], at[may].astype(np.int64)
+        other = np.flatnonzero(self.shared[low])
+        at[other] = np.minimum(np.searchsorted(self.terms, h[other]), len(self.terms) - 1)
         ok = self.terms[at] == h
         return doc[ok], at[ok]
 
@@ -105,13 +115,13 @@ class BlockMaxIndex:
         """The k items of largest cosine over 0 (ties: the smaller item), without item skip."""
         return next(self.nearest_many(np.array([0, len(terms)]), terms, weights, k, np.array([skip])))
 
-    def nearest_many(self, at: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, skip: np.ndarray | None = None, most: int = 500_000):
+    def nearest_many(self, at: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, skip: np.ndarray | None = None, most: int = 1_500_000):
         """nearest of each vector terms[at[i] : at[i + 1]], those being different and sorted."""
         row, _, _, start, _, _ = self._make()
         visits = np.concatenate(([0], np.cumsum(start[terms + 1] - start[terms])))[at]
         i, n = 0, len(at) - 1
         while i < n:
-            j = max(i + 1, min(i + 128, int(np.searchsorted(visits, visits[i] + most, "right")) - 1))
+            j = max(i + 1, min(i + 192, int(np.searchsorted(visits, visits[i] + most, "right")) - 1))
             yield from self._batch(at[i : j + 1] - at[i], terms[at[i] : at[j]], weights[at[i] : at[j]], k, np.full(j - i, -1) if skip is None else skip[i:j])
             i = j
 
@@ -146,7 +156,7 @@ class BlockMaxIndex:
         for _ in range(2):
             for b in np.flatnonzero(todo.any(0)):
                 some = np.flatnonzero(todo[:, b])
-                cosine[some, b] = part[some, b] + q[some] @ dense[b]
+                cosine[some, b] = part[some, b] + (q if len(some) == m else q[some]) @ dense[b]
             done |= todo
             kth = reach()
             todo = (bound > 0) & (bound >= kth[:, None] - slack) & ~done
@@ -155,9 +165,7 @@ class BlockMaxIndex:
             near = np.flatnonzero((flat[i] >= kth[i] - slack) & (flat[i] > 0))
             mine = slice(at[i], at[i + 1])
             full[terms[mine]] = weights[mine]
-            n = self.at[near + 1] - self.at[near]
-            r = _ranges(self.at[near], n)
-            cos = np.bincount(np.repeat(np.arange(len(near)), n), full[self.term[r]] * self.w[r], len(near))
+            cos = np.array([full[self.term[a:b]] @ self.w[a:b] for a, b in zip(self.at[near].tolist(), self.at[near + 1].tolist(), strict=True)])
             full[terms[mine]] = 0
             best = np.lexsort((near, -cos))[:k]
             yield near[best], cos[best]
@@ -280,7 +288,8 @@ def _task_counts(shared):
         for _, text in slabs(batches, []):
             rows += len(text)
             doc, at = vocabulary(*_terms(text))
-            counts += np.bincount(np.unique(doc * n + at) % n, minlength=n)
+            key = np.sort(doc * n + at)
+            counts += np.bincount(key[np.diff(key, prepend=-1) > 0] % n, minlength=n)
         some = np.flatnonzero(counts)
         cut = np.searchsorted(some, np.arange(0, n + SLICE, SLICE))
         full = np.flatnonzero(np.diff(cut))
