@@ -6,6 +6,7 @@ from .fingerprint import op9_fingerprint
 from .jaccard import op6_jaccard
 from .lm import op2_lm_score
 from .packing import op4_pack
+from .pieces import op13_sentencepiece
 from .pii import op1_pii
 from .sql import FINGERPRINT, JACCARD, SUBSTRING
 from .substring import op10_substring
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_embed_dedup": op8_embed_dedup,
     "op9_fingerprint": op9_fingerprint,
     "op10_substring": op10_substring,
+    "op13_sentencepiece": op13_sentencepiece,
 }
 
 ORACLE: dict[str, str] = {"op3_url_filter": URL_SQL, "op6_jaccard": JACCARD, "op9_fingerprint": FINGERPRINT, "op10_substring": SUBSTRING}
