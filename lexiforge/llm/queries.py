@@ -8,6 +8,8 @@ from .lm import op2_lm_score
 from .packing import op4_pack
 from .pieces import op13_sentencepiece
 from .pii import op1_pii
+from .search import SQL as SEARCH_SQL
+from .search import op12_search
 from .sql import FINGERPRINT, JACCARD, SUBSTRING
 from .substring import op10_substring
 from .toxicity import op5_toxicity
@@ -25,7 +27,8 @@ QUERIES = {
     "op8_embed_dedup": op8_embed_dedup,
     "op9_fingerprint": op9_fingerprint,
     "op10_substring": op10_substring,
+    "op12_search": op12_search,
     "op13_sentencepiece": op13_sentencepiece,
 }
 
-ORACLE: dict[str, str] = {"op3_url_filter": URL_SQL, "op6_jaccard": JACCARD, "op9_fingerprint": FINGERPRINT, "op10_substring": SUBSTRING}
+ORACLE: dict[str, str] = {"op3_url_filter": URL_SQL, "op6_jaccard": JACCARD, "op9_fingerprint": FINGERPRINT, "op10_substring": SUBSTRING, "op12_search": SEARCH_SQL}
