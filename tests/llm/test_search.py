@@ -98,7 +98,7 @@ def test_the_tree_is_opened_best_first_and_no_more_than_needed():
     postings = {(t, d): rng.randint(1, 3) for t in range(6) for d in rng.sample(range(n), 200 * (t + 1))}
     postings |= {(0, d): 40 for d in (5, 6, 700, 2222, 2223)}  # some documents stand out
     tree = tree_of([(t, d, f) for (t, d), f in postings.items()], sizes, 6)
-    terms, weights = np.array([0, 2, 5, 77]), np.array([900, 500, 100, 1])
+    terms, weights = np.array([0, 2, 5, 77]), np.array([9000, 500, 100, 1])
     m = [75 + 25 * s * n // sum(sizes) for s in sizes]
     score = Counter()
     for (t, d), f in postings.items():
