@@ -1,6 +1,8 @@
 """Queries of this subpackage, and SQL for those that SQL can express."""
 
 from .bpe import op7_bpe
+from .collocations import SQL as COLLOCATION_SQL
+from .collocations import op11_collocations
 from .embeddings import op8_embed_dedup
 from .fingerprint import op9_fingerprint
 from .jaccard import op6_jaccard
@@ -27,8 +29,9 @@ QUERIES = {
     "op8_embed_dedup": op8_embed_dedup,
     "op9_fingerprint": op9_fingerprint,
     "op10_substring": op10_substring,
+    "op11_collocations": op11_collocations,
     "op12_search": op12_search,
     "op13_sentencepiece": op13_sentencepiece,
 }
 
-ORACLE: dict[str, str] = {"op3_url_filter": URL_SQL, "op6_jaccard": JACCARD, "op9_fingerprint": FINGERPRINT, "op10_substring": SUBSTRING, "op12_search": SEARCH_SQL}
+ORACLE: dict[str, str] = {"op3_url_filter": URL_SQL, "op6_jaccard": JACCARD, "op9_fingerprint": FINGERPRINT, "op10_substring": SUBSTRING, "op11_collocations": COLLOCATION_SQL, "op12_search": SEARCH_SQL}
