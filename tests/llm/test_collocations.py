@@ -59,8 +59,8 @@ def corpus():
 @pytest.mark.parametrize("bits", [20, 21])
 def test_against_brute_force(spark, corpus, bits):
     df = spark.createDataFrame([(*r, 1, "x") for r in corpus], "lang string, text string, n long, phrase string").repartition(4)
-    got = rows(collocations(df, least=6, top=40, bits=bits))
-    assert got == brute(corpus, least=6, top=40) and len(got) > 80
+    got = rows(collocations(df, least=4, top=40, bits=bits))
+    assert got == brute(corpus, least=4, top=40) and len(got) > 80
 
 
 def test_every_frequent_phrase_and_no_other(spark, corpus):
