@@ -30,13 +30,13 @@ _TIMES = np.uint64(0x9E3779B97F4A7C15)
 #: log2 of the most buckets (a bitmap of 16 MB, 128 MB of counts in a task), and of those sent together.
 MOST_BITS, PART_BITS = 27, 20
 #: Words of a text that are worked on at once, and bytes of texts.
-WORDS, SLAB = 1 << 20, 8 << 20
+WORDS, SLAB = 1 << 20, 4 << 20
 _RAW = "lang string, phrase string, n long, part int, data binary"
 
 
 def bits_for(text_bytes: int) -> int:
-    """log2 of the buckets: one for about eight bytes of text, up to MOST_BITS."""
-    return min(MOST_BITS, max(PART_BITS, (text_bytes // 8).bit_length()))
+    """log2 of the buckets: one for about sixteen bytes of text, up to MOST_BITS."""
+    return min(MOST_BITS, max(PART_BITS, (text_bytes // 16).bit_length()))
 
 
 def _seed(lang: str) -> int:
@@ -116,8 +116,10 @@ class Words:
         self.piece = np.searchsorted(np.flatnonzero(_CUTS[buf]), starts) + self.doc
         size = ends - starts + 1
         self.at = np.concatenate(([0], np.cumsum(size)))
-        rows = np.repeat((starts - self.at[:-1]), size) + np.arange(self.at[-1])
-        self.buf = _LOWER[np.append(buf, np.uint8(32))[rows]]
+        kept = word
+        kept[ends[ends < len(buf)]] = True  # the byte behind a word, unless the next text's word stands there
+        glued = np.isin(ends, starts, assume_unique=True) | (ends == len(buf))
+        self.buf = _LOWER[np.insert(buf[kept], (self.at[1:] - 1 - np.cumsum(glued) + glued)[glued], 32)] if glued.any() else _LOWER[buf[kept]]
         self.buf[self.at[1:] - 1] = 32
         self.hashes = word_hashes(self.buf, np.array([0, len(self.buf)]))[0]
 
