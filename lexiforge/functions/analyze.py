@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,9 +28,11 @@ STOPWORDS = (
 ).split()
 
 # What is taken out, and what a token is. A tag does not span lines in a document, since documents are
-# read line by line. White space that ends a URL is ASCII on both sides.
+# read line by line. White space that ends a URL is Unicode's and the information separators, spelled out, since what
+# \s means differs between Java, Python and SQL.
 TAG_IN_LINE, TAG = r"<[^>\r\n]+>", r"<[^>]+>"
-URL = r"""(?i)\b(?:https?://|ftp://|file://|mailto:|www\.)[^\s<>'"]+"""
+SPACES = "\t-\r\x1c- \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+URL = rf"""(?i)\b(?:https?://|ftp://|file://|mailto:|www\.)[^{SPACES}<>'"]+"""
 TOKEN = r"[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*"
 
 
@@ -61,27 +65,45 @@ def unstemmed(text: Column, config: AnalyzerConfig) -> Column:
     return kept
 
 
-@F.pandas_udf(T.StringType())
-def stem_terms(terms: pd.Series) -> pd.Series:
-    return terms.map(stem)
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def stem_all(found: pa.Array) -> pa.Array:
+    """The stems of each row's tokens; a batch's distinct tokens are stemmed once."""
+    flat = found.flatten().cast(pa.string()).dictionary_encode()
+    stems = pa.array([stem(t) for t in flat.dictionary.to_pylist()], pa.string())
+    ends = np.cumsum(pc.list_value_length(found).to_numpy(zero_copy_only=False), dtype=np.int32)
+    return pa.ListArray.from_arrays(np.append(np.int32(0), ends), stems.take(flat.indices))
 
 
-def tokens(docs: DataFrame, config: AnalyzerConfig, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, pos, term): positions count the tokens that are kept.
+def analyzed(text: Column, config: AnalyzerConfig) -> Column:
+    """array<string>: the tokens of a text in order."""
+    found = unstemmed(text, config)
+    return stem_all(found) if config.stem else found
 
-    Each distinct token is stemmed once and joined back."""
-    out = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(unstemmed(F.col(text), config)).alias("pos", "term"))
-    if not config.stem:
-        return out
-    stems = out.select("term").distinct().withColumn("stemmed", stem_terms("term"))
-    return out.join(stems, "term").select("doc_id", "pos", F.col("stemmed").alias("term"))
+
+def tokens(docs: DataFrame, config: AnalyzerConfig, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, keep, pos, term): positions count the tokens that are kept. Nothing is shuffled."""
+    return docs.select(F.col(doc_id).alias("doc_id"), *keep, F.posexplode(analyzed(F.col(text), config)).alias("pos", "term"))
+
+
+def line_tokens(lines: DataFrame, config: AnalyzerConfig, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, keep, pos, term) of documents that come as lines (doc_id, block, line, text): positions go on over all
+    of a document's lines, in order of block and line.
+
+    A distributed prefix sum: within a block (a split of a file, so of a bounded size) over its lines, then over the
+    few sums of a document's blocks."""
+    counted = lines.select("doc_id", "block", "line", *keep, analyzed(F.col("text"), config).alias("tokens"))
+    within = Window.partitionBy("doc_id", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    among = Window.partitionBy("doc_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = counted.groupBy("doc_id", "block").agg(F.sum(F.size("tokens")).alias("n")).select("doc_id", "block", F.coalesce(F.sum("n").over(among), F.lit(0)).alias("before"))
+    placed = counted.withColumn("at", F.coalesce(F.sum(F.size("tokens")).over(within), F.lit(0))).join(sums, ["doc_id", "block"])
+    return placed.select("doc_id", *keep, (F.col("before") + F.col("at")).alias("start"), F.posexplode("tokens").alias("i", "term")).select("doc_id", *keep, (F.col("start") + F.col("i")).cast("int").alias("pos"), "term")
 
 
 def analyze_text(text: str | None, config: AnalyzerConfig) -> list[str]:
     """The tokens of a query part."""
     if text is None:
         return []
-    text = re.sub(URL.replace(r"\s", r" \t\n\x0b\f\r"), " ", re.sub(TAG, " ", text.lower()))
+    text = re.sub(URL, " ", re.sub(TAG, " ", text.lower()))
     stops = frozenset(config.stops)
     kept = [t for t in re.findall(TOKEN, text) if len(t) > 1 and not re.fullmatch("[0-9]+", t) and t not in stops]
     return [stem(t) for t in kept] if config.stem else kept

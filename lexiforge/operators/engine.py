@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.analyze import analyze_text
 from ..functions.smart import byte_norm, check_scheme, df_number, df_weight, tf_number, tf_weight, unique_norm
 from ..plans.parser import Node, is_boolean, is_phrase, parse, split_query
-from .index import SearchIndex, norm_name
+from .index import STATS, SearchIndex, norm_name
 from .phrase import phrase_hits
 
 RESULT = "doc_id long, score double, rank int"
@@ -65,13 +65,17 @@ class SearchEngine:
                 out.tokens += words
         return out
 
-    def hits(self, plan: Plan) -> DataFrame:
-        """(term, doc_id, tf) of the plan's words and phrases, a phrase's key standing as its term."""
+    def hits(self, plan: Plan, df: dict[str, int] | None = None, bands: list[int] | None = None) -> DataFrame:
+        """(term, doc_id, tf, the document's statistics) of the plan's words and phrases, a phrase's key standing as its
+        term; df: of the words, if known; bands: those of a saved index that words are looked up in, None for all."""
         single = [t for t in plan.leaves if t not in plan.phrases]
-        rows = [self.index.get_tfs(*single)] if single else []
-        rows += [phrase_hits(self.index.postings, words).select(F.lit(key).alias("term"), "doc_id", "tf") for key, words in plan.phrases.items()]
+        rows = [self.index.get_tfs(*single, bands=bands)] if single else []
+        rows += [phrase_hits(self.index.postings, words, df).select(F.lit(key).alias("term"), "doc_id", "tf", *STATS) for key, words in plan.phrases.items()]
         return reduce(DataFrame.unionByName, rows)
 
+    def _df(self, words: list[str]) -> dict[str, int]:
+        return {r.term: r.df for r in self.index.term_meta(*words).select("term", "df").collect()} if words else {}
+
     # ---- boolean queries
 
     def _predicate(self, plan: Plan, node: Node, hit: dict[str, Column]) -> Column:
@@ -102,8 +106,9 @@ class SearchEngine:
         full = every.join(flags, "doc_id", "left")
         return full.where(self._predicate(plan, plan.tree, {k: F.coalesce(c, F.lit(False)) for k, c in hit.items()})).select("doc_id")
 
-    def _surviving(self, plan: Plan, flags: DataFrame, hit: dict[str, Column]) -> list[str]:
-        """At each AND and OR, tokens without a document in the node's set go; NOT drops all under it.
+    def _surviving(self, plan: Plan, flags: DataFrame, hit: dict[str, Column]) -> tuple[list[str], dict[str, int]]:
+        """At each AND and OR, tokens without a document in the node's set go; NOT drops all under it. Also the number
+        of documents with each phrase.
 
         A token's documents all have its flag, so the flagged rows suffice; one aggregate answers every pair."""
         asked: dict[tuple[int, str], Column] = {}
@@ -116,7 +121,10 @@ class SearchEngine:
                 ask(k)
 
         ask(plan.tree)
-        found = dict(zip(asked, flags.agg(*(c.alias(f"a{i}") for i, c in enumerate(asked.values()))).first(), strict=True)) if asked else {}
+        counts = {k: F.count(F.when(hit[k], 1)) for k in plan.phrases}
+        every = [*asked.values(), *counts.values()]
+        got = list(flags.agg(*(c.alias(f"a{i}") for i, c in enumerate(every))).first()) if every else []
+        found, shown = dict(zip(asked, got, strict=False)), dict(zip(counts, got[len(asked) :], strict=True))
 
         def keep(node: Node) -> list[str]:
             if node.op is None:
@@ -125,7 +133,7 @@ class SearchEngine:
                 return []
             return [t for k in node.kids for t in keep(k) if found[id(node), t]]
 
-        return keep(plan.tree)
+        return keep(plan.tree), shown
 
     # ---- ranking
 
@@ -143,35 +151,85 @@ class SearchEngine:
         empty = spark.createDataFrame([], RESULT)
         if not plan.leaves:
             return empty
-        hits = self.hits(plan)
-        where = None
+        inside = [w for words in plan.phrases.values() for w in words]
+        df = self._df(list(dict.fromkeys([*(t for t in plan.leaves if t not in plan.phrases), *inside])))
+        hits = self.hits(plan, df)
+        where, shown = None, {}
         if plan.tree is not None:
             flags, hit = self._flags(plan, hits)
-            plan.tokens = self._surviving(plan, flags, hit)
+            plan.tokens, shown = self._surviving(plan, flags, hit)
             where = self._predicate(plan, plan.tree, {k: F.coalesce(F.max(F.col("term") == k), F.lit(False)) for k in hit})
+        elif plan.phrases:
+            shown = {r.term: r.df for r in hits.where(F.col("term").isin(*plan.phrases)).groupBy("term").agg(F.count("*").alias("df")).collect()}
         if not plan.tokens:
             return empty
-        words = [t for t in plan.tokens if t not in plan.phrases]
-        df = {r.term: r.df for r in self.index.term_meta(*words).select("term", "df").collect()} if words else {}
-        if plan.phrases:  # a phrase's documents are counted where it stands
-            df |= {r.term: r.df for r in hits.where(F.col("term").isin(*plan.phrases)).groupBy("term").agg(F.count("*").alias("df")).collect()}
+        df |= shown  # a phrase's documents are counted where it stands
         rows, finish = self._bm25(plan.tokens, df, k1, k3, b) if method == "bm25" else self._smart(plan.tokens, df, *codes)
         if not rows:
             return empty
+        if top_k and not plan.phrases and self.index.bounds is not None:
+            limit = self._bm25_limit(k1, b) if method == "bm25" else self._smart_limit(codes[0], finish)
+            if limit is not None:
+                hits = self.hits(plan, df, self._promising(plan, rows, where, finish, limit, top_k))
         return top(self._scored(hits, rows, where, finish), top_k)
 
     def _scored(self, hits: DataFrame, rows: list[tuple[str, float, int]], where: Column | None, finish) -> DataFrame:
-        """One shuffle by document: the sum of scoring terms' weights, their first in the query, and the predicate."""
+        """One shuffle by document: the sum of scoring terms' weights, their first in the query, and the predicate.
+
+        All but cosine norms, which are joined to the documents found, comes from the postings themselves."""
         weight, norm = finish
         terms = [r[0] for r in rows]
         known = F.create_map(*(x for t, w, i in rows for x in (F.lit(t), F.struct(F.lit(float(w)).alias("w"), F.lit(i).alias("ord")))))
         if where is None:
             hits = hits.where(F.col("term").isin(*terms))
-        joined = hits.join(self.index.doc_stats, "doc_id").withColumn("q", known[F.col("term")])
-        out = joined.groupBy("doc_id", *norm[0]).agg(F.sum(F.col("q.w") * weight).alias("dot"), F.min("q.ord").alias("first"), *([where.alias("ok")] if where is not None else []))
+        at = known[F.col("term")]
+        own = [c for c in norm[0] if c in STATS]
+        out = hits.groupBy("doc_id").agg(F.sum(at["w"] * weight).alias("dot"), F.min(at["ord"]).alias("first"), *(F.max(c).alias(c) for c in own), *([where.alias("ok")] if where is not None else []))
         out = out.where("first is not null" + (" and ok" if where is not None else ""))
+        if len(own) < len(norm[0]):
+            out = out.join(self.index.doc_stats.select("doc_id", *norm[0]), "doc_id")
         return out.select("doc_id", (F.col("dot") * norm[1]).alias("score"), "first")
 
+    # ---- bands that can't have one of the best documents are not read
+
+    def _promising(self, plan: Plan, rows, where: Column | None, finish, limit, top_k: int) -> list[int]:
+        """The bands whose bound reaches the score of the top_k-th document of the most promising few.
+
+        A band's bound is the sum of its terms' largest weights times its largest norm; the small slack is for rounding
+        and for scores that tie when rounded."""
+        weight, norm = limit
+        known = F.create_map(*(x for t, w, _ in rows for x in (F.lit(t), F.lit(float(w)))))
+        found = self.index.bounds.where(F.col("term").isin(*(r[0] for r in rows)))
+        sums = found.groupBy("band").agg(F.sum(known[F.col("term")] * weight).alias("dot"), *(F.min(f"min_{c}").alias(f"min_{c}") for c in STATS if c != "max_tf"))
+        if norm[0]:
+            sums = sums.join(self.index.bands.select("band", norm[0]), "band")
+        bounds = sorted(((r.bound, r.band) for r in sums.select("band", (F.col("dot") * norm[1]).alias("bound")).collect()), reverse=True)  # at most MOST_BANDS
+        first = max(1, math.isqrt(len(bounds)))
+        among = [b for _, b in bounds]
+        if first < len(bounds):
+            best = top(self._scored(self.hits(plan, bands=among[:first]), rows, where, finish), top_k).agg(F.min("score").alias("least"), F.count("*").alias("n")).first()
+            if best.n == top_k:
+                among = [b for x, b in bounds if x >= best.least - 1e-8 - 1e-9 * abs(best.least)]
+        return among
+
+    def _bm25_limit(self, k1: float, b: float):
+        """The largest weight of a band's posting of a term and the norm's; None where weights don't grow with tf and
+        fall with length."""
+        if k1 < 0 or not 0 <= b <= 1:
+            return None
+        most = F.col("max_tf")
+        return most * (k1 + 1) / (most + k1 * (1 - b + b * F.col("min_length") / (self.index.stats[1] or 1.0))), (None, F.lit(1.0))
+
+    def _smart_limit(self, doc: str, finish):
+        weight = 0.5 + 0.5 * F.col("max_share") if doc[0] == "a" else tf_weight(doc[0], F.col("max_tf"), F.col("max_tf"), F.col("min_avg_tf"))
+        if doc[2] == "c":
+            return weight, (norm_name(doc), F.col(norm_name(doc)))
+        if doc[2] == "u":
+            return weight, (None, unique_norm(F.col("min_unique_terms"), self.index.stats[2]))
+        if doc[2] == "b" and self.byte_norm != "reference":
+            return weight, (None, byte_norm(F.col("min_byte_length")))
+        return weight, (None, finish[1][1])  # a constant
+
     def _bm25(self, tokens: list[str], df: dict[str, int], k1: float, k3: float, b: float):
         n, avgdl, _ = self.index.stats
         rows = []
@@ -199,7 +257,7 @@ class SearchEngine:
         size = len("".join(tokens).encode())
         q_norm = {"n": lambda: 1.0, "c": lambda: 1 / math.sqrt(squares) if squares else 1.0, "u": lambda: unique_norm(len(counts), avg_unique), "b": lambda: byte_norm(size)}[query[2]]()
         rows = [(t, w * q_norm, i) for t, w, i in rows]
-        weight = tf_weight(doc[0], F.col("tf"), F.col("max_tf"), F.col("avg_tf"))
+        weight = tf_weight(doc[0], F.col("tf"), F.col("max_tf"), F.col("length") / F.col("unique_terms"))
         if doc[2] == "c":
             self.index = self.index.with_norms()
             norm = ([norm_name(doc)], F.col(norm_name(doc)))
@@ -224,7 +282,7 @@ class SearchEngine:
         words = words.join(self.index.lexicon.select("term", "df"), "term").select("query_id", "term", "ord", (F.log(F.lit(float(n)) / F.col("df")) * (k3 + 1) * F.col("q") / (k3 + F.col("q"))).alias("w"))
         tf = F.col("tf")
         weight = F.col("w") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / (avgdl or 1.0)))
-        rows = self.index.postings.select("term", "doc_id", "tf").join(words, "term").join(self.index.doc_stats.select("doc_id", "length"), "doc_id")
+        rows = self.index.postings.select("term", "doc_id", "tf", "length").join(words, "term")
         scored = rows.groupBy("query_id", "doc_id").agg(F.sum(weight).alias("score"), F.min("ord").alias("first"))
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "first", "doc_id"))
         return scored.withColumn("rank", rank).where(F.col("rank") <= top_k).select("query_id", "doc_id", "score", "rank")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, replace
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.analyze import AnalyzerConfig, tokens
+from ..functions.analyze import AnalyzerConfig, analyzed, line_tokens
 from ..functions.smart import DF, TF, df_weight, tf_weight
 
 NORMS = [f"{t}{d}c" for t in TF for d in DF]
@@ -19,11 +20,21 @@ def norm_name(code: str) -> str:
     return "norm_" + code.replace("L", "la")
 
 
+#: Statistics of its document that each posting carries, so that a search reads postings alone.
+STATS = ["length", "max_tf", "unique_terms", "byte_length"]
+
+#: Most bands of a saved index (the driver ranks their bounds), and bytes of documents of a band about.
+MOST_BANDS, BAND_BYTES = 1 << 15, 128 << 20
+
+
 @dataclass
 class SearchIndex:
-    """documents (doc_id, key, byte_length), postings (term, doc_id, tf, positions), lexicon (term, df, cf),
+    """documents (doc_id, key, byte_length), postings (term, doc_id, tf, positions, STATS, band), lexicon (term, df, cf),
     doc_stats (doc_id, length, max_tf, unique_terms, avg_tf, byte_length, norm_...), corpus_stats (one row: n,
-    avgdl, avg_unique). Documents without tokens count in all statistics."""
+    avgdl, avg_unique). Documents without tokens count in all statistics.
+
+    Bands are ranges of doc_id, in which a saved index has its postings; it has two more tables: bounds (term, band, df, cf, ...),
+    the largest and smallest parts that weights are made of, and bands (band, norm_...), the largest norms."""
 
     config: AnalyzerConfig
     documents: DataFrame
@@ -31,21 +42,49 @@ class SearchIndex:
     lexicon: DataFrame
     doc_stats: DataFrame
     corpus_stats: DataFrame
+    bounds: DataFrame | None = None
+    bands: DataFrame | None = None
 
     @classmethod
-    def of(cls, docs: DataFrame, config: AnalyzerConfig | None = None, doc_id: str = "doc_id", text: str = "text", key: str | None = None) -> SearchIndex:
-        """The index of docs, computed where it is used. Each document needs an id of its own."""
+    def of(cls, docs: DataFrame, config: AnalyzerConfig | None = None, doc_id: str = "doc_id", text: str = "text", key: str | None = None, bands: int | None = None) -> SearchIndex:
+        """The index of docs, computed where it is used (but for the bands' ends, which one scan of the ids finds). Each
+        document needs an id of its own, a whole number.
+
+        Tokens are dealt out by band, a range of doc_id; all that follows of a document stays in its task."""
         config = config or AnalyzerConfig()
         named = F.col(key) if key else F.col(doc_id)
-        documents = docs.select(F.col(doc_id).alias("doc_id"), named.cast("string").alias("key"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("byte_length"))
-        found = tokens(docs, config, doc_id, text)
-        postings = found.groupBy("term", "doc_id").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-        counts = found.groupBy("term", "doc_id").agg(F.count("*").cast("int").alias("tf"))
+        named = [F.col(doc_id).alias("doc_id"), named.cast("string").alias("key"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("byte_length")]
+        documents = docs.select(*named)
+        bands = bands or bands_for(docs)
+        dealt = docs.select(*named, analyzed(F.col(text), config).alias("tokens")).select("doc_id", "byte_length", "tokens", band_of(documents, bands)).repartitionById(bands, "band")
+        return cls.of_tokens(config, documents, dealt.select("band", "doc_id", "byte_length", F.posexplode("tokens").alias("pos", "term")))
+
+    @classmethod
+    def of_lines(cls, lines: DataFrame, config: AnalyzerConfig | None = None, bands: int | None = None) -> SearchIndex:
+        """The index of files read by lines (doc_id, key, byte_length, block, line, text), as sources.text.text_lines
+        gives them. A file of any size is many tasks' work; its tokens' positions go on from line to line."""
+        config = config or AnalyzerConfig()
+        documents = lines.select("doc_id", "key", "byte_length").distinct()
+        bands = bands or bands_for(lines)
+        found = line_tokens(lines, config, keep=("byte_length",)).withColumn("band", band_of(documents, bands))
+        index = cls.of_tokens(config, documents, found)
+        return replace(index, postings=index.postings.repartitionById(bands, "band"))
+
+    @classmethod
+    def of_tokens(cls, config: AnalyzerConfig, documents: DataFrame, found: DataFrame) -> SearchIndex:
+        """The index of found (band, doc_id, byte_length, pos, term)."""
+        rows = found.groupBy("band", "doc_id", "byte_length", "term").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+        return cls.of_postings(config, documents, rows)
+
+    @classmethod
+    def of_postings(cls, config: AnalyzerConfig, documents: DataFrame, rows: DataFrame) -> SearchIndex:
+        """The index of rows (band, doc_id, byte_length, term, tf, positions)."""
+        doc = Window.partitionBy("band", "doc_id")
+        postings = rows.select("term", "doc_id", "tf", "positions", F.sum("tf").over(doc).alias("length"), F.max("tf").over(doc).alias("max_tf"), F.count("*").over(doc).alias("unique_terms"), "byte_length", "band")
+        counts = postings.select("term", "doc_id", "tf")
         lexicon = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-        index = cls(config, documents, postings, lexicon, documents, documents)
-        index.doc_stats = doc_stats(documents, counts)
-        index.corpus_stats = index.doc_stats.agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("avgdl"), F.coalesce(F.avg("unique_terms"), F.lit(0.0)).alias("avg_unique"))
-        return index
+        stats = doc_stats(documents, counts)
+        return cls(config, documents, postings, lexicon, stats, corpus_stats(stats))
 
     @cached_property
     def stats(self) -> tuple[int, float, float]:
@@ -58,35 +97,51 @@ class SearchIndex:
         if "norm_ltc" in self.doc_stats.columns:
             return self
         norms = cosine_norms(self.postings.select("term", "doc_id", "tf"), self.lexicon, self.doc_stats, self.stats[0])
-        return SearchIndex(self.config, self.documents, self.postings, self.lexicon, self.doc_stats.join(norms, "doc_id"), self.corpus_stats)
+        return replace(self, doc_stats=self.doc_stats.join(norms, "doc_id"))
+
+    def merge(self, other: SearchIndex, bands: int | None = None) -> SearchIndex:
+        """The index of both indexes' documents. A document that both have has its positions from both, in order (they
+        don't overlap, as of parts of one text), and its bytes added up; its key is the first in order. Lexicon,
+        statistics and norms are made anew; both were built with one configuration."""
+        if self.config != other.config:
+            raise ValueError("the indexes were built with different configurations")
+        parts = self.documents.select("doc_id", "key", "byte_length").unionByName(other.documents.select("doc_id", "key", "byte_length"))
+        documents = parts.groupBy("doc_id").agg(F.min("key").alias("key"), F.sum("byte_length").alias("byte_length"))
+        names = ["doc_id", "term", "positions", "byte_length"]
+        rows = self.postings.select(*names).unionByName(other.postings.select(*names))
+        bands = bands or bands_for(rows)
+        shared = parts.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("byte_length").alias("bytes")).where("n > 1").select("doc_id", "bytes")
+        rows = rows.join(shared, "doc_id", "left").select("doc_id", "term", "positions", F.coalesce("bytes", "byte_length").alias("byte_length"), band_of(documents, bands)).repartitionById(bands, "band")
+        joined = F.sort_array(F.flatten(F.collect_list("positions")))
+        rows = rows.groupBy("band", "doc_id", "byte_length", "term").agg(joined.alias("positions")).withColumn("tf", F.size("positions"))
+        return SearchIndex.of_postings(self.config, documents, rows)
 
     def save(self, path: str) -> None:
-        """Write all tables; postings in ranges of term and doc_id, so that a term's row groups are few and a common
-        word's postings are many tasks' and files' work.
-
-        Postings are written first as they come: ordering by range samples its input, which would else run twice."""
-        spark = self.postings.sparkSession
-        raw, codec = f"{path}/postings_unsorted", "zstd"
-        self.postings.write.mode("overwrite").option("compression", codec).parquet(raw)
-        stored = spark.read.parquet(raw)
-        stored.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").option("compression", codec).parquet(f"{path}/postings")
-        kept = spark.read.parquet(f"{path}/postings")
-        counts = kept.select("term", "doc_id", "tf")
-        lexicon = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-        lexicon.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/lexicon")
-        self.documents.write.mode("overwrite").parquet(f"{path}/documents")
-        stats = doc_stats(spark.read.parquet(f"{path}/documents"), counts)
-        norms = cosine_norms(counts, spark.read.parquet(f"{path}/lexicon"), stats, self.documents.count())
-        stats.join(norms, "doc_id").write.mode("overwrite").parquet(f"{path}/doc_stats")
-        done = spark.read.parquet(f"{path}/doc_stats")
-        done.agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("avgdl"), F.coalesce(F.avg("unique_terms"), F.lit(0.0)).alias("avg_unique")).write.mode("overwrite").parquet(f"{path}/corpus_stats")
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(raw)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+        """Write all tables. A band's postings are one task's and directory's, in order of term, so that a search
+        reads a term's row groups of those bands that it needs. All other tables are made from what was written."""
+        spark, codec = self.postings.sparkSession, "zstd"
+        read = lambda name: spark.read.parquet(f"{path}/{name}")
+        write = lambda df, name: df.write.mode("overwrite").option("compression", codec).parquet(f"{path}/{name}")
+        self.postings.sortWithinPartitions("band", "term", "doc_id").write.partitionBy("band").mode("overwrite").option("compression", codec).parquet(f"{path}/postings")
+        write(self.documents, "documents")
+        kept, documents = spark.read.schema(self.postings.schema).parquet(f"{path}/postings"), read("documents")
+        share, mean = F.col("tf") / F.col("max_tf"), F.col("length") / F.col("unique_terms")
+        low = [F.min(c).alias(f"min_{c}") for c in ("length", "unique_terms", "byte_length")]
+        bounds = kept.groupBy("term", "band").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"), F.max(share).alias("max_share"), F.min(mean).alias("min_avg_tf"), *low)
+        write(bounds.repartitionByRange("term").sortWithinPartitions("term", "band"), "bounds")
+        lexicon = read("bounds").groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+        write(lexicon.repartitionByRange("term").sortWithinPartitions("term"), "lexicon")
+        stats = doc_stats(documents, kept.select("term", "doc_id", "tf"))
+        norms = cosine_norms(kept.select("term", "doc_id", "tf"), read("lexicon"), stats, documents.count())
+        write(stats.join(norms, "doc_id"), "doc_stats")
+        write(corpus_stats(read("doc_stats")), "corpus_stats")
+        most = kept.select("band", "doc_id").distinct().join(read("doc_stats"), "doc_id").groupBy("band").agg(*(F.max(c).alias(c) for c in map(norm_name, NORMS)))
+        write(most, "bands")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, config: AnalyzerConfig | None = None) -> SearchIndex:
         """Open a saved index; config must be the one that it was built with."""
-        return cls(config or AnalyzerConfig(), *(spark.read.parquet(f"{path}/{t}") for t in ("documents", "postings", "lexicon", "doc_stats", "corpus_stats")))
+        return cls(config or AnalyzerConfig(), *(spark.read.parquet(f"{path}/{t}") for t in ("documents", "postings", "lexicon", "doc_stats", "corpus_stats", "bounds", "bands")))
 
     def cache(self) -> SearchIndex:
         for df in (self.postings, self.lexicon, self.doc_stats, self.corpus_stats):
@@ -106,9 +161,10 @@ class SearchIndex:
     def get_postings(self, *terms: str) -> DataFrame:
         return self.postings.where(F.col("term").isin(*terms))
 
-    def get_tfs(self, *terms: str) -> DataFrame:
+    def get_tfs(self, *terms: str, bands: list[int] | None = None) -> DataFrame:
         """Postings without positions: a saved index doesn't read them."""
-        return self.postings.select("term", "doc_id", "tf").where(F.col("term").isin(*terms))
+        some = self.postings if bands is None else self.postings.where(F.col("band").isin(*bands))
+        return some.where(F.col("term").isin(*terms)).select("term", "doc_id", "tf", *STATS)
 
     def prefix(self, prefix: str, limit: int | None = 50) -> DataFrame:
         """The first terms, in order, that start with prefix."""
@@ -132,9 +188,50 @@ def doc_stats(documents: DataFrame, counts: DataFrame) -> DataFrame:
     return out.select("doc_id", "length", "max_tf", "unique_terms", mean.alias("avg_tf"), "byte_length")
 
 
+def bands_for(docs: DataFrame) -> int:
+    """Bands that documents are dealt out to: a core's worth each at least, of BAND_BYTES by Catalyst's estimate."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(1, min(MOST_BANDS, max(docs.sparkSession.sparkContext.defaultParallelism, size // BAND_BYTES if size < 1 << 60 else 1)))
+
+
+def band_of(documents: DataFrame, bands: int) -> Column:
+    """The number of doc_id's band; bands are ranges of about as many documents each, and ends are found once.
+
+    The ends are gone through in two steps of about the root of their number."""
+    share = [(i + 1) / bands for i in range(bands - 1)]
+    found = documents.agg(F.percentile_approx("doc_id", share, max(10_000, 4 * bands)).alias("ends")).first().ends if share else None
+    ends = sorted(set(found or ()))
+    if not ends:
+        return F.lit(0).alias("band")
+    step = math.isqrt(len(ends)) + 1
+    below = lambda xs: F.size(F.filter(xs, lambda x: x < F.col("doc_id")))
+    i = below(F.lit(ends[::step]))
+    return F.when(F.col("doc_id").isNull() | (i == 0), 0).otherwise((i - 1) * step + below(F.slice(F.lit(ends), (i - 1) * step + 1, step))).cast("int").alias("band")
+
+
+def corpus_stats(stats: DataFrame) -> DataFrame:
+    return stats.agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("avgdl"), F.coalesce(F.avg("unique_terms"), F.lit(0.0)).alias("avg_unique"))
+
+
+#: A term with over 1/HOT_SHARE of all postings joins by broadcast (fewer than so many do).
+HOT_SHARE = 2000
+
+
+def with_df(counts: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """counts with the df of their terms (those of lexicon). Common words' counts stay where they are: lexicon's rows of
+    them, fewer than HOT_SHARE, are broadcast; the others are shuffled by term."""
+    most = lexicon.agg((F.sum("df") / HOT_SHARE).alias("most")).first().most or 0
+    hot = [r.term for r in lexicon.where(F.col("df") > most).select("term").collect()]
+    if not hot:
+        return counts.join(lexicon, "term")
+    at = F.col("term").isin(*hot)
+    common = counts.where(at).join(F.broadcast(lexicon.where(at)), "term")
+    return common.unionByName(counts.where(~at).join(lexicon.where(~at), "term"))
+
+
 def cosine_norms(counts: DataFrame, lexicon: DataFrame, stats: DataFrame, n: int) -> DataFrame:
     """(doc_id, norm_{tf}{df}c x 15): 1 / sqrt(sum of squared weights + 1e-12) over terms with df under n."""
-    rows = counts.join(lexicon.where(F.col("df") < n).select("term", "df"), "term").join(stats.select("doc_id", "max_tf", "avg_tf"), "doc_id")
+    rows = with_df(counts, lexicon.where(F.col("df") < n).select("term", "df")).join(stats.select("doc_id", "max_tf", "avg_tf"), "doc_id")
     tf, df, total = F.col("tf"), F.col("df").cast("double"), F.lit(float(n))
 
     def square(code: str) -> Column:

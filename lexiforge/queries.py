@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import codecs
-from .functions.analyze import PLAIN, STOPWORDS, AnalyzerConfig, stem_terms, tokens
+from .functions.analyze import PLAIN, SPACES, STOPWORDS, AnalyzerConfig, tokens
 from .functions.smart import tf_number
 from .operators import metrics
 from .operators.engine import SearchEngine
@@ -64,7 +64,7 @@ def _written(spark, sf_dir: str) -> str:
 
 # ---- SQL fragments
 
-_URL = r"""\b(?:https?://|ftp://|file://|mailto:|www\.)[^\s<>''"]+"""
+_URL = rf"""\b(?:https?://|ftp://|file://|mailto:|www\.)[^{SPACES}<>''"]+"""
 
 
 def _words(column: str) -> str:
@@ -157,20 +157,6 @@ _register(
     lambda spark, sf: tokens(spread(table(spark, sf, "documents")).select("doc_id", F.concat_ws(_ODD, F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")), "source").alias("text")), PLAIN).groupBy("term").agg(F.count("*").alias("n")),
     f"WITH e AS (SELECT concat_ws('{_ODD}', doc_id::VARCHAR, coalesce(text, ''), source) AS x FROM documents), d AS (SELECT unnest({_words('x')}) AS term FROM e) SELECT term, count(*) AS n FROM d GROUP BY term",
 )
-# Words and their stems, from the published description of the algorithm.
-STEMS = (
-    "caresses caress ponies poni cats cat feed feed agreed agre plastered plaster motoring motor sing sing conflated conflat sized size hopping hop "
-    "tanned tan falling fall hissing hiss fizzed fizz failing fail filing file happy happi relational relat conditional condit rational ration "
-    "digitizer digit vietnamization vietnam predication predic operator oper feudalism feudal decisiveness decis hopefulness hope callousness callous "
-    "triplicate triplic formative form formalize formal electrical electr hopeful hope goodness good revival reviv allowance allow inference infer "
-    "airliner airlin gyroscopic gyroscop adjustable adjust defensible defens irritant irrit replacement replac adjustment adjust dependent depend "
-    "adoption adopt communism commun activate activ homologous homolog effective effect probate probat rate rate cease ceas roll roll"
-).split()
-_register(
-    "stem_words",
-    lambda spark, sf: spark.createDataFrame([(w,) for w in STEMS[::2]], "word string").select("word", stem_terms("word").alias("stem")),
-    f"SELECT * FROM (VALUES {', '.join(f'({w!r}, {v!r})' for w, v in zip(STEMS[::2], STEMS[1::2], strict=True))}) t(word, stem)",
-)
 _register(
     "src_text_files",
     lambda spark, sf: text_files(spark, _written(spark, sf)).select("doc_id", F.regexp_extract("key", r"item_id=(\d+)/", 1).cast("long").alias("item_id"), "text"),
