@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import codecs
-from .functions.analyze import PLAIN, SPACES, STOPWORDS, AnalyzerConfig, tokens
+from .functions.analyze import PLAIN, SPACES, STOPWORDS, AnalyzerConfig, line_tokens, tokens
 from .functions.smart import tf_number
 from .operators import metrics
 from .operators.engine import SearchEngine
 from .operators.index import NORMS, SearchIndex, norm_name
 from .operators.phrase import phrase_hits
-from .sources.text import spread, table, text_files
+from .sources.text import spread, table, text_files, text_lines
 
 _indexes: dict[tuple, SearchIndex] = {}
 
@@ -151,7 +151,7 @@ _register(
     lambda spark, sf: tokens(spread(table(spark, sf, "pages")), PLAIN, "page_id", "html").select(F.col("doc_id").alias("page_id"), F.col("pos").cast("long").alias("pos"), "term"),
     f"WITH d AS (SELECT page_id, {_words('html')} AS ts FROM pages) SELECT page_id, generate_subscripts(ts, 1) - 1 AS pos, unnest(ts) AS term FROM d",
 )
-_ODD = " a 4k 2-3 x-1 77 AI-driven "
+_ODD = " a 4k 2-3 x-1 77 AI-driven http://a.b/c\u00a0nextword www.x.y\u3000otherword "
 _register(
     "tok_drop_digits_short",
     lambda spark, sf: tokens(spread(table(spark, sf, "documents")).select("doc_id", F.concat_ws(_ODD, F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")), "source").alias("text")), PLAIN).groupBy("term").agg(F.count("*").alias("n")),
@@ -163,6 +163,12 @@ _register(
     "SELECT row_number() OVER (ORDER BY 'item_id=' || item_id || '/') - 1 AS doc_id, item_id, coalesce(text, '') || chr(10) AS text FROM benchmark",
 )
 
+_register(
+    "src_line_tokens",
+    lambda spark, sf: line_tokens(text_lines(spark, _written(spark, sf)), PLAIN, keep=("key",)).select(F.regexp_extract("key", r"item_id=(\d+)/", 1).cast("long").alias("item_id"), F.col("pos").cast("long").alias("pos"), "term"),
+    f"WITH d AS (SELECT item_id, {_words('text')} AS ts FROM benchmark) SELECT item_id, generate_subscripts(ts, 1) - 1 AS pos, unnest(ts) AS term FROM d",
+)
+
 # ---- index
 
 _register("idx_postings_tf", lambda spark, sf: index_for(spark, sf).postings.select("term", "doc_id", F.col("tf").cast("long").alias("tf")), f"{_D} SELECT term, doc_id, tf FROM p")
@@ -198,6 +204,26 @@ _register("saved_lexicon", lambda spark, sf: _saved(spark, sf).lexicon.select("t
 _register("saved_cosine_norms", lambda spark, sf: _saved(spark, sf).doc_stats.select("doc_id", *(F.round(c, 5).alias(c) for c in map(norm_name, NORMS))), ORACLE["idx_cosine_norms_15"])
 _register("saved_corpus_stats", lambda spark, sf: _saved(spark, sf).corpus_stats.select("n", F.round("avgdl", 6).alias("avgdl"), F.round("avg_unique", 6).alias("avg_unique")), ORACLE["idx_corpus_stats"])
 
+# ---- two indexes merged
+
+
+def _merged(spark, sf: str) -> SearchIndex:
+    """The index of the documents with even ids merged with that of all others, saved and opened again."""
+    docs, even = table(spark, sf, "documents"), F.coalesce(F.col("doc_id") % 2 == 0, F.lit(False))
+
+    def fill(path: str) -> None:
+        SearchIndex.of(spread(docs.where(even)), PLAIN).save(f"{path}/even")
+        SearchIndex.of(spread(docs.where(~even)), PLAIN).save(f"{path}/odd")
+        SearchIndex.load(spark, f"{path}/even", PLAIN).merge(SearchIndex.load(spark, f"{path}/odd", PLAIN)).save(f"{path}/both")
+
+    return SearchIndex.load(spark, f"{_folder(spark, sf, 'merged', fill)}/both", PLAIN)
+
+
+_register("merged_postings", lambda spark, sf: _merged(spark, sf).postings.select("term", "doc_id", F.col("tf").cast("long").alias("tf"), F.array_join(F.transform("positions", lambda x: x.cast("string")), " ").alias("positions")), ORACLE["saved_postings"])
+_register("merged_lexicon", lambda spark, sf: _merged(spark, sf).lexicon.select("term", "df", "cf"), ORACLE["idx_lexicon_df"])
+_register("merged_doc_stats", lambda spark, sf: _merged(spark, sf).doc_stats.select("doc_id", "length", F.col("max_tf").cast("long").alias("max_tf"), "unique_terms", F.round("avg_tf", 6).alias("avg_tf"), "byte_length"), ORACLE["idx_doc_stats"])
+_register("merged_cosine_norms", lambda spark, sf: _merged(spark, sf).doc_stats.select("doc_id", *(F.round(c, 5).alias(c) for c in map(norm_name, NORMS))), ORACLE["idx_cosine_norms_15"])
+
 # ---- access
 
 _register("doc_ids", lambda spark, sf: index_for(spark, sf).ids("3", "5", "no such key"), "SELECT doc_id, doc_id::VARCHAR AS key FROM documents WHERE doc_id IN (3, 5)")
@@ -224,7 +250,13 @@ _boolean("bool_or_not", "worthless OR NOT the", ["worthless"], "(h0 OR NOT h1)",
 _boolean("bool_nested_parens", "(worthless OR anst) AND NOT (tion AND the)", ["worthless", "anst"], "(h0 OR h1) AND NOT (h2 AND h3)", ["tion", "the"])
 _boolean("bool_implicit_and", "worthless tion AND the", ["worthless", "tion", "the"], "h0 AND h1 AND h2")
 _boolean("bool_precedence", "worthless OR anst AND tion", ["worthless", "anst", "tion"], "(h0 OR (h1 AND h2))")
-_register("bool_stopword_leaf", lambda spark, sf: _scores(engine_for(spark, sf, AnalyzerConfig(stem=False)).search("the AND worthless", method="bm25")), "SELECT 0::BIGINT AS doc_id, 0.0::DOUBLE AS score, 0::INT AS rank WHERE false")
+_NO_STOPS = _D.replace(_words("text"), f"[t FOR t IN {_words('text')} IF t NOT IN ({_STOPS})]")
+# the stopword's clause is empty, so only the other word's documents are left
+_register(
+    "bool_stopword_leaf",
+    lambda spark, sf: _scores(engine_for(spark, sf, AnalyzerConfig(stem=False)).search("(the AND worthless) OR anst", top_k=20, method="bm25")),
+    _ranked(["anst"], _BM25, _QTF1, {}).replace(_D, _NO_STOPS, 1),
+)
 _register(
     "bool_match_not",
     lambda spark, sf: engine_for(spark, sf).match("NOT (the OR tion) OR worthless"),
@@ -292,6 +324,19 @@ _smart("ltu.ltn", ["anea eriner", "the", "worthless"], "smart_boolean_phrase", '
 # a word that stands in two clauses counts twice
 _smart("nnb.nnn", ["tion", "anst", "tion"], "smart_boolean", "(tion OR anst) AND tion", "(h0 OR h1) AND h0")
 
+# ---- a saved index's bands: those that can't have one of the best documents are not read
+
+
+def _from_bands(query: str, **kw):
+    return lambda spark, sf: _scores(SearchEngine(_saved(spark, sf)).search(query, top_k=20, **kw))
+
+
+_register("saved_top_bm25", _from_bands("worthless anst", method="bm25"), ORACLE["bm25_terms"])
+_register("saved_top_boolean", _from_bands("(worthless OR anst) AND NOT (tion AND the)", method="bm25"), ORACLE["bool_nested_parens"])
+_register("saved_phrase_and_term", _from_bands('"anea eriner" AND the', method="bm25"), ORACLE["phrase_and_term"])
+for _scheme in ("ltc.ltc", "Lpc.ltb", "apb.btu", "ntu.Lpc"):
+    _register("saved_top_" + _scheme.replace(".", "_"), _from_bands("worthless tion", scheme=_scheme), ORACLE["smart_" + _scheme.replace(".", "_")])
+
 # ---- batches and evaluation
 
 
