@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, materialize, mix, slabs, small_batches, text_buffer, word_hashes
+from .common import crc_remainder, materialize, mix, slabs, small_batches, text_buffer, trim, word_hashes
 
 #: CHI: the chi-square of a chance of 1e-7, as about a million terms are tried.
 #: MINIMA: hashes that estimate the similarity of two examples. DENSE: terms whose weights are kept as dense blocks.
@@ -108,14 +108,15 @@ class BlockMaxIndex:
             rare = rare[np.argsort(self.term[rare], kind="stable")]
             df[common] = 0
             start = np.concatenate(([0], np.cumsum(df)))
-            self.made = row, dense, np.ascontiguousarray(dense.max(2).T), start, item[rare], self.w[rare]
+            # single precision finds what is opened; _batch computes the cosines of that from w
+            self.made = row, dense, np.ascontiguousarray(dense.max(2).T), start, item[rare], self.w[rare].astype(np.float32)
         return self.made
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k items of largest cosine over 0 (ties: the smaller item), without item skip."""
         return next(self.nearest_many(np.array([0, len(terms)]), terms, weights, k, np.array([skip])))
 
-    def nearest_many(self, at: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, skip: np.ndarray | None = None, most: int = 1_500_000):
+    def nearest_many(self, at: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, skip: np.ndarray | None = None, most: int = 500_000):
         """nearest of each vector terms[at[i] : at[i + 1]], those being different and sorted."""
         row, _, _, start, _, _ = self._make()
         visits = np.concatenate(([0], np.cumsum(start[terms + 1] - start[terms])))[at]
@@ -138,7 +139,7 @@ class BlockMaxIndex:
         t, x, d = terms[~common], weights[~common], text[~common]
         n = start[t + 1] - start[t]
         r = _ranges(start[t], n)
-        part = np.bincount(np.repeat(d * (blocks * BLOCK), n) + items[r], np.repeat(x, n) * w[r], m * blocks * BLOCK).astype(np.float32).reshape(m, blocks, BLOCK)
+        part = np.bincount(np.repeat(d * (blocks * BLOCK), n) + items[r], np.repeat(x.astype(np.float32), n) * w[r], m * blocks * BLOCK).astype(np.float32).reshape(m, blocks, BLOCK)
         bound = part.max(2) + q @ tops
         cosine = np.zeros((m, blocks, BLOCK), np.float32)
         flat = cosine.reshape(m, -1)
@@ -282,6 +283,7 @@ def _task_counts(shared):
     """Of each task its rows with each term of the vocabulary, in slices of terms; as slice -1 all its rows."""
 
     def run(batches):
+        trim()
         vocabulary = shared.value
         n, rows = len(vocabulary.terms), 0
         counts = np.zeros(n, np.int64)
@@ -330,6 +332,7 @@ def _vote_lots(shared):
     """Lots of examples: each one's vote by the others."""
 
     def run(batches):
+        trim()
         model = shared.value
         index = model.index
         for b in batches:
@@ -420,6 +423,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, k
 
 def _score(columns: list[str], shared):
     def run(batches):
+        trim()
         model = shared.value
         for cols, text in slabs(batches, columns):
             doc, at = model.vocabulary(*_terms(text))
