@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _libc = ctypes.CDLL(None)
+#: What a worker's process keeps between tasks of one operator; the next operator's trim() drops it.
+held: dict = {}
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -85,8 +87,10 @@ def _cleanup() -> None:
 
 
 def trim() -> None:
-    """Give back to the system what earlier tasks of this reused worker left free: in a long job it adds to the next
-    operator's own memory. Nothing happens where the C library has no such call."""
+    """Drop what an earlier operator held in this reused worker and give back to the system what its tasks left free:
+    in a long job both add to the next operator's own memory. The C library's part is left out where it has no such
+    call."""
+    held.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     if hasattr(_libc, "malloc_trim"):

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recurring, _stream, buckets_for, connected_components, free_shuffles, hot_limit, join_hot, materialize, mix, release, rolling, slabs, small_batches, text_buckets, text_buffer, word_hashes
+from .common import Recurring, _stream, buckets_for, connected_components, free_shuffles, hot_limit, join_hot, materialize, mix, release, rolling, slabs, small_batches, text_buckets, text_buffer, trim, word_hashes
 
 _BASE = 0xA0761D6478BD642F
 #: Sketch buckets (a power of two): 16 MB of int32 at most, whatever the corpus.
@@ -75,6 +75,7 @@ def _shared_shingles(width: int, n_buckets: int):
     chunks of the task); and the rows themselves."""
 
     def run(batches):
+        trim()
         from pyspark import TaskContext
 
         task, made, recurring = TaskContext.get().partitionId(), 0, Recurring()

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import UNITS, Known, byte_alphabet, is_byte_level, tokenizer_path
-from .common import materialize, small_batches
+from .common import held, materialize, small_batches
 
 SEQUENCE, END = 1024, 2
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
@@ -89,20 +89,18 @@ class CachedEncoder:
         return [b"".join(map(known, u)) if u is not None else self._encode([t])[0] for u, t in zip(units, texts, strict=True)]
 
 
-_encoders: dict[str, CachedEncoder] = {}
-
-
 def _pieces(path: str, most: int, end: int):
     def run(batches):
-        if path not in _encoders:
-            _encoders[path] = CachedEncoder(path)
+        if ("packing", path) not in held:
+            held["packing", path] = CachedEncoder(path)
+        encoder = held["packing", path]
         task, seen = TaskContext.get().partitionId(), np.zeros(most + 1, np.int64)
         tail = end.to_bytes(4, "little")
         for batch in batches:
             for a in range(0, batch.num_rows, 200):
                 ids, texts = batch.column(0).slice(a, 200).to_pylist(), [t or "" for t in batch.column(1).slice(a, 200).to_pylist()]
                 rows = []
-                for doc_id, raw in zip(ids, _encoders[path].encode(texts), strict=True):
+                for doc_id, raw in zip(ids, encoder.encode(texts), strict=True):
                     raw += tail
                     n = len(raw) // 4
                     cut = [0, *range(n % most or most, n + 1, most)] if n > most else [0, n]

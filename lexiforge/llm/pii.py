@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import small_batches, trim
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -253,6 +253,7 @@ def fit_pii(docs: DataFrame, text: str = "text") -> PiiModel:
 
 def _find(model: PiiModel):
     def run(batches):
+        trim()
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             rows = []

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recurring, free_shuffles, materialize, rolling, slabs, small_batches, text_buckets, text_buffer, word_hashes
+from .common import Recurring, free_shuffles, materialize, rolling, slabs, small_batches, text_buckets, text_buffer, trim, word_hashes
 
 #: Windows of a chunk: their places fit two bytes.
 CHUNK = 1 << 16
@@ -31,6 +31,7 @@ def _emit(n_buckets: int, width: int):
     are twice in the chunk, and those that earlier chunks of the task had and sent."""
 
     def run(batches):
+        trim()
         name, recurring = hashlib.md5(), Recurring()
 
         def rows(seg, h, x):
