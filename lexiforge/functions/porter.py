@@ -113,3 +113,53 @@ def stem(word: str) -> str:
         if m > 1 or (m == 1 and not _short(base)):
             w = base
     return w[:-1] if w.endswith("ll") and _measure(w[:-1]) > 1 else w
+
+
+# ---- the same rules as replacements, for the JVM and for SQL
+
+_C, _V, _END_C = "[^aeiouy]", "[aeiouy]", "[^aeiouywxY]"
+_M0, _M1 = f"{_C}*{_V}+{_C}", f"{_C}*{_V}+{_C}+{_V}+{_C}"
+
+
+def _undouble() -> list[tuple[str, str]]:
+    """A doubled consonant but l, s, z becomes one; nine to a rule, since SQL names no more groups."""
+    pairs = [(f"({x}){x}~$", i % 9 + 1) for i, x in enumerate("bcdfghjkmnpqrtvwx0123456789")]
+    rules = [("|".join(p for p, _ in pairs[a : a + 9]), "".join(f"${k}" for _, k in pairs[a : a + 9])) for a in range(0, len(pairs), 9)]
+    return [*rules, ("(y)Y~$", "$1")]
+
+
+#: (pattern, replacement), one after the other; patterns are in what Java and RE2 share. Y is y as a consonant. A mark
+#: (#, ~) at the end, or before the ending that a step is about, says that the step's later rules don't apply.
+RULES: list[tuple[str, str]] = [
+    (f"(^|{_V})y", "$1Y"),
+    # plurals
+    ("sses$", "ss#"), ("^(.)ies$", "$1ie#"), ("ies$", "i#"), ("([^s#])s$", "$1"), ("#", ""),
+    # past and -ing
+    ("^(.)ied$", "$1ie#"), ("ied$", "i#"), (f"^({_M0}.*)eed$", "$1ee#"), ("eed$", "eed#"), (f"^(.*{_V}.*)(?:ed|ing)$", "$1~"),
+    ("(at|bl|iz)~$", "$1e"), ("(ll|ss|zz)~$", "$1"), *_undouble(), (f"^({_C}+{_V}{_END_C}|{_V}{_C})~$", "$1e"), ("[#~]", ""),
+    (f"(.{_C})y$", "$1i"),
+    # double suffixes
+    (f"^({_M0}.*)alli$", "$1al"),
+    ("(ational|tional|enci|anci|izer|bli|alli|entli|eli|ousli|ization|ation|ator|alism|iveness|fulness|ousness|aliti|iviti|biliti|fulli|logi)$", "#$1"),
+    (f"^({_M0}.*)#(?:(tion)al|(ent|e|ous|ful)li|(ive|ful|ous)ness|(al)(?:ism|iti))$", "$1$2$3$4$5"),
+    (f"^({_M0}.*)#(?:(at)(?:ional|ion|or)|(iz)(?:er|ation)|(bl)i|(enc|anc)i|(iv)iti)$", "$1$2$3$4$5$6e"),
+    (f"^({_M0}.*)#biliti$", "$1ble"), (f"^(.*{_V}.*)#logi$", "$1log"), ("#", ""),
+    # -ic-, -full, -ness
+    ("(icate|ative|alize|iciti|ical|ful|ness)$", "#$1"), (f"^({_M0}.*)#(?:(ic)(?:ate|iti|al)|(al)ize|ative|ful|ness)$", "$1$2$3"), ("#", ""),
+    # -ant, -ence
+    ("(al|ance|ence|er|ic|able|ible|ant|ement|ment|ent|ou|ism|ate|iti|ous|ive|ize)$", "#$1"), ("([st])ion$", "$1#ion"), (f"^({_M1}.*)#.+$", "$1"), ("#", ""),
+    # a final e, a doubled l
+    (f"^({_M1}.*)e$", "$1#"), (f"^({_C}+{_V}{_END_C}e|{_V}{_C}e)$", "$1#"), (f"^({_C}*{_V}+{_C}+{_V}*)e$", "$1"), ("#", ""),
+    (f"^({_C}*{_V}+{_C}+{_V}+(?:{_C}.*)?l)l$", "$1"),
+]
+
+
+def stem_column(word):
+    """The stem of a lower-case token (letters, digits and hyphens), as an expression of built-in functions."""
+    from pyspark.sql import functions as F
+
+    out = word
+    for pattern, new in RULES:
+        out = F.regexp_replace(out, pattern, new)
+    own = F.create_map(*(F.lit(x) for pair in IRREGULAR.items() for x in pair))
+    return F.when(F.length(word) <= 2, word).otherwise(F.coalesce(own[word], F.translate(out, "Y", "y")))

@@ -106,11 +106,9 @@ class SearchEngine:
         full = every.join(flags, "doc_id", "left")
         return full.where(self._predicate(plan, plan.tree, {k: F.coalesce(c, F.lit(False)) for k, c in hit.items()})).select("doc_id")
 
-    def _surviving(self, plan: Plan, flags: DataFrame, hit: dict[str, Column]) -> tuple[list[str], dict[str, int]]:
-        """At each AND and OR, tokens without a document in the node's set go; NOT drops all under it. Also the number
-        of documents with each phrase.
-
-        A token's documents all have its flag, so the flagged rows suffice; one aggregate answers every pair."""
+    def _asks(self, plan: Plan, hit: dict[str, Column]) -> dict[tuple[int, str], Column]:
+        """Of each AND and OR and each token under it an aggregate of flagged rows: whether one of the token's
+        documents is in the node's set. A token's documents all have its flag, so the flagged rows suffice."""
         asked: dict[tuple[int, str], Column] = {}
 
         def ask(node: Node) -> None:
@@ -121,10 +119,11 @@ class SearchEngine:
                 ask(k)
 
         ask(plan.tree)
-        counts = {k: F.count(F.when(hit[k], 1)) for k in plan.phrases}
-        every = [*asked.values(), *counts.values()]
-        got = list(flags.agg(*(c.alias(f"a{i}") for i, c in enumerate(every))).first()) if every else []
-        found, shown = dict(zip(asked, got, strict=False)), dict(zip(counts, got[len(asked) :], strict=True))
+        return asked
+
+    def _kept(self, plan: Plan, found: dict[tuple[int, str], bool]) -> list[str]:
+        """The tokens that score: at each AND and OR those without a document in the node's set go; NOT drops all
+        under it. found: the answers to _asks."""
 
         def keep(node: Node) -> list[str]:
             if node.op is None:
@@ -133,10 +132,33 @@ class SearchEngine:
                 return []
             return [t for k in node.kids for t in keep(k) if found[id(node), t]]
 
-        return keep(plan.tree), shown
+        return keep(plan.tree)
+
+    def _surviving(self, plan: Plan, flags: DataFrame, hit: dict[str, Column]) -> tuple[list[str], dict[str, int]]:
+        """The tokens that score and the number of documents with each phrase; one aggregate answers all of it."""
+        asked = self._asks(plan, hit)
+        counts = {k: F.count(F.when(hit[k], 1)) for k in plan.phrases}
+        every = [*asked.values(), *counts.values()]
+        got = list(flags.agg(*(c.alias(f"a{i}") for i, c in enumerate(every))).first()) if every else []
+        return self._kept(plan, dict(zip(asked, got, strict=False))), dict(zip(counts, got[len(asked) :], strict=True))
 
     # ---- ranking
 
+    def prepared(self, plan: Plan) -> tuple[dict[str, int], DataFrame, Column | None]:
+        """The df of the plan's words and phrases, its hits, and the predicate of a boolean query as an aggregate of a
+        document's hits; the plan's tokens become those that score."""
+        inside = [w for words in plan.phrases.values() for w in words]
+        df = self._df(list(dict.fromkeys([*(t for t in plan.leaves if t not in plan.phrases), *inside])))
+        hits = self.hits(plan, df)
+        where, shown = None, {}
+        if plan.tree is not None:
+            flags, hit = self._flags(plan, hits)
+            plan.tokens, shown = self._surviving(plan, flags, hit)
+            where = self._predicate(plan, plan.tree, {k: F.coalesce(F.max(F.col("term") == k), F.lit(False)) for k in hit})
+        elif plan.phrases:
+            shown = {r.term: r.df for r in hits.where(F.col("term").isin(*plan.phrases)).groupBy("term").agg(F.count("*").alias("df")).collect()}
+        return df | shown, hits, where  # a phrase's documents are counted where it stands
+
     def search(self, query: str, top_k: int | None = 10, method: str = "tfidf", scheme: str = "ltc.ltc", k1: float = 1.5, k3: float = 1.5, b: float = 0.75) -> DataFrame:
         """(doc_id, score, rank) of the best documents; ties by the query's order of terms, then doc_id.
 
@@ -151,19 +173,9 @@ class SearchEngine:
         empty = spark.createDataFrame([], RESULT)
         if not plan.leaves:
             return empty
-        inside = [w for words in plan.phrases.values() for w in words]
-        df = self._df(list(dict.fromkeys([*(t for t in plan.leaves if t not in plan.phrases), *inside])))
-        hits = self.hits(plan, df)
-        where, shown = None, {}
-        if plan.tree is not None:
-            flags, hit = self._flags(plan, hits)
-            plan.tokens, shown = self._surviving(plan, flags, hit)
-            where = self._predicate(plan, plan.tree, {k: F.coalesce(F.max(F.col("term") == k), F.lit(False)) for k in hit})
-        elif plan.phrases:
-            shown = {r.term: r.df for r in hits.where(F.col("term").isin(*plan.phrases)).groupBy("term").agg(F.count("*").alias("df")).collect()}
+        df, hits, where = self.prepared(plan)
         if not plan.tokens:
             return empty
-        df |= shown  # a phrase's documents are counted where it stands
         rows, finish = self._bm25(plan.tokens, df, k1, k3, b) if method == "bm25" else self._smart(plan.tokens, df, *codes)
         if not rows:
             return empty
@@ -264,7 +276,8 @@ class SearchEngine:
         elif doc[2] == "u":
             norm = (["unique_terms"], unique_norm(F.col("unique_terms"), avg_unique))
         elif doc[2] == "b" and self.byte_norm == "reference":
-            norm = ([], F.lit(byte_norm({"b": size, "u": len(counts)}.get(query[2], 0))))
+            own = byte_norm({"b": size, "u": len(counts)}.get(query[2], 0))
+            rows, norm = [(t, w * own, i) for t, w, i in rows], ([], F.lit(1.0))
         elif doc[2] == "b":
             norm = (["byte_length"], byte_norm(F.col("byte_length")))
         else:

@@ -4,6 +4,7 @@ All run over the whole tables. Stopwords and stemming are off where SQL is the y
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections import Counter
@@ -11,10 +12,11 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .functions import codecs
+from .functions import codecs, porter
 from .functions.analyze import PLAIN, SPACES, STOPWORDS, AnalyzerConfig, line_tokens, tokens
 from .functions.smart import tf_number
 from .operators import metrics
+from .operators.batch import CODES, search_grid, search_many
 from .operators.engine import SearchEngine
 from .operators.index import NORMS, SearchIndex, norm_name
 from .operators.phrase import phrase_hits
@@ -145,7 +147,24 @@ def _tok(config: AnalyzerConfig):
 _STOPS = ", ".join("'" + w.replace("'", "''") + "'" for w in STOPWORDS)
 _register("tok_documents", _tok(PLAIN), f"{_D} SELECT doc_id, {_COUNTS} FROM tok GROUP BY doc_id")
 _register("tok_stopwords", _tok(AnalyzerConfig(stem=False)), f"{_D} SELECT doc_id, {_COUNTS} FROM tok WHERE term NOT IN ({_STOPS}) GROUP BY doc_id")
-_register("tok_stemmed", _tok(AnalyzerConfig()))
+
+
+def _stem(word: str) -> str:
+    """SQL of a word's stem: the stemmer's replacements one in the other."""
+    out = word
+    for pattern, new in porter.RULES:
+        out = f"regexp_replace({out}, '{pattern}', '{re.sub(r'[$]([0-9])', lambda m: chr(92) + m[1], new)}', 'g')"
+    own = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in porter.IRREGULAR.items())
+    return f"CASE WHEN length({word}) <= 2 THEN {word} ELSE CASE {word} {own} ELSE replace({out}, 'Y', 'y') END END"
+
+
+_NO_STOPS = _D.replace(_words("text"), f"[t FOR t IN {_words('text')} IF t NOT IN ({_STOPS})]")
+# under the default configuration: stopwords out, each distinct word stemmed once
+_DEFAULT = _NO_STOPS.replace("tok AS (", "raw AS (", 1).replace(
+    ",\np AS", f",\nsw AS MATERIALIZED (SELECT word, {_stem('word')} AS stem FROM (SELECT DISTINCT term AS word FROM raw)),\ntok AS (SELECT doc_id, stem AS term, pos FROM raw JOIN sw ON raw.term = sw.word),\np AS", 1
+)
+_register("tok_stemmed", _tok(AnalyzerConfig()), f"{_DEFAULT} SELECT doc_id, {_COUNTS} FROM tok GROUP BY doc_id")
+_register("stem_terms", lambda spark, sf: index_for(spark, sf).lexicon.select("term", porter.stem_column(F.col("term")).alias("stem")), f"{_D} SELECT term, {_stem('term')} AS stem FROM lex")
 _register(
     "tok_pages_html_url",
     lambda spark, sf: tokens(spread(table(spark, sf, "pages")), PLAIN, "page_id", "html").select(F.col("doc_id").alias("page_id"), F.col("pos").cast("long").alias("pos"), "term"),
@@ -250,7 +269,6 @@ _boolean("bool_or_not", "worthless OR NOT the", ["worthless"], "(h0 OR NOT h1)",
 _boolean("bool_nested_parens", "(worthless OR anst) AND NOT (tion AND the)", ["worthless", "anst"], "(h0 OR h1) AND NOT (h2 AND h3)", ["tion", "the"])
 _boolean("bool_implicit_and", "worthless tion AND the", ["worthless", "tion", "the"], "h0 AND h1 AND h2")
 _boolean("bool_precedence", "worthless OR anst AND tion", ["worthless", "anst", "tion"], "(h0 OR (h1 AND h2))")
-_NO_STOPS = _D.replace(_words("text"), f"[t FOR t IN {_words('text')} IF t NOT IN ({_STOPS})]")
 # the stopword's clause is empty, so only the other word's documents are left
 _register(
     "bool_stopword_leaf",
@@ -337,6 +355,78 @@ _register("saved_phrase_and_term", _from_bands('"anea eriner" AND the', method="
 for _scheme in ("ltc.ltc", "Lpc.ltb", "apb.btu", "ntu.Lpc"):
     _register("saved_top_" + _scheme.replace(".", "_"), _from_bands("worthless tion", scheme=_scheme), ORACLE["smart_" + _scheme.replace(".", "_")])
 
+# ---- the default configuration
+
+
+def _default(name: str, query: str, terms: list[str], where: str = "true", leaves: list[str] = (), phrases: dict[str, str] | None = None) -> None:
+    """terms, leaves and phrases: stems."""
+    search = lambda spark, sf: _scores(engine_for(spark, sf, AnalyzerConfig()).search(query, top_k=20, method="bm25"))
+    _register(name, search, _ranked(terms, _BM25, _QTF1, {}, where, phrases, leaves).replace(_D, _DEFAULT, 1))
+
+
+_default("default_bm25", "the worthlessness of ansts", ["worthless", "anst"])
+_default("default_boolean", "(worthless OR ansts) AND NOT tions", ["worthless", "anst"], "(h0 OR h1) AND NOT h2", ["tion"])
+
+# ---- many queries in one plan, all weightings in one plan
+
+# Pairs of words, combined in ten ways: forty queries. p0 and p1 are the phrases.
+_PAIRS = [("worthless", "anst"), ("tion", "the"), ("anea", "eriner"), ("anst", "thanea")]
+_WAYS: list[tuple[str, list[int], list[int], str]] = [  # the query, what scores (2: the phrase), what else is asked, predicate
+    ("{a} {b}", [0, 1], [], "true"),
+    ("{a} AND {b}", [0, 1], [], "h0 AND h1"),
+    ("{a} OR {b}", [0, 1], [], "h0 OR h1"),
+    ("{a} AND NOT {b}", [0], [1], "h0 AND NOT h1"),
+    ("{b} OR NOT {a}", [1], [0], "h1 OR NOT h0"),
+    ('"anea eriner" OR {a}', [2, 0], [], "h2 OR h0"),
+    ('{b} AND NOT "anea eriner"', [1], [2], "h1 AND NOT h2"),
+    ('"anea eriner" {b}', [2, 1], [], "true"),
+    ("({a} OR {b}) AND NOT ({a} AND {b})", [0, 1], [], "(h0 OR h1) AND NOT (h0 AND h1)"),
+    ("{a} unseenword OR {b}", [1], [0], "h1"),
+]
+_MANY = {10 * i + j: way[0].format(a=a, b=b) for i, (a, b) in enumerate(_PAIRS) for j, way in enumerate(_WAYS)}
+
+
+def _many_sql() -> str:
+    """The forty queries as rows (query_id, place in the query, what it is, term, weight); a token scores only where
+    some document has it and satisfies the query, which holds for all these."""
+    rows, tests = [], []
+    for i, pair in enumerate(_PAIRS):
+        for j, (_, scoring, asked, where) in enumerate(_WAYS):
+            for place, leaf in enumerate([*scoring, *asked]):
+                rows.append(f"({10 * i + j}, {place if leaf in scoring else 'NULL'}, {leaf}, '{'anea eriner' if leaf == 2 else pair[leaf]}')")
+            tests.append(f"WHEN {10 * i + j} THEN {where}")
+    flags = ", ".join(f"bool_or(leaf = {x}) AS h{x}" for x in range(3))
+    return f"""{_D}, {_phrase("anea eriner", "x")}, q(query_id, ord, leaf, term) AS (VALUES {", ".join(rows)}),
+hit AS (SELECT * FROM p UNION ALL SELECT * FROM x), dfs AS (SELECT term, count(*)::DOUBLE AS df FROM hit GROUP BY term),
+s AS (SELECT query_id, hit.doc_id, sum(CASE WHEN ord IS NOT NULL THEN {_BM25} END) AS score, min(ord) AS first, {flags}
+      FROM hit JOIN q USING (term) JOIN dfs USING (term) JOIN st USING (doc_id) CROSS JOIN cs GROUP BY ALL)
+SELECT query_id::BIGINT AS query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, first, doc_id)::INT AS rank
+FROM s WHERE first IS NOT NULL AND CASE query_id {" ".join(tests)} END QUALIFY rank <= 10"""
+
+
+_register("search_many_mixed", lambda spark, sf: _scores(search_many(engine_for(spark, sf), _MANY, top_k=10)), _many_sql())
+
+
+def _grid_sql(words: list[str]) -> str:
+    counts = Counter(words)
+    asked = {c: "CASE term " + " ".join(f"WHEN '{t}' THEN {float(tf_number(c, k, max(counts.values()), len(words) / len(counts)))!r}" for t, k in counts.items()) + " END" for c in "nlabL"}
+    case = lambda of, by: f"CASE {of} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in by.items()) + " END"
+    terms = ", ".join(f"('{t}', {i})" for i, t in enumerate(counts))
+    codes = ", ".join(f"('{c[0]}', '{c[1]}')" for c in CODES)
+    d_norm = case("m", {"n": "1.0", "c": "nn.w", "u": "1 / (0.8 + 0.2 * unique_terms / avg_unique)", "b": "1 / sqrt(byte_length)"})
+    q_norm = case("o", {"n": "1.0", "c": "qq.w", "u": f"1 / (0.8 + 0.2 * {len(counts)} / avg_unique)", "b": repr(len("".join(words).encode()) ** -0.5)})
+    return f"""{_D}, q(term, ord) AS (VALUES {terms}), dc(a, b) AS (VALUES {codes}), e(x, y) AS (VALUES {codes}), m(m) AS (VALUES ('n'), ('c'), ('u'), ('b')), o(o) AS (VALUES ('n'), ('c'), ('u'), ('b')),
+wq AS (SELECT term, b, x, y, {case("x", asked)} * {case("y", _DF)} AS w, {case("b", _DF)} AS idf FROM lex JOIN q USING (term) CROSS JOIN e CROSS JOIN (SELECT DISTINCT b FROM dc) CROSS JOIN cs WHERE {case("y", _DF)} > 0 AND {case("b", _DF)} > 0),
+qq AS (SELECT b, x, y, 1 / sqrt(sum(w * w)) AS w FROM wq GROUP BY ALL),
+nn AS (SELECT p.doc_id, a, b, 1 / sqrt(coalesce(sum(pow({case("a", _TF)} * {case("b", _DF)}, 2)) FILTER (WHERE df < n), 0) + 1e-12) AS w FROM p JOIN lex USING (term) JOIN st USING (doc_id) CROSS JOIN cs CROSS JOIN dc GROUP BY ALL),
+dots AS (SELECT p.doc_id, a, dc.b, x, y, sum({case("a", _TF)} * idf * wq.w) AS dot, min(ord) AS first FROM p JOIN q USING (term) JOIN st USING (doc_id) CROSS JOIN dc JOIN wq ON wq.term = p.term AND wq.b = dc.b GROUP BY ALL),
+s AS (SELECT a || b || m || '.' || x || y || o AS scheme, doc_id, first, dot * {d_norm} * {q_norm} AS score FROM dots JOIN nn USING (doc_id, a, b) JOIN qq USING (b, x, y) JOIN st USING (doc_id) CROSS JOIN cs CROSS JOIN m CROSS JOIN o)
+SELECT scheme, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY scheme ORDER BY round(score, 9) DESC, first, doc_id)::INT AS rank FROM s QUALIFY rank <= 5"""
+
+
+_GRID = ["worthless", "anst", "anst"]
+_register("smart_grid_3600", lambda spark, sf: _scores(search_grid(engine_for(spark, sf), " ".join(_GRID), top_k=5)), _grid_sql(_GRID))
+
 # ---- batches and evaluation
 
 
