@@ -62,3 +62,22 @@ def test_schemes():
     for bad in ("ltc", "xtc.ltc", "ltc.ltz", "ltc..ltc"):
         with pytest.raises(ValueError):
             check_scheme(bad)
+
+
+def test_codecs_take_a_batch_at_once(spark):
+    """Null and empty rows between others, numbers of one to nine bytes; one call of Python a batch, not one a row."""
+    rng = random.Random(4)
+    rows = [(i, None if i % 7 == 0 else [] if i % 7 == 1 else [rng.randrange(1 << rng.randint(1, 62)) for _ in range(rng.randint(1, 9))]) for i in range(200)]
+    df = spark.createDataFrame(rows, "i long, x array<long>").repartition(2)
+    got = df.select("x", codecs.vbyte_encode("x").alias("b"), codecs.vbyte_decode(codecs.vbyte_encode("x")).alias("v"), codecs.delta_decode("x").alias("s")).collect()
+    for r in got:
+        assert r.v == r.x and (r.b is None) == (r.x is None) and (r.x is None or codecs.decode_numbers(bytes(r.b)) == r.x)
+        assert r.s == (None if r.x is None else [(sum(r.x[: i + 1]) + (1 << 63)) % (1 << 64) - (1 << 63) for i in range(len(r.x))])
+    blocks = [([3, 9, 70000], [[1, 500], [0], [7, 8, 9]]), ([1], [[4]]), ([], [])]
+    df = spark.createDataFrame([(i, *b) for i, b in enumerate(blocks)], "i long, docs array<long>, positions array<array<long>>").coalesce(1)
+    raw = codecs.encode_block("docs", "positions")
+    for r in df.select("*", raw.alias("raw"), codecs.decode_block(raw).alias("p"), codecs.decode_block_counts(raw).alias("n")).collect():
+        assert [(x.doc_id, x.tf, x.positions) for x in r.p] == [(d, len(p), p) for d, p in zip(r.docs, r.positions, strict=True)]
+        assert [(x.doc_id, x.tf, x.positions) for x in r.n] == [(d, len(p), None) for d, p in zip(r.docs, r.positions, strict=True)]
+    assert [bytes(r.raw) for r in df.orderBy("i").select(raw.alias("raw")).collect()][0] == codecs.encode_numbers([3, 3, 6, 69991, 2, 1, 3, 1, 499, 0, 7, 1, 1])
+    assert "ArrowEvalPython" in df.select(raw)._jdf.queryExecution().executedPlan().toString()
