@@ -58,7 +58,7 @@ def main() -> None:
         "saved_smart_ltc_ltc": lambda: saved().search("worthless tion"),
         "saved_phrase": lambda: saved().search('"anea eriner" worthless', method="bm25"),
         "saved_boolean": lambda: saved().search("(worthless OR anst) AND NOT (tion AND the)", method="bm25"),
-        "uncached_norms_15": lambda: cosine_norms(saved().index.postings.select("term", "doc_id", "tf"), saved().index.lexicon, saved().index.doc_stats, saved().index.stats[0]),
+        "uncached_norms_15": lambda: cosine_norms(saved().index.postings, saved().index.lexicon, saved().index.doc_stats, saved().index.stats[0]),
     }
     for name, df in on_disk.items():
         run = lambda: df().write.format("noop").mode("overwrite").save()  # noqa: E731, B023
