@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, small_batches
+from .common import connected_components, free_shuffles, materialize, release, small_batches
 
 #: Classes of a label that aren't dealt to cells: so few that to code all is less work than to visit cells.
 EXACT = 50_000
@@ -42,6 +42,14 @@ def fit_centroids(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.n
     return c
 
 
+def unit_vectors(col: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """The vectors of a column, all of a length, scaled to length 1 in double precision."""
+    flat = (col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col).flatten()
+    x = flat.to_numpy(zero_copy_only=False).astype(float).reshape(len(col), -1)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 class Codes:
     """Binary codes of unit vectors around a centroid."""
 
@@ -86,7 +94,7 @@ def _cells(shared, least: float):
         for b in batches:
             if not b.num_rows:
                 continue
-            x = np.array(b.column(b.schema.get_field_index("v")).to_pylist(), float)
+            x = unit_vectors(b.column(b.schema.get_field_index("v")))
             rows: list[np.ndarray] = []
             homes = np.zeros(len(x), np.int32)
             for a in range(0, len(x), 1000):
@@ -103,7 +111,7 @@ def _match(shared, least: float):
         col = lambda n: tbl.column(n).to_numpy()
         cell, x_part = int(col("cell")[0]), int(col("x")[0])
         cls, copies, home, part = col("cls"), col("copies"), col("home"), col("part")
-        v, visits = np.array(tbl.column("v").to_pylist(), float), tbl.column("visits").to_pylist()
+        v, visits = unit_vectors(tbl.column("v")), tbl.column("visits").to_pylist()
         order = np.lexsort((cls, home != cell))  # those at home first
         cls, copies, home, part, v = cls[order], copies[order], home[order], part[order], v[order]
         visits = [frozenset(visits[i]) for i in order]
@@ -161,18 +169,21 @@ def embedding_components(rows: DataFrame, vec_id: str = "vec_id", vector: str =
     others."""
     spark = rows.sparkSession
     small_batches(spark, 5000)
-    d = F.transform(F.col(vector), lambda x: x.cast("double"))
-    rows = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), d.alias("v"))
+    # vectors stay as they were given, since unit vectors in double precision take twice the space of floats
+    kind = rows.select(vector).schema[0].dataType.elementType.simpleString()
+    kind = kind if kind in ("float", "double") else "double"
+    rows = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), F.col(vector).cast(f"array<{kind}>").alias("u"), F.col(vector).cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     most = F.array_max(F.transform("v", F.abs))
-    size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + (x / F.col("most")) * (x / F.col("most"))))
     good = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & F.coalesce(finite & (most > 0), F.lit(False))
-    unit = rows.withColumn("good", good).withColumn("most", F.when(F.col("good"), most)).withColumn("size", F.when(F.col("good"), size))
-    unit = unit.withColumn("u", F.when(F.col("good"), F.transform("v", lambda x: x / F.col("most") / F.col("size"))))
-    unit = unit.withColumn("label", F.when(F.col("good"), F.concat_ws(":", F.size("v"), "label"))).withColumn("k1", F.xxhash64("v")).withColumn("k2", F.xxhash64(F.lit(7), "v"))
-    unit = materialize(unit.select("vec_id", "good", "label", "k1", "k2", "u"))
-    good = unit.where("good")
-    classes = materialize(good.groupBy("label", "k1", "k2").agg(F.min("vec_id").alias("cls"), F.count("*").alias("copies"), F.first("u").alias("v")))
+    unit = rows.withColumn("good", good).withColumn("k1", F.xxhash64("v")).withColumn("k2", F.xxhash64(F.lit(7), "v"))
+    unit = unit.withColumn("label", F.when(F.col("good"), F.concat_ws(":", F.size("v"), "label")))
+    whole = materialize(unit.select("vec_id", "good", "label", "k1", "k2", F.when(F.col("good"), F.col("u")).alias("u")))
+    classes = materialize(whole.where("good").groupBy("label", "k1", "k2").agg(F.min("vec_id").alias("cls"), F.count("*").alias("copies"), F.first("u").alias("v")))
+    unit = materialize(whole.drop("u"))
+    release(whole)
+    free_shuffles(spark)
+    good, n_classes = unit.where("good"), classes.count()
     big = materialize(classes.groupBy("label").agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).where(F.col("n") > exact))
     sizes = {r.d: r.n for r in big.groupBy("d").agg(F.sum("n").alias("n")).collect()}
     found = None
@@ -181,19 +192,28 @@ def embedding_components(rows: DataFrame, vec_id: str = "vec_id", vector: str =
     for dim, n in [(0, 0), *sizes.items()]:
         if dim:
             some = classes.join(F.broadcast(big.where(F.col("d") == dim).select("label")), "label", "left_semi")
-            sample = np.array([r.v for r in some.orderBy(F.xxhash64("k1")).limit(SAMPLE).select("v").collect()])
+            sample = unit_vectors(pa.array([r.v for r in some.orderBy(F.xxhash64("k1")).limit(SAMPLE).select("v").collect()], pa.list_(pa.float64())))
             shared = spark.sparkContext.broadcast(fit_centroids(sample, min(CELLS, max(1, n // per_cell), max(1, len(sample) // 8))))
-            dealt = materialize(some.mapInArrow(_cells(shared, least), "cls long, label string, copies long, v array<double>, home int, visits array<int>"))
+            dealt = materialize(some.mapInArrow(_cells(shared, least), f"cls long, label string, copies long, v array<{kind}>, home int, visits array<int>"))
         else:
             shared = spark.sparkContext.broadcast(np.zeros((0, 0)))
             dealt = alone.select("cls", "label", "copies", "v", F.lit(-1).alias("home"), F.array(F.lit(-1)).alias("visits"))
         there = dealt.select("cls", "label", "copies", "v", "home", "visits", F.explode("visits").alias("cell"))
-        parts = there.groupBy("label", "cell").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
-        there = there.join(parts, ["label", "cell"]).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+        size = materialize(there.groupBy("label", "cell").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / part).cast("int")))
+        sent = size.agg(F.sum(F.col("n") * F.col("parts"))).first()[0] or 0
+        # fewer than a part's share of the rows, so they are sent to where the vectors are
+        there = there.join(F.broadcast(size.where("parts > 1").select("label", "cell", "parts")), ["label", "cell"], "left").fillna(1, ["parts"])
+        there = there.withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
         there = there.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("x", F.least("part", "other")).withColumn("y", F.greatest("part", "other"))
-        pairs = there.groupBy("label", "cell", "x", "y").applyInArrow(_match(shared, least), "a long, b long, n long")
-        found = pairs if found is None else found.unionByName(pairs)
-    found = materialize(found)
+        # vectors go to many tasks; in rounds, of which each sends about as many as there are, so that disk is bounded
+        rounds = max(1, -(-sent // max(1, n_classes)))
+        for r in range(rounds):
+            turn = there if rounds == 1 else there.where(F.pmod(F.xxhash64("label", "cell", "x", "y"), F.lit(rounds)) == r)
+            pairs = materialize(turn.groupBy("label", "cell", "x", "y").applyInArrow(_match(shared, least), "a long, b long, n long"))
+            free_shuffles(spark)
+            found = pairs if found is None else found.unionByName(pairs)
+        if dim:
+            release(dealt)
     links = found.where("n is not null").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("n"))
     roots = materialize(connected_components(found.where("b is not null")))
     about = classes.join(links, "cls", "left").join(roots, F.col("cls") == F.col("id"), "left").select("label", "k1", "k2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "cls").alias("component_id"))

@@ -90,3 +90,20 @@ def test_no_link_is_lost_between_cells(spark):
     want = brute(range(900), vectors, [1] * 900)
     assert sum(w[0] for w in want.values()) > 2000
     assert {r.vec_id: (r.n_links, r.component_id) for r in embedding_components(df, per_cell=15, exact=0).collect()} == want
+
+
+def test_vectors_are_sent_in_rounds(spark, monkeypatch):
+    """A label in many parts: no exchange has many times the vectors; vectors stay floats; links are the same."""
+    from lexiforge.llm import embeddings
+
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((40, 16))
+    x = (base[rng.integers(0, 40, 240)] + 0.08 * rng.standard_normal((240, 16))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    made, real = [], embeddings.materialize
+    monkeypatch.setattr(embeddings, "materialize", lambda d, **kw: made.append(real(d, **kw)) or made[-1])
+    got = {r.vec_id: r.n_links for r in embedding_components(df, part=40).collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    assert got == dict(enumerate(((u @ u.T >= 0.93).sum(1) - 1).tolist()))
+    assert sum(d.columns == ["a", "b", "n"] for d in made) == 6
+    assert "double" not in {t for d in made for _, t in d.dtypes if t.startswith("array")} and all("array<double>" not in t for d in made for _, t in d.dtypes)
