@@ -6,10 +6,10 @@
 3. A sketch of the rest's hashed shingle counts puts their shingles in one global order, rare ones first. Two
    sets that link share a shingle among the first ``n - ceil(threshold * n) + 1`` of each (the prefix argument),
    so classes that meet on such a shingle are joined into blocks; a link never leaves its block.
-4. In a block, shingles are hashed into groups and each class is the point of its group counts. An R-tree
-   over the points keeps each node's largest coordinates; the sum over groups of the smaller coordinate
-   bounds the overlap of a class with a point or with anything below a node. What the bound does not
-   exclude is verified on the sets. Classes that are in one component already need no verification.
+4. In a block, shingles that two classes have are hashed into groups and each class is the point of its group
+   counts. An R-tree over the points keeps each node's largest coordinates; the sum over groups of the smaller
+   coordinate bounds the overlap of a class with a point or with anything below a node. What the bound does not
+   exclude is verified on the sets, many at once. Classes that are in one component already need no verification.
 5. A block that is too large for a task is cut into parts, and every pair of parts is a task.
 """
 
@@ -31,6 +31,8 @@ CHUNK = 1 << 16
 #: Bytes of sets and number of classes that one task takes from a block.
 PART_BYTES, PART_CLASSES = 48 << 20, 20_000
 GROUPS, LEAF, FANOUT = 64, 32, 16
+#: A shingle is common in a block if one class in so many has it.
+CORE = 16
 
 
 def shingle_sets(text: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -294,8 +296,8 @@ class CountTree:
                 break
             step = FANOUT
 
-    def search(self, point: np.ndarray, size: int, percent: int, after: int) -> np.ndarray:
-        """Points behind place after whose overlap with a set of these counts may link them."""
+    def search(self, point: np.ndarray, size: int, percent: int, among: np.ndarray) -> np.ndarray:
+        """Points of those that among (a flag each) names whose overlap with a set of these counts may link them."""
         nodes = np.arange(len(self.levels[-1][0]))
         for k, (top, low, high) in enumerate(reversed(self.levels)):
             most = np.minimum(top[nodes], point).sum(1)
@@ -305,44 +307,77 @@ class CountTree:
             width, n = (LEAF, len(self.points)) if last else (FANOUT, len(self.levels[len(self.levels) - 2 - k][0]))
             nodes = (nodes[:, None] * width + np.arange(width)).ravel()
             nodes = nodes[nodes < n]
-        nodes = nodes[nodes > after]
+        nodes = nodes[among[nodes]]
         s = self.sizes[nodes]
         most = np.minimum(self.points[nodes], point).sum(1)
         return nodes[((100 + percent) * most >= percent * (size + s)) & (100 * size >= percent * s) & (100 * s >= percent * size)]
 
 
+class Overlaps:
+    """Exact overlaps of a set with others: common shingles, which one set in CORE has, are bits of its row, so many
+    sets are compared at once; of the others the lists of their sets are counted. Both take memory in proportion to
+    the sets. ident: the shingles' numbers, in order, holder: the set of each, common: whether it is such a shingle."""
+
+    def __init__(self, n: int, ident: np.ndarray, holder: np.ndarray, common: np.ndarray):
+        own = ident[common]
+        bit = np.cumsum(np.append(own[:1] < 0, own[1:] != own[:-1]))
+        words = -(-(int(bit[-1]) + 1) // 64) if len(own) else 0
+        self.bits = np.zeros((n, words), np.uint64)
+        np.add.at(self.bits.ravel(), holder[common] * words + bit // 64, np.uint64(1) << (bit % 64).astype(np.uint64))
+        ident, self.holder = ident[~common], holder[~common]
+        head = np.flatnonzero(np.append(ident[:1] >= 0, ident[1:] != ident[:-1]))
+        size = np.diff(np.append(head, len(ident)))
+        by = np.argsort(self.holder, kind="stable")  # each set's lists
+        self.start, self.size = np.repeat(head, size)[by], np.repeat(size, size)[by]
+        self.cut = np.searchsorted(self.holder[by], np.arange(n + 1))
+
+    def rare(self, i: int) -> np.ndarray:
+        """Of each set the number of shingles that aren't common and that set i has too."""
+        own = slice(self.cut[i], self.cut[i + 1])
+        start, size = self.start[own], self.size[own]
+        at = np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
+        return np.bincount(self.holder[at], minlength=len(self.bits))
+
+    def common(self, i: int, others: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(self.bits[others] & self.bits[i]).sum(1, dtype=np.int64)
+
+
 def link_sets(sets: list[np.ndarray], percent: int, part: np.ndarray | None = None) -> np.ndarray:
-    """The component (a place) of each set under the links; part: only sets of different parts are compared."""
-    sizes = np.array([len(s) for s in sets], np.int64)
+    """The component (a place) of each set under the links; part: only sets of different parts are compared.
+
+    Shingles that no other set has count for a set's size alone, which keeps the bounds of edited copies low. Sets
+    with the largest share of common shingles come first: they link with most others, and what is in one component
+    is not compared any more."""
+    n, sizes = len(sets), np.array([len(s) for s in sets], np.int64)
     order = np.argsort(sizes, kind="stable")
     sizes = sizes[order]
-    flat = np.concatenate([sets[i] for i in order])
-    offs = np.concatenate(([0], np.cumsum(sizes)))
-    who = np.repeat(np.arange(len(sets)), sizes)
-    points = np.bincount(who * GROUPS + (flat >> np.uint64(58)).astype(np.int64), minlength=len(sets) * GROUPS).reshape(-1, GROUPS).astype(np.int32)
-    tree, comp = CountTree(points, sizes), np.arange(len(sets))
+    flat, holder = np.concatenate([sets[i] for i in order]), np.repeat(np.arange(n), sizes)
+    by = np.argsort(flat, kind="stable")
+    flat, holder = flat[by], holder[by]
+    ident = np.cumsum(np.append(False, flat[1:] != flat[:-1]))
+    df = np.bincount(ident)[ident]
+    flat, holder, ident, df = (x[df > 1] for x in (flat, holder, ident, df))
+    common = df * CORE >= n
+    known, near = np.bincount(holder, minlength=n), np.bincount(holder[common], minlength=n)
+    points = np.bincount(holder * GROUPS + (flat >> np.uint64(58)).astype(np.int64), minlength=n * GROUPS).reshape(-1, GROUPS).astype(np.int32)
+    tree, exact, comp = CountTree(points, sizes), Overlaps(n, ident, holder, common), np.arange(n)
     parts = None if part is None else part[order]
-    for i in range(len(sets)):
-        found = tree.search(points[i], int(sizes[i]), percent, i)
-        found = found[comp[found] != comp[i]]
+    open_ = np.ones(n, bool)
+    for i in np.argsort(-near / sizes, kind="stable"):
+        open_[i] = False
+        among = open_ & (comp != comp[i]) & ((100 + percent) * np.minimum(known, known[i]) >= percent * (sizes + sizes[i]))
         if parts is not None:
-            found = found[parts[found] != parts[i]]
-        own = flat[offs[i] : offs[i + 1]]
+            among &= parts != parts[i]
+        found = tree.search(points[i], int(sizes[i]), percent, among) if among.any() else np.zeros(0, np.int64)
+        rare = exact.rare(i) if len(found) else None
         for a in range(0, len(found), 2000):
             some = found[a : a + 2000]
             some = some[comp[some] != comp[i]]
-            if not len(some):
-                continue
-            n = sizes[some]
-            at = np.arange(n.sum()) + np.repeat(offs[some] - (np.cumsum(n) - n), n)
-            other = flat[at]
-            hit = own[np.minimum(np.searchsorted(own, other), len(own) - 1)] == other
-            overlap = np.add.reduceat(hit, np.cumsum(n) - n, dtype=np.int64)
-            linked = some[(100 + percent) * overlap >= percent * (len(own) + n)]
+            linked = some[(100 + percent) * (exact.common(i, some) + rare[some]) >= percent * (sizes[i] + sizes[some])]
             if len(linked):
                 old = np.unique(np.append(comp[linked], comp[i]))
                 comp[np.isin(comp, old)] = old[0]
-    out = np.empty(len(sets), np.int64)
+    out = np.empty(n, np.int64)
     out[order] = order[comp]
     return out
 

@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from lexiforge.llm import common
+from lexiforge.llm import common, jaccard
 from lexiforge.llm.jaccard import jaccard_components, link_sets, op6_jaccard
 
 
@@ -75,6 +75,38 @@ def test_tree_bounds():
                 assert comp[i] == comp[j]
 
 
+def test_edited_copies_of_one_text_are_hardly_compared(monkeypatch):
+    """A block of copies with more and fewer edits, many too far from all others: bounds tell most pairs apart."""
+    rng, found, search = np.random.default_rng(1), [], jaccard.CountTree.search
+
+    def counted(*args):
+        found.append(len(out := search(*args)))
+        return out
+
+    base, edits = (rng.integers(0, 1 << 63, k, dtype=np.uint64) for k in (400, 1_000_000))
+    sets = [np.unique(np.concatenate([base[rng.random(400) > share], rng.choice(edits, int(400 * share))])) for share in rng.uniform(0, 0.25, 300)]
+    monkeypatch.setattr(jaccard.CountTree, "search", counted)
+    comp = link_sets(sets, 75)
+    overlap = np.array([[len(np.intersect1d(a, b)) for b in sets[:60]] for a in sets[:60]])
+    size = np.array([len(s) for s in sets[:60]])
+    a, b = np.nonzero(175 * overlap >= 75 * (size[:, None] + size))
+    assert (comp[a] == comp[b]).all()
+    assert sum(found) < len(sets) ** 2 / 8
+
+
+@pytest.mark.parametrize("core", [1, 16, 1000])
+def test_overlaps(monkeypatch, core):
+    monkeypatch.setattr(jaccard, "CORE", core)
+    rng = np.random.default_rng(2)
+    sets = [np.unique(np.minimum(rng.integers(0, 900, rng.integers(1, 60)), rng.integers(1, 900))).astype(np.uint64) << np.uint64(54) for _ in range(150)]
+    comp, want = link_sets(sets, 75), np.arange(150)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 100 * len(np.intersect1d(a, b)) >= 75 * len(np.union1d(a, b)):
+                want[want == want[i]] = want[j]
+    assert len(set(zip(comp, want))) == len(set(comp)) == len(set(want))
+
+
 def test_hot_classes_components_and_stars(spark, monkeypatch):
     """Large groups of copies, a component of many classes and a star go the way of hot keys; the result is the same."""
     monkeypatch.setattr(common, "HOT_ROWS", 5)
