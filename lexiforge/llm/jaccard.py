@@ -24,8 +24,11 @@ from pyspark.sql import functions as F
 from .common import Recurring, _stream, buckets_for, connected_components, free_shuffles, hot_limit, join_hot, materialize, mix, release, rolling, slabs, small_batches, text_buckets, text_buffer, trim, word_hashes
 
 _BASE = 0xA0761D6478BD642F
-#: Sketch buckets (a power of two): 16 MB of int32 at most, whatever the corpus.
-SKETCH = 1 << 22
+#: Most sketch buckets (a power of two), a byte each. With many shingles in each bucket, common ones look like all
+#: others and get into prefixes, and blocks join into one.
+SKETCH = 1 << 26
+#: Shingles that a task counts at once.
+COUNTED = 1 << 22
 #: Shingles of a chunk: their places fit two bytes.
 CHUNK = 1 << 16
 #: Bytes of sets and number of classes that one task takes from a block.
@@ -183,37 +186,49 @@ def _rows(batches):
             yield pa.RecordBatch.from_arrays([pa.array(r[:, 0], mask=r[:, 1] == 0), *(pa.array(r[:, k]) for k in (2, 3, 4))], ["doc_id", "n", "cls", "text_hash"])
 
 
+def levels(counts: np.ndarray) -> np.ndarray:
+    """Counts as bytes in the same order: as they are up to 128, eight steps a doubling beyond."""
+    steep = 128 + np.floor(8 * np.log2(np.maximum(counts, 128) / 128))
+    return np.where(counts <= 128, counts, np.minimum(steep, 255)).astype(np.uint8)
+
+
 def _sketch(width: int, sketch: int, part: int):
-    """A task's counts of hashed shingles, in parts."""
+    """A task's counts of hashed shingles, in parts of at most 2^16 buckets."""
+
+    def counted(found: list[np.ndarray]):
+        at, n = np.unique(np.concatenate(found), return_counts=True)
+        cut = np.searchsorted(at, np.arange(0, sketch + 1, part))
+        some = [(k, i, j) for k, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i]
+        at, n = (at % np.uint32(part)).astype("<u2"), n.astype("<u4")
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in some], pa.int64()), pa.array([at[i:j].tobytes() + n[i:j].tobytes() for _, i, j in some], pa.binary())], ["n", "counts"])
 
     def run(batches):
-        counts = np.zeros(sketch, np.int32)
+        found: list[np.ndarray] = []
+        total = 0
         for _, text in slabs(batches, []):
-            np.add.at(counts, (shingle_sets(text, width)[0] & np.uint64(sketch - 1)).astype(np.int64), 1)
-        for k in range(0, sketch, part):
-            some = counts[k : k + part]
-            at = np.flatnonzero(some)
-            if len(at):
-                data = at.astype("<u2").tobytes() + some[at].tobytes() if len(at) * 6 < some.nbytes else some.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([k // part], pa.int64()), pa.array([data], pa.binary())], ["n", "counts"])
+            found.append((shingle_sets(text, width)[0] & np.uint64(sketch - 1)).astype(np.uint32))
+            total += len(found[-1])
+            if total >= COUNTED:
+                yield counted(found)
+                found, total = [], 0
+        if total:
+            yield counted(found)
 
     return run
 
 
 def _add_counts(part: int):
+    """The parts' sums, as levels."""
+
     def run(batches):
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for k, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 raw = data.as_buffer()
-                into = sums.setdefault(k, np.zeros(part, np.int64))
-                if raw.size == 4 * part:
-                    into += np.frombuffer(raw, "<i4")
-                else:
-                    m = raw.size // 6
-                    into[np.frombuffer(raw, "<u2", m)] += np.frombuffer(raw[2 * m :], "<i4", m)
+                m = raw.size // 6
+                sums.setdefault(k, np.zeros(part, np.uint32))[np.frombuffer(raw, "<u2", m)] += np.frombuffer(raw, "<u4", m, 2 * m)
         for k, v in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([np.minimum(v, 0x7FFFFFFF).astype("<i4").tobytes()], pa.binary())], ["n", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([levels(v).tobytes()], pa.binary())], ["n", "counts"])
 
     return run
 
@@ -425,10 +440,12 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     while sketch > step and sketch > 2 * total:
         sketch //= 2
     sketch = max(step, sketch)
-    sums = may.mapInArrow(_sketch(width, sketch, step), "n long, counts binary").repartition(F.col("n")).mapInArrow(_add_counts(step), "n long, counts binary")
-    counts = np.zeros(sketch, np.int32)
-    for r in sums.toLocalIterator():  # sketch/step rows of 4*step bytes: a fixed size
-        counts[r.n * step : (r.n + 1) * step] = np.frombuffer(r.counts, "<i4")
+    step = min(sketch, 1 << 16)
+    dealt = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sketch >> 22)  # at most 16 MB of counts a task
+    sums = may.mapInArrow(_sketch(width, sketch, step), "n long, counts binary").repartition(dealt, F.col("n")).mapInArrow(_add_counts(step), "n long, counts binary")
+    counts = np.zeros(sketch, np.uint8)
+    for r in sums.toLocalIterator():  # sketch/step rows of step bytes: a fixed size
+        counts[r.n * step : (r.n + 1) * step] = np.frombuffer(r.counts, np.uint8)
     shared = spark.sparkContext.broadcast(counts)
     n = buckets_for(may, 2.0)
     met = may.mapInArrow(_prefixes(width, percent, shared, n), "bucket int, data binary").repartitionById(n, F.col("bucket"))

@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lexiforge.llm import common, jaccard
@@ -133,3 +134,20 @@ def test_recurring_keys_are_sent_a_few_times():
         assert not known[keys > 7].any()
         sent += 2 - known[:2].sum()
     assert sent == 4
+
+
+def test_sketch_counts_are_bytes_in_order(monkeypatch):
+    """What tells common shingles from rare ones takes a byte a bucket, so that large tables have many buckets."""
+    assert 1 << 26 <= jaccard.SKETCH <= 1 << 27
+    n = np.array([0, 1, 2, 127, 128, 140, 300, 70_000, 1 << 31, 0xFFFFFFFF], np.uint32)
+    got = jaccard.levels(n)
+    assert got.dtype == np.uint8 and got[:5].tolist() == [0, 1, 2, 127, 128] and (np.diff(got.astype(int)) >= 0).all() and len(set(got[:8])) == 8
+    monkeypatch.setattr(jaccard, "COUNTED", 500)
+    size, part = 1 << 17, 1 << 16
+    text = pa.array([" ".join(f"w{(i * 7 + j) % 90}" for j in range(40)) for i in range(200)] + ["a b c d e"] * 300)
+    want = np.bincount((jaccard.shingle_sets(text, 5)[0] & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    sums = list(jaccard._add_counts(part)(jaccard._sketch(5, size, part)(pa.table({"text": text}).to_batches(max_chunksize=20))))
+    counts = np.zeros(size, np.uint8)
+    for k, data in ((k, d) for b in sums for k, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+        counts[k * part : (k + 1) * part] = np.frombuffer(data, np.uint8)
+    assert (counts == jaccard.levels(want)).all() and counts.max() > 128
