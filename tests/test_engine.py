@@ -166,3 +166,12 @@ def test_batch_equals_single_queries(spark, engine):
     got = engine.search_batch(queries, top_k=5).orderBy("query_id", "rank").collect()
     for q, text in ((7, "alpha delta"), (8, "alpha alpha")):
         assert [(r.doc_id, round(r.score, 6)) for r in got if r.query_id == q] == scores(engine.search(text, method="bm25"))
+
+
+def test_batch_shuffles_postings_by_document_once(engine):
+    """Scores, one for each query and document, are never shuffled: between the postings and the ranks there is one
+    exchange, by document, and the queries' words are broadcast."""
+    queries = engine.index.postings.sparkSession.createDataFrame([(1, "sparse retrieval"), (2, "index")], "query_id long, text string")
+    plan = engine.search_batch(queries, top_k=5)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id" in plan and "SortMergeJoin" not in plan
+    assert not any("doc_id" in x and "query_id" in x for x in plan.split("\n") if "hashpartitioning(" in x for x in [x.split("hashpartitioning(")[1].split(")")[0]])
