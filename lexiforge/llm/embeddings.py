@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import connected_components, free_shuffles, materialize, release, small_batches
 
 #: Classes of a label that aren't dealt to cells: so few that to code all is less work than to visit cells.
-EXACT = 50_000
+EXACT = 200_000
 #: Vectors that centroids are fitted on, wanted in a cell, most cells, and most of a cell in a task.
 SAMPLE, PER_CELL, CELLS, PART = 20_000, 1_000, 2_048, 6_000
 
@@ -80,6 +80,15 @@ class Codes:
         scale = self.norm[i:j][:, None] * other.norm[None, :]
         return self.at_centroid[i:j][:, None] + other.at_centroid[None, :] - self.square + scale * np.minimum(1.0, most)
 
+    def may(self, i: int, j: int, other: Codes, query: np.ndarray, least: float) -> np.ndarray:
+        """Whether the certain bounds of upper reach least, or a little less. Around the origin that is one look at
+        each product: the bound f a + sqrt(1 - f^2) sqrt(1 - a^2) is cos(arccos a - arccos f), so it reaches least
+        for no a under cos(arccos f + arccos least)."""
+        if self.square or (self.norm[i:j] < 1e-12).any():
+            return self.upper(i, j, other, query) >= least - 1e-5
+        lowest = np.cos(np.minimum(np.arccos(np.minimum(self.factor[i:j], 1.0)) + np.arccos(np.clip(least, -1, 1)), np.pi))
+        return self.signs(i, j) @ query.T >= (lowest - 1e-5).astype(np.float32)[:, None]
+
 
 def _cells(shared, least: float):
     """Each vector's home and the cells it visits.
@@ -112,7 +121,7 @@ def _match(shared, least: float):
         cell, x_part = int(col("cell")[0]), int(col("x")[0])
         cls, copies, home, part = col("cls"), col("copies"), col("home"), col("part")
         v, visits = unit_vectors(tbl.column("v")), tbl.column("visits").to_pylist()
-        order = np.lexsort((cls, home != cell))  # those at home first
+        order = np.lexsort((cls, part, home != cell))  # those at home first
         cls, copies, home, part, v = cls[order], copies[order], home[order], part[order], v[order]
         visits = [frozenset(visits[i]) for i in order]
         n_home = int((home == cell).sum())
@@ -123,17 +132,21 @@ def _match(shared, least: float):
         links, comp = np.zeros(len(cls), np.int64), np.arange(len(cls))
         edges = []
         whole = int(col("y")[0]) == x_part
+        # where all are at home the smaller part comes first and meets the other alone
+        split = int((part == part[0]).sum()) if cell < 0 and not whole else 0
+        n_home = split or n_home
         for a in range(0, n_home, 512):
             b = min(n_home, a + 512)
-            for q in range(a, len(cls), 2048):
+            for q in range(split or a, len(cls), 2048):
                 r = min(len(cls), q + 2048)
                 other = Codes.__new__(Codes)
                 other.norm, other.at_centroid = codes.norm[q:r], codes.at_centroid[q:r]
-                may = codes.upper(a, b, other, residual[q:r]) >= least - 1e-5
-                may &= np.arange(a, b)[:, None] < np.arange(q, r)[None, :]
-                if not whole:
+                may = codes.may(a, b, other, residual[q:r], least)
+                if q < b:
+                    may &= np.arange(a, b)[:, None] < np.arange(q, r)[None, :]
+                if not whole and not split:
                     may &= part[a:b, None] != part[None, q:r]
-                i, j = np.nonzero(may)
+                i, j = np.divmod(np.flatnonzero(may), r - q)
                 i, j = i + a, j + q
                 for s in range(0, len(i), 200_000):
                     ii, jj = i[s : s + 200_000], j[s : s + 200_000]
@@ -186,7 +199,7 @@ def embedding_components(rows: DataFrame, vec_id: str = "vec_id", vector: str =
     good, n_classes = unit.where("good"), classes.count()
     big = materialize(classes.groupBy("label").agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).where(F.col("n") > exact))
     sizes = {r.d: r.n for r in big.groupBy("d").agg(F.sum("n").alias("n")).collect()}
-    found = None
+    found, tasks = None, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
     # one index a length of vectors, and one cell for each other label; big has fewer than rows / exact rows
     alone = classes.join(F.broadcast(big.select("label")), "label", "left_anti")
     for dim, n in [(0, 0), *sizes.items()]:
@@ -209,6 +222,8 @@ def embedding_components(rows: DataFrame, vec_id: str = "vec_id", vector: str =
         rounds = max(1, -(-sent // max(1, n_classes)))
         for r in range(rounds):
             turn = there if rounds == 1 else there.where(F.pmod(F.xxhash64("label", "cell", "x", "y"), F.lit(rounds)) == r)
+            # little data and much work: adaptive execution would put many pairs of parts into one task
+            turn = turn.repartition(tasks, "label", "cell", "x", "y")
             pairs = materialize(turn.groupBy("label", "cell", "x", "y").applyInArrow(_match(shared, least), "a long, b long, n long"))
             free_shuffles(spark)
             found = pairs if found is None else found.unionByName(pairs)

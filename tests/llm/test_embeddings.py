@@ -107,3 +107,24 @@ def test_vectors_are_sent_in_rounds(spark, monkeypatch):
     assert got == dict(enumerate(((u @ u.T >= 0.93).sum(1) - 1).tolist()))
     assert sum(d.columns == ["a", "b", "n"] for d in made) == 6
     assert "double" not in {t for d in made for _, t in d.dtypes if t.startswith("array")} and all("array<double>" not in t for d in made for _, t in d.dtypes)
+
+
+@pytest.mark.parametrize("least", [0.93, 0.5, -0.2])
+def test_around_the_origin_one_product_tells_pairs_apart(monkeypatch, least):
+    """No link is excluded, hardly more is kept than by the bound, and the bound itself isn't computed."""
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((300, 64))
+    x = np.concatenate([base, base + 0.3 * rng.standard_normal((300, 64)), np.eye(64), -np.eye(64), base[:1]])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    codes, query = Codes(x, np.zeros(64), rotation(64)), (x @ rotation(64)).astype(np.float32)
+    bound = codes.upper(0, len(x), codes, query) >= least - 1e-5
+    monkeypatch.setattr(Codes, "upper", None)
+    may = codes.may(0, len(x), codes, query, least)
+    assert may[x @ x.T >= least].all() and may[bound].mean() > 0.999 and may.mean() < bound.mean() + 0.05
+
+
+def test_a_label_beyond_fifty_thousand_is_not_dealt_to_cells(spark, monkeypatch):
+    """6 GB have some 61,500 vectors a label, where visiting cells takes longer than to look at all pairs."""
+    from lexiforge.llm import embeddings
+
+    assert embeddings.EXACT >= 100_000
